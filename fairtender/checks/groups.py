@@ -14,7 +14,9 @@ from fairtender.checks.standin import (
     catalogue_codes,
     catalogue,
     contract_items,
+    computers,
     price_table,
+    saved_base,
     selected_items,
     sql,
     table,
@@ -436,4 +438,9 @@ def regression_base(spark, sf):
     sql(f"SELECT {KEY_SQL}, CAST(temp_1 AS INT) AS temp_1, round(mean_unit_price, 4) AS mean_unit_price FROM price_sample", "price_sample"),
 )
 def price_sample(spark, sf):
-    return pl.price_sample(base(spark, sf)).select(*KEY, "temp_1", F.round("mean_unit_price", 4).alias("mean_unit_price"))
+    return pl.price_sample(saved_base(spark, sf)).select(*KEY, "temp_1", F.round("mean_unit_price", 4).alias("mean_unit_price"))
+
+
+@query("computer_base", sql(f"SELECT {KEY_SQL}, panel, round(mean_unit_price, 4) AS mean_unit_price FROM computers", "computers"))
+def computer_base(spark, sf):
+    return computers(spark, sf).select(*KEY, "panel", F.round("mean_unit_price", 4).alias("mean_unit_price"))

@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from fairtender.functions.codes import item_code, month_index, product_code, quarter_index
 from fairtender.operators.shape import union_marked
 from fairtender.operators.skew import attach_stats, number_rows
+from fairtender.plans.contracts import (
+    CONTRACT,
+    ITEM_ORDER,
+    computer_base,
+    computer_items,
+    price_sample,
+    regression_base,
+    select_items,
+)
 from fairtender.session import stage
-from fairtender.plans.contracts import CONTRACT, ITEM_ORDER, regression_base, select_items
 
 SECTOR, OBJECTS, YEARS = "ASIA", ("Bien", "Servicio"), (1996, 2000)
 BASE_YEARS = (1996, 1997)
@@ -192,6 +200,30 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_SAVED: dict = {}
+
+
+def saved(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    """A table made once per session and data folder, then read back by every model that uses it."""
+    at = (spark.sparkContext.applicationId, sf, name)
+    if at not in _SAVED:
+        _SAVED[at] = stage(make())
+    return _SAVED[at]
+
+
+def saved_base(spark: SparkSession, sf: str) -> DataFrame:
+    return saved(spark, sf, "base", lambda: base(spark, sf))
+
+
+def saved_prices(spark: SparkSession, sf: str) -> DataFrame:
+    return saved(spark, sf, "prices", lambda: price_sample(saved_base(spark, sf)))
+
+
+def computers(spark: SparkSession, sf: str) -> DataFrame:
+    codes = table(spark, sf, "part").filter("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("codigoitem"))
+    return computer_base(stage(computer_items(contract_items(spark, sf), codes)), answers(spark, sf))
+
+
 PARSED = """
 SELECT {src}.n_cod_contrato, item_count, unnest(range(1, len(pieces) + 1)) AS identified_price_id,
   unnest(list_transform(pieces, lambda x: TRY_CAST(x AS DOUBLE))) AS unit_price
@@ -249,6 +281,18 @@ SELECT * FROM (
     AND mean_unit_price / nullif(monto_contratado_total, 0) <= 0.85) t
 WHERE item_after > 0 AND item_before > 0"""
 
+PARSED_COMPUTERS = """
+SELECT a.n_cod_contrato, item_count, unnest(range(1, len(pieces) + 1)) AS identified_price_id,
+  unnest(list_transform(pieces, lambda x: TRY_CAST(x AS DOUBLE))) AS unit_price
+FROM (SELECT n_cod_contrato, string_split(regexp_replace(gpt_unit_prices, '[^0-9;.]', '', 'g'), ';') AS pieces FROM answers) a
+  JOIN (SELECT n_cod_contrato, count(n_item) AS item_count FROM goods WHERE urlcontrato <> ''
+    GROUP BY n_cod_contrato) c USING (n_cod_contrato)"""
+
+COMPUTERS = """
+SELECT * FROM (SELECT *, CAST(CASE WHEN sum(d_pandemia) OVER (PARTITION BY codigoentidad) > 0
+    AND sum(1 - d_pandemia) OVER (PARTITION BY codigoentidad) > 0 THEN 1 ELSE 0 END AS INT) AS panel
+  FROM priced_goods) t WHERE mean_unit_price IS NOT NULL"""
+
 VIEWS = {
     "contract_items": CONTRACT_ITEMS,
     "prices": PRICES,
@@ -266,6 +310,12 @@ VIEWS = {
     "priced_again": PRICED.format(items="selected_again", spread="spread_again", mark="1"),
     "base": BASE,
     "price_sample": PRICE_SAMPLE,
+    "goods": """SELECT * FROM contract_items WHERE objetocontractual = 'Bien'
+  AND codigoitem IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY')""",
+    "parsed_goods": PARSED_COMPUTERS,
+    "spread_goods": SPREAD.format(prices="parsed_goods"),
+    "priced_goods": PRICED.format(items="goods", spread="spread_goods", mark="0"),
+    "computers": COMPUTERS,
 }
 NEEDS = {
     "prices": ["contract_items"],
@@ -280,6 +330,11 @@ NEEDS = {
     "priced_again": ["selected_again", "spread_again"],
     "base": ["priced_first", "priced_again", "catalogue"],
     "price_sample": ["base"],
+    "goods": ["contract_items"],
+    "parsed_goods": ["answers", "goods"],
+    "spread_goods": ["parsed_goods"],
+    "priced_goods": ["goods", "spread_goods"],
+    "computers": ["priced_goods"],
 }
 
 
@@ -295,5 +350,5 @@ def sql(body: str, *views: str, **extra: str) -> str:
 
     for v in views:
         add(v)
-    parts = [f"{v} AS ({VIEWS[v]})" for v in order] + [f"{k} AS ({q})" for k, q in extra.items()]
+    parts = [f"{v} AS ({VIEWS[v]})" for v in order] + [f"{k} AS MATERIALIZED ({q})" for k, q in extra.items()]
     return f"WITH {', '.join(parts)} {body}" if parts else body

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairtender.checks.registry import query
-from fairtender.checks.standin import CONTRACT, ITEM_ORDER, PROCEDURES, base, contract_items, sql
+from fairtender.checks.standin import CONTRACT, ITEM_ORDER, PROCEDURES, contract_items, saved_base, saved_prices, sql
 from fairtender.functions.codes import procedure_group
-from fairtender.plans import contracts as pl
 from fairtender.plans import yearly
 from fairtender.sources.tables import blank_to_missing
 
@@ -46,13 +45,13 @@ def _mean_sql(value, view):
 
 @query("yearly_mean_price", _mean_sql("mean_unit_price", "price_sample"))
 def yearly_mean_price(spark, sf):
-    means = yearly.mean_by_year(pl.price_sample(base(spark, sf)), "mean_unit_price")
+    means = yearly.mean_by_year(saved_prices(spark, sf), "mean_unit_price")
     return means.select("year_suscripcion", *[F.round(f"mean_unit_price{k}", 4).alias(f"mean_unit_price{k}") for k in (0, 1)])
 
 
 @query("yearly_report_rate", _mean_sql("reporte", "base"))
 def yearly_report_rate(spark, sf):
-    means = yearly.mean_by_year(base(spark, sf), "reporte")
+    means = yearly.mean_by_year(saved_base(spark, sf), "reporte")
     return means.select("year_suscripcion", *[F.round(f"reporte{k}", 4).alias(f"reporte{k}") for k in (0, 1)])
 
 

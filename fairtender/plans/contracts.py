@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairtender.functions.codes import class_code, subsector
-from fairtender.functions.codes import year_gap
+from fairtender.functions.codes import class_code, subsector, year_gap
 from fairtender.functions.prices import parse_prices, spread_prices
 from fairtender.operators.merge import distinct_first, merge
-from fairtender.operators.rows import at_most, drop_empty_if_filled, indicator, panel_filter, present
+from fairtender.operators.rows import at_most, drop_empty_if_filled, indicator, panel_filter, panel_mark, present
 from fairtender.operators.shape import union_marked
 from fairtender.operators.skew import HOT_ROWS, attach_stats, lookup, number_rows
 from fairtender.session import stage
@@ -112,8 +111,8 @@ def regression_base(
     """Items with prices, supplier history, subsector and the reporting mark, panel entities only.
 
     ``sources`` are (items, answers) pairs, stacked with a source mark ``temp_1`` when
-    there are two; full copies within a source are removed. The filtered items and the
-    priced items are written to the shared folder, as each is read several times.
+    there are two; full copies within a source are removed. The items are read several
+    times, so stage them first; the priced items are staged here.
     """
     sources = [(stage(items), answers) for items, answers in sources]
     parts = [
@@ -145,3 +144,14 @@ def price_sample(base: DataFrame, limit: float = 0.85, good: str = "Bien", hot_r
 def computer_items(items: DataFrame, codes: DataFrame, good: str = "Bien") -> DataFrame:
     """Goods whose item code is in a code list."""
     return items.filter(F.col("objetocontractual") == good).join(codes.select("codigoitem").distinct(), "codigoitem", "left_semi")
+
+
+def computer_base(
+    goods: DataFrame, answers: DataFrame, answer: str = "gpt_unit_prices", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Computers with their prices; entities on one side of the break are marked, not dropped."""
+    spread = answer_prices(answers, contract_table(goods), answer, "computers")
+    priced = attach_prices(goods, spread, hot_rows=hot_rows)
+    reported = priced.withColumn("reporte", indicator(F.col("mean_unit_price").isNotNull()))
+    marked = panel_mark(reported, "codigoentidad", "d_pandemia", "panel", hot_rows)
+    return marked.filter(F.col("mean_unit_price").isNotNull())

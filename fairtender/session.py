@@ -48,9 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` reliably and read it back, so that a lost executor cannot change it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the shared folder and read it back.
+
+    This cuts the plan, and a lost executor cannot change what was written. A written table
+    is computed once (a checkpoint computes its rows twice), is read by column, and has a
+    known size, so Spark broadcasts it only when it is small.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
