@@ -17,6 +17,8 @@ from fairtender.operators.solve import least_squares, normal_p, student_p
 from fairtender.operators.twoway import cross_products_two
 
 MAX_DUMMIES = 400
+# cross products times replicates that one task may put out
+MAX_CELLS = 2_000_000
 COEFS = "model string, rep int, pos int, coef double, stderr double, N double, r2 double, df_m double, df_r double"
 Term = tuple[str, Column]
 
@@ -83,6 +85,11 @@ def fit(
         raise ValueError("replicate weights need a row key")
     if len(absorb) > 2:
         raise ValueError("at most two factors can be absorbed")
+    listed = len(terms)
+    if len(absorb) == 2:
+        absorb, extra = _few_as_dummies(df, list(absorb), listed + 2, reps)
+        # before the listed terms, as an absorbed factor would be
+        terms = [*extra, *terms]
     label = F.lit(model) if isinstance(model, str) else model.cast("string")
     columns = [F.lit(1.0), *[c for _, c in terms], F.col(y).cast("double")]
     levels = [F.col(a).cast("string").alias(f"level{i + 1 if i else ''}") for i, a in enumerate(absorb)]
@@ -100,7 +107,27 @@ def fit(
     else:
         sums = cross_products(design, width, reps, bool(absorb), hot_rows)
     coefs = sums.groupBy("model", "rep").applyInPandas(_solver(width, bool(absorb)), COEFS)
-    return _summarise(coefs, ["_cons", *[n for n, _ in terms]], reps)
+    hidden = len(terms) - listed
+    names = ["_cons", *[n for n, _ in terms]]
+    tidy = _summarise(coefs, names, reps)
+    if not hidden:
+        return tidy
+    return tidy.filter((F.col("pos") == 0) | (F.col("pos") > hidden)).withColumn(
+        "pos", F.when(F.col("pos") > 0, F.col("pos") - hidden).otherwise(0)
+    )
+
+
+def _few_as_dummies(df: DataFrame, absorb: list[str], width: int, reps: int) -> tuple[list[str], list[Term]]:
+    """Of two factors the one with fewer levels, as dummies, if the cross products stay small; else both are absorbed."""
+    counts = df.agg(*[F.count_distinct(a).alias(a) for a in absorb]).first()
+    small = min(absorb, key=lambda a: counts[a])
+    wide = width + counts[small]
+    if counts[small] > MAX_DUMMIES or wide * (wide + 1) // 2 * (reps + 1) > MAX_CELLS:
+        return sorted(absorb, key=lambda a: -counts[a]), []
+    text = df.select(F.col(small).cast("string").alias(small))
+    levels = sorted(factor_levels(text, small), reverse=True)
+    terms = [(f"{v}.{small}", (F.col(small).cast("string") == F.lit(v)).cast("double")) for v in levels]
+    return [a for a in absorb if a != small], terms
 
 
 def _solver(width: int, absorbed: bool):

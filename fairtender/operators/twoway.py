@@ -1,19 +1,20 @@
 """Projecting out two many-level factors at once.
 
-The factors' effects on every column are found by turns, with over-relaxation, on the table
-of level pairs, which is smaller than the rows and holds one sum per pair and replicate.
-Each turn's effects (one row per level and replicate) are written to the shared folder, so
-the plan does not grow with the turns and a lost executor costs one turn at most.
+The factors' effects solve sparse normal equations on the table of level pairs, which is
+smaller than the rows and holds one sum per pair and replicate. Conjugate gradients on the
+second factor's effects need two joins with that table per step, for all models, replicates
+and columns together. Each step's vectors (one row per level and replicate) are written to
+the shared folder, so the plan does not grow and a lost executor costs one step at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.functions.draws import replicate_weights
@@ -21,10 +22,10 @@ from fairtender.operators.moments import WORK, add_up, arrow_rows, cross_product
 from fairtender.operators.skew import HOT_ROWS, hot_keys, same_key, split_hot
 from fairtender.session import stage
 
-MAX_TURNS = 500
-TOLERANCE = 1e-8
-# turns shrink the error by at least 1 - RELAXATION unless the factors are nearly nested
-RELAXATION = 1.4
+MAX_STEPS = 1000
+# size of the residual relative to that of the column
+TOLERANCE = 1e-9
+CELL = ["model", "rep"]
 
 
 def _pair_sums(width: int, reps: int):
@@ -82,105 +83,126 @@ def cross_products_two(design: DataFrame, width: int, reps: int, hot_rows: int =
     """Sums as of :func:`cross_products` with the factors ``level`` and ``level2`` projected out."""
     design = stage(design)
     raw = cross_products(design.drop("level", "level2"), width, reps)
-    values, terms = [f"v{c}" for c in range(width)], range(1, width)
+    values, size = [f"v{c}" for c in range(width)], width - 1
     schema = "model string, level string, level2 string, rep int, " + ", ".join(f"{v} double" for v in values)
     cells = stage(
         design.mapInArrow(_pair_sums(width, reps), schema)
-        .groupBy("model", "rep", "level", "level2")
+        .groupBy(*CELL, "level", "level2")
         .agg(*[F.sum(v).alias(v) for v in values])
     )
-    split = {side: _splitter(cells, ["model", "rep", side], hot_rows) for side in ("level", "level2")}
-
-    def effects(of: str, given: str, known: DataFrame | None, last: DataFrame | None) -> DataFrame:
-        """Mean of each column by ``of`` after the known effects of ``given``, moved on from the last ones."""
-        at = cells if known is None else split[given](known, "k")
-        rest = [F.col(f"v{c}") - (F.col("v0") * F.col(f"k{c}") if known is not None else 0.0) for c in terms]
-        parts = at.select("model", "rep", of, "v0", *[r.alias(f"r{c}") for c, r in zip(terms, rest)])
-        if last is not None:
-            # the last effects ride along, so that one shuffle serves both
-            old = last.select("model", "rep", of, *[F.col(f"e{c}").alias(f"o{c}") for c in terms])
-            parts = parts.unionByName(old, allowMissingColumns=True)
-        means = [(F.sum(f"r{c}") / F.sum("v0")).alias(f"m{c}") for c in terms]
-        found = parts.groupBy("model", "rep", of).agg(*means, *([F.max(f"o{c}").alias(f"o{c}") for c in terms] if last is not None else []))
-        if last is None:
-            return stage(found.select("model", "rep", of, *[F.col(f"m{c}").alias(f"e{c}") for c in terms]))
-        step = {c: F.col(f"m{c}") - F.col(f"o{c}") for c in terms}
-        return stage(
-            found.select(
-                "model", "rep", of,
-                *[(F.col(f"o{c}") + RELAXATION * step[c]).alias(f"e{c}") for c in terms],
-                *[F.abs(step[c]).alias(f"d{c}") for c in terms],
+    with_level = _joiner(cells, [*CELL, "level"], hot_rows)
+    with_level2 = _joiner(cells, [*CELL, "level2"], hot_rows)
+
+    def sums(at: DataFrame, by: str, parts: Sequence[Column], out: str) -> DataFrame:
+        """Vectors of sums by a level, with its total weight ``n``."""
+        added = at.groupBy(*CELL, by).agg(F.sum("v0").alias("n"), *[F.sum(e).alias(f"s{c}") for c, e in enumerate(parts)])
+        return added.select(*CELL, by, "n", F.array(*[f"s{c}" for c in range(size)]).alias(out))
+
+    def means(vectors: DataFrame, of: str) -> DataFrame:
+        return vectors.withColumn(of, F.transform(of, lambda s: s / F.col("n")))
+
+    def weighted(name: str) -> list[Column]:
+        return [F.col("v0") * F.col(name)[c] for c in range(size)]
+
+    own = [F.col(v) for v in values[1:]]
+    first = stage(means(sums(cells, "level", own, "a"), "a"))
+    folded = sums(with_level(first.drop("n")), "level2", [o - w for o, w in zip(own, weighted("a"))], "r")
+    start = folded.withColumn("x", F.transform("r", lambda v: F.lit(0.0))).withColumn("p", _over_n("r"))
+    # the columns' own size is the measure: nested factors leave only rounding errors to start with
+    plain = sums(cells, "level2", own, "s").withColumn("m", _over_n("s"))
+    start = _with_scalar(start, _dot(start, "r", "p", size, "rz"))
+    state = stage(_with_scalar(start, _dot(plain, "s", "m", size, "rz0")))
+
+    for _ in range(MAX_STEPS):
+        left = state.agg(F.max(F.array_max(_ratio("rz", "rz0")))).first()[0] or 0.0
+        if left < TOLERANCE**2:
+            break
+        back = means(sums(with_level2(state.select(*CELL, "level2", "p")), "level", weighted("p"), "a"), "a")
+        pushed = sums(with_level(back.drop("n")), "level2", weighted("a"), "q").drop("n")
+        moved = stage(
+            state.join(pushed, [*CELL, "level2"])
+            .withColumn("q", F.zip_with(F.transform("p", lambda v: v * F.col("n")), "q", lambda a, b: a - b))
+        )
+        stepped = _with_scalar(moved, _dot(moved, "p", "q", size, "pq")).withColumn("step", _ratio("rz", "pq"))
+        stepped = stepped.withColumn("x", _plus("x", "step", "p", 1)).withColumn("r", _plus("r", "step", "q", -1))
+        stepped = stepped.withColumn("z", _over_n("r"))
+        turned = _with_scalar(stepped, _dot(stepped, "r", "z", size, "new")).withColumn("turn", _ratio("new", "rz"))
+        state = stage(
+            turned.withColumn("p", _plus("z", "turn", "p", 1)).select(
+                *CELL, "level2", "n", "x", "r", "p", F.col("new").alias("rz"), "rz0"
             )
         )
 
-    first = effects("level", "level2", None, None)
-    second = effects("level2", "level", first, None)
-    for _ in range(MAX_TURNS):
-        first = effects("level", "level2", second, first)
-        second = effects("level2", "level", first, second)
-        if _change(second, width) < TOLERANCE:
-            break
-
-    fitted = split["level"](first, "a")
-    fitted = _splitter(fitted, ["model", "rep", "level2"], hot_rows)(second, "b")
-    effect = F.array(F.lit(0.0), *[F.col(f"a{c}") + F.col(f"b{c}") for c in terms])
-    packed = fitted.select("model", "rep", F.array(*values).alias("v"), effect.alias("effect"))
+    second = state.select(*CELL, "level2", F.col("x").alias("b"))
+    first = stage(means(sums(with_level2(second), "level", [o - w for o, w in zip(own, weighted("b"))], "a"), "a")).drop("n")
+    fitted = _joiner(with_level(first), [*CELL, "level2"], hot_rows)(second)
+    effect = F.concat(F.array(F.lit(0.0)), F.zip_with("a", "b", lambda a, b: a + b))
+    packed = fitted.select(*CELL, F.array(*values).alias("v"), effect.alias("effect"))
     products = add_up(packed.mapInArrow(_pair_products(width), PRODUCTS))
-    return raw.unionByName(products).unionByName(_first_levels(first, second, width)).unionByName(_level_counts(cells))
+    return raw.unionByName(products).unionByName(_first_levels(first, second)).unionByName(_level_counts(cells))
+
+
+def _over_n(name: str) -> Column:
+    return F.transform(name, lambda v: v / F.col("n"))
+
+
+def _ratio(top: str, bottom: str) -> Column:
+    """Element by element, 0 where nothing is left to divide by."""
+    return F.zip_with(top, bottom, lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+
 
+def _plus(base: str, factor: str, other: str, sign: int) -> Column:
+    return F.zip_with(base, F.zip_with(factor, other, lambda f, o: f * o), lambda b, m: b + sign * m)
 
-def _splitter(cells: DataFrame, on: list[str], hot_rows: int):
-    """A join of the pair table with effects by ``on``; hot keys get theirs broadcast."""
+
+def _dot(df: DataFrame, a: str, b: str, size: int, out: str) -> DataFrame:
+    """Scalar products per model, replicate and column."""
+    added = df.groupBy(*CELL).agg(*[F.sum(F.col(a)[c] * F.col(b)[c]).alias(f"d{c}") for c in range(size)])
+    return added.select(*CELL, F.array(*[f"d{c}" for c in range(size)]).alias(out))
+
+
+def _with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
+    # models times replicates rows
+    return df.join(F.broadcast(scalar), CELL)
+
+
+def _joiner(cells: DataFrame, on: list[str], hot_rows: int):
+    """A join of the pair table with vectors by ``on``; hot keys get theirs broadcast."""
     hot, _ = hot_keys(cells, on, hot_rows)
 
-    def join(rows: DataFrame, known: DataFrame, prefix: str, small: bool) -> DataFrame:
-        names = [c for c in known.columns if c.startswith("e")]
-        side = known.select(*[F.col(c).alias(f"_{c}") for c in on], *[F.col(c).alias(prefix + c[1:]) for c in names])
+    def join(rows: DataFrame, known: DataFrame, small: bool) -> DataFrame:
+        side = known.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in known.columns])
         match = same_key(rows, side, [(c, f"_{c}") for c in on])
         return rows.join(F.broadcast(side) if small else side, match).drop(*[f"_{c}" for c in on])
 
-    def attach(known: DataFrame, prefix: str) -> DataFrame:
+    def attach(known: DataFrame) -> DataFrame:
         if hot is None:
-            return join(cells, known, prefix, False)
+            return join(cells, known, False)
         calm, crowded = split_hot(cells, on, hot)
         _, wanted = split_hot(known, on, hot)
-        return join(calm, known, prefix, False).unionByName(join(crowded, wanted, prefix, True))
+        return join(calm, known, False).unionByName(join(crowded, wanted, True))
 
     return attach
 
 
-def _change(effects: DataFrame, width: int) -> float:
-    """Largest step of the last turn, relative to the largest effect on the column."""
-    row = effects.agg(
-        *[F.max(f"d{c}").alias(f"d{c}") for c in range(1, width)],
-        *[F.max(F.abs(f"e{c}")).alias(f"m{c}") for c in range(1, width)],
-    ).first()
-    return max((row[f"d{c}"] or 0.0) / (row[f"m{c}"] or 1.0) for c in range(1, width))
-
-
-def _first_levels(first: DataFrame, second: DataFrame, width: int) -> DataFrame:
+def _first_levels(first: DataFrame, second: DataFrame) -> DataFrame:
     """Effects of both factors' first levels, for the constant."""
 
-    def lowest(effects: DataFrame, level: str, prefix: str) -> DataFrame:
-        packed = F.min(F.struct(level, *[f"e{c}" for c in range(1, width)])).alias("low")
-        return effects.groupBy("model", "rep").agg(packed).select(
-            "model", "rep", *[F.col(f"low.e{c}").alias(f"{prefix}{c}") for c in range(1, width)]
-        )
+    def lowest(effects: DataFrame, level: str, name: str) -> DataFrame:
+        return effects.groupBy(*CELL).agg(F.min(F.struct(level, name)).alias("low")).select(*CELL, F.col(f"low.{name}").alias(name))
 
-    both = lowest(first, "level", "a").join(lowest(second, "level2", "b"), ["model", "rep"])
-    entries = [F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("s"))] + [
-        F.struct(F.lit(c).alias("i"), (F.col(f"a{c}") + F.col(f"b{c}")).alias("s")) for c in range(1, width)
-    ]
-    long = both.select("model", "rep", F.explode(F.array(*entries)).alias("c"))
-    return long.select("model", "rep", F.lit(2).alias("kind"), "c.i", F.lit(-1).alias("j"), "c.s")
+    both = lowest(first, "level", "a").join(lowest(second, "level2", "b"), CELL)
+    entries = F.concat(F.array(F.lit(1.0)), F.zip_with("a", "b", lambda a, b: a + b))
+    long = both.select(*CELL, F.posexplode(entries).alias("i", "s"))
+    return long.select(*CELL, F.lit(2).alias("kind"), "i", F.lit(-1).alias("j"), "s")
 
 
 def _level_counts(cells: DataFrame) -> DataFrame:
     """Levels of both factors, less one they share with each other."""
 
     def levels(side: str) -> DataFrame:
-        return cells.select("model", "rep", side).distinct().groupBy("model", "rep").agg(F.count(F.lit(1)).alias(side))
+        return cells.select(*CELL, side).distinct().groupBy(*CELL).agg(F.count(F.lit(1)).alias(side))
 
-    both = levels("level").join(levels("level2"), ["model", "rep"])
+    both = levels("level").join(levels("level2"), CELL)
     total = (F.col("level") + F.col("level2") - 1).cast("double")
-    return both.select("model", "rep", F.lit(3).alias("kind"), F.lit(0).alias("i"), F.lit(-1).alias("j"), total.alias("s"))
+    return both.select(*CELL, F.lit(3).alias("kind"), F.lit(0).alias("i"), F.lit(-1).alias("j"), total.alias("s"))

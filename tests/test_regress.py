@@ -83,6 +83,29 @@ def test_bootstrap_errors(items, local, absorb, hot_rows):
     np.testing.assert_allclose(out.pval, [normal_p(z) for z in out.coef / out.stderr], rtol=1e-9)
 
 
+@pytest.mark.parametrize("hot_rows", [5_000_000, 30])
+def test_two_large_factors(items, local, hot_rows, monkeypatch):
+    """With no room for dummies both factors are projected out step by step."""
+    monkeypatch.setattr(rg, "MAX_CELLS", 0)
+    few = items.filter("n_cod_contrato % 16 = 0")
+    part = local[local.n_cod_contrato % 16 == 0]
+    out = by_pos(rg.fit(few, Y, TERMS(), ("codigoentidad", "tipoentidad"), key=KEY, reps=2, hot_rows=hot_rows))
+    x, y = columns(part, "codigoentidad"), part[Y].to_numpy(float)
+    w = replicate_weights(part.h.to_numpy(), 1, 2)
+    coefs = np.array([solve(x, y, w[:, r])[0][1:5] for r in range(2)])
+    np.testing.assert_allclose(out.coef[1:], solve(x, y)[0][1:5], rtol=1e-5)
+    np.testing.assert_allclose(out.stderr[1:], coefs.std(axis=0), rtol=1e-4)
+
+
+def test_crossed_large_factors(items, local, monkeypatch):
+    monkeypatch.setattr(rg, "MAX_CELLS", 0)
+    out = by_pos(rg.fit(items, Y, TERMS(), ("codigoentidad", "ruc_proveedor")))
+    x, y = columns(local, "codigoentidad", "ruc_proveedor"), local[Y].to_numpy(float)
+    b, r = solve(x, y)
+    np.testing.assert_allclose(out.coef, b[:5], rtol=1e-5)
+    assert out.r2[0] == pytest.approx(1 - (r @ r) / ((y - y.mean()) @ (y - y.mean())), rel=1e-6)
+
+
 def test_factor_dummies_and_omitted_terms(items, local):
     months = rg.dummies("monthyear_suscripcion", rg.factor_levels(items, "monthyear_suscripcion"))
     out = by_pos(rg.fit(items, Y, [*months, *TERMS()], ["codigoentidad"]))
