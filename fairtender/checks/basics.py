@@ -327,14 +327,14 @@ def agg_min(spark, sf):
 
 @query(
     "agg_by_stats",
-    """SELECT l_returnflag, round(avg(l_extendedprice), 4) AS price, round(avg(l_discount), 6) AS discount,
-      round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY ROLLUP (l_returnflag)""",
+    """SELECT l_returnflag, round(avg(l_extendedprice), 4) AS price, round(avg(l_discount), 8) AS discount,
+      round(avg(l_tax), 8) AS tax FROM lineitem GROUP BY ROLLUP (l_returnflag)""",
 )
 def agg_by_stats(spark, sf):
     return table(spark, sf, "lineitem").rollup("l_returnflag").agg(
         F.round(F.avg("l_extendedprice"), 4).alias("price"),
-        F.round(F.avg("l_discount"), 6).alias("discount"),
-        F.round(F.avg("l_tax"), 6).alias("tax"),
+        F.round(F.avg("l_discount"), 8).alias("discount"),
+        F.round(F.avg("l_tax"), 8).alias("tax"),
     )
 
 

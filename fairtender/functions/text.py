@@ -14,11 +14,13 @@ COMPLETION_END = " \n\n###\n\n"
 
 
 def clean_text(text: Column) -> Column:
-    """Drop currency marks, line breaks, repeated stops and every character outside the kept set."""
-    steps = [(r"\$+", " "), (r"\n+", " "), (r"\.+", "."), (r",+", ","), (";", " "), (" +", " "), (KEPT_CHARACTERS, "")]
-    for pattern, by in steps:
-        text = F.regexp_replace(text, pattern, by)
-    return text
+    """Drop currency marks, line breaks, repeated stops and every character outside the kept set.
+
+    Marks, breaks and semicolons become spaces; runs of spaces, stops or commas become one.
+    """
+    spaced = F.translate(text, "$\n;", "   ")
+    single = F.regexp_replace(spaced, r"([ .,])\1+", "$1")
+    return F.regexp_replace(single, KEPT_CHARACTERS, "")
 
 
 def normalise_text(text: Column) -> Column:

@@ -33,8 +33,8 @@ from fairtender.operators.skew import HOT_ROWS, same_key
 
 LONG = "model string, rep int, part string, kind int, i int, j int, s double"
 ORDINARY, HOT, FIRST = 0, 1, 2
-# doubles held at once by a task for weights times columns
-WORK = 8_000_000
+# doubles of weights worked on at once, so that they stay in the cache
+WORK = 200_000
 
 
 def _long(model: str, kind: int, cube: np.ndarray, part: str | None = None, pairs=None) -> pd.DataFrame:
@@ -114,7 +114,7 @@ def arrow_rows(rows: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _accumulate(width: int, reps: int, absorb: bool):
-    chunk = max(64, WORK // ((reps + 1) * width))
+    chunk = max(64, WORK // (reps + 1))
     schema = pa.schema(
         [("model", pa.string()), ("rep", pa.int32()), ("part", pa.string()), ("kind", pa.int32())]
         + [("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64())]
@@ -175,7 +175,9 @@ def add_up(long: DataFrame) -> DataFrame:
 def cross_products(design: DataFrame, width: int, reps: int, absorb: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Sums for ``design`` (model, hash, array ``v``, and ``level`` if a factor is absorbed)."""
     if not absorb:
-        ordered = design.sortWithinPartitions("model")
+        # replicates cost far more than moving a row once, so their work is dealt out evenly
+        dealt = design.repartition("hash") if reps else design
+        ordered = dealt.sortWithinPartitions("model")
         return add_up(ordered.mapInArrow(_accumulate(width, reps, False), LONG))
 
     # A level's rows meet in one task, unless it is hot: then it is spread, and its sums

@@ -29,7 +29,7 @@ CELL = ["model", "rep"]
 
 
 def _pair_sums(width: int, reps: int):
-    chunk = max(64, WORK // ((reps + 1) * width))
+    chunk = max(64, 40 * WORK // ((reps + 1) * width))
     keys, columns = ["model", "level", "level2"], [f"v{c}" for c in range(width)]
     schema = pa.schema(
         [(k, pa.string()) for k in keys] + [("rep", pa.int32())] + [(c, pa.float64()) for c in columns]
