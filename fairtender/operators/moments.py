@@ -5,17 +5,18 @@ batches); the matrices are added up in Spark. Rows never multiply by the number
 replicates, and what is shuffled does not grow with the rows, except for the rows
 themselves, once, if a factor is absorbed.
 
-Rows of the long result are (model, rep, kind, i, j, s) with ``i <= j`` numbering the
+The long result is (model, rep, part, kind, i, j, s, x) with ``i <= j`` numbering the
 columns constant, terms, outcome:
 
-====  =========================================================
-kind  s
-====  =========================================================
-0     sum of w * v_i * v_j
-1     the same explained by the absorbed factors, to be subtracted
-2     sum of w * v_i over the first level of the absorbed factor
-3     number of levels of the absorbed factor
-====  =========================================================
+====  ==================================================================================
+kind  content
+====  ==================================================================================
+0     s: sum of w * v_i * v_j; x: what the absorbed factors explain of it
+1     s: sum of w * v_i over a level ``part`` that was split over tasks
+2     the same for the first level, which gives the constant
+3     s: number of other levels
+4     s: effect of the first levels on column i, where these were solved for
+====  ==================================================================================
 """
 
 from __future__ import annotations
@@ -31,13 +32,18 @@ from pyspark.sql import functions as F
 from fairtender.functions.draws import replicate_weights
 from fairtender.operators.skew import HOT_ROWS, same_key
 
-LONG = "model string, rep int, part string, kind int, i int, j int, s double"
+LONG = "model string, rep int, part string, kind int, i int, j int, s double, x double"
+KEYS = ["model", "rep", "part", "kind", "i", "j"]
 ORDINARY, HOT, FIRST = 0, 1, 2
+# a level with a smaller part of the rows is no burden to one task
+LARGE_PART = 10_000
 # doubles of weights worked on at once, so that they stay in the cache
 WORK = 200_000
 
 
-def _long(model: str, kind: int, cube: np.ndarray, part: str | None = None, pairs=None) -> pd.DataFrame:
+def _long(
+    model: str, kind: int, cube: np.ndarray, part: str | None = None, pairs=None, explained: np.ndarray | None = None
+) -> pd.DataFrame:
     """Rows of a (replicate, cell) array."""
     reps, cells = cube.shape
     i, j = pairs if pairs is not None else (np.arange(cells), np.full(cells, -1))
@@ -50,6 +56,7 @@ def _long(model: str, kind: int, cube: np.ndarray, part: str | None = None, pair
             "i": np.tile(i.astype("int32"), reps),
             "j": np.tile(j.astype("int32"), reps),
             "s": cube.ravel(),
+            "x": np.zeros(cube.size) if explained is None else explained.ravel(),
         }
     )
 
@@ -93,9 +100,8 @@ class _Sums:
     def rows(self) -> Iterator[pd.DataFrame]:
         if self.open is not None:
             self._close(self.open[None], np.array([self.role]), np.array([self.level], dtype=object))
-        yield _long(self.model, 0, self.raw, None, self.upper)
+        yield _long(self.model, 0, self.raw, None, self.upper, self.explained[:, self.upper[0], self.upper[1]])
         if self.absorb:
-            yield _long(self.model, 1, self.explained[:, self.upper[0], self.upper[1]], None, self.upper)
             yield _long(self.model, 3, np.full((self.reps + 1, 1), float(self.levels)))
         yield from self.parts
 
@@ -117,7 +123,7 @@ def _accumulate(width: int, reps: int, absorb: bool):
     chunk = max(64, WORK // (reps + 1))
     schema = pa.schema(
         [("model", pa.string()), ("rep", pa.int32()), ("part", pa.string()), ("kind", pa.int32())]
-        + [("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64())]
+        + [("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64()), ("x", pa.float64())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,30 +152,8 @@ def _accumulate(width: int, reps: int, absorb: bool):
     return run
 
 
-def _project_parts(width: int):
-    """Turn the collected sums of one split level into what it explains."""
-    upper = np.triu_indices(width)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        part = group["part"].iloc[0]
-        if part is None or pd.isna(part):
-            return group
-        sums = np.zeros(width)
-        np.add.at(sums, group["i"].to_numpy(), group["s"].to_numpy())
-        one = {"model": group["model"].iloc[0], "rep": group["rep"].iloc[0], "part": None}
-        out = [
-            pd.DataFrame({**one, "kind": 1, "i": upper[0], "j": upper[1], "s": sums[upper[0]] * sums[upper[1]] / sums[0]}),
-            pd.DataFrame({**one, "kind": 3, "i": 0, "j": -1, "s": [1.0]}),
-        ]
-        if group["kind"].iloc[0] == FIRST:
-            out.append(pd.DataFrame({**one, "kind": 2, "i": np.arange(width), "j": -1, "s": sums}))
-        return pd.concat(out)
-
-    return run
-
-
 def add_up(long: DataFrame) -> DataFrame:
-    return long.groupBy("model", "rep", "kind", "i", "j").agg(F.sum("s").alias("s"))
+    return long.groupBy(*KEYS).agg(F.sum("s").alias("s"), F.sum("x").alias("x"))
 
 
 def cross_products(design: DataFrame, width: int, reps: int, absorb: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -181,22 +165,18 @@ def cross_products(design: DataFrame, width: int, reps: int, absorb: bool = Fals
         return add_up(ordered.mapInArrow(_accumulate(width, reps, False), LONG))
 
     # A level's rows meet in one task, unless it is hot: then it is spread, and its sums
-    # are brought together later. At most rows / hot_rows levels are hot, plus one first
-    # level per model.
+    # are brought together later. At most LARGE_PART levels are, plus one first level, per model.
     sizes = design.groupBy("model", "level").agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.groupBy("model").agg(F.min("level").alias("level"), F.lit(0).cast("long").alias("n"))
-    special = (
-        sizes.filter(F.col("n") > hot_rows)
-        .unionByName(first)
-        .groupBy(F.col("model").alias("_m"), F.col("level").alias("_l"))
-        .agg(F.when(F.min("n") == 0, FIRST).otherwise(HOT).alias("role"), F.max("n").alias("_n"))
+    whole = sizes.groupBy(F.col("model").alias("_m")).agg(F.min("level").alias("_first"), F.sum("n").alias("_rows"))
+    is_first = F.col("level") == F.col("_first")
+    is_hot = F.col("n") > F.greatest(F.lit(hot_rows), F.floor(F.col("_rows") / LARGE_PART))
+    # one row per model
+    special = sizes.join(F.broadcast(whole), F.expr("model = _m")).filter(is_first | is_hot).select(
+        "_m", F.col("level").alias("_l"), F.when(is_first, FIRST).otherwise(HOT).alias("role")
     )
     marked = design.join(
         F.broadcast(special), same_key(design, special, [("model", "_m"), ("level", "_l")]), "left"
     ).withColumn("role", F.coalesce("role", F.lit(ORDINARY)))
     spread = F.when(F.col("role") == ORDINARY, 0).otherwise(F.pmod(F.col("hash"), F.lit(1009)))
-    placed = marked.drop("_m", "_l", "_n").repartition("model", "level", spread).sortWithinPartitions("model", "level")
-    parts = placed.mapInArrow(_accumulate(width, reps, True), LONG)
-    summed = parts.groupBy("model", "rep", "part", "kind", "i", "j").agg(F.sum("s").alias("s"))
-    whole = summed.groupBy("model", "rep", "part").applyInPandas(_project_parts(width), LONG)
-    return add_up(whole)
+    placed = marked.drop("_m", "_l").repartition("model", "level", spread).sortWithinPartitions("model", "level")
+    return add_up(placed.mapInArrow(_accumulate(width, reps, True), LONG))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,7 +107,9 @@ def fit(
         sums = cross_products_two(design, width, reps, hot_rows)
     else:
         sums = cross_products(design, width, reps, bool(absorb), hot_rows)
-    coefs = sums.groupBy("model", "rep").applyInPandas(_solver(width, bool(absorb)), COEFS)
+    # a list of at most width * (width + parts) numbers per model and replicate
+    cells = sums.groupBy("model", "rep").agg(F.collect_list(F.struct("part", "kind", "i", "j", "s", "x")).alias("cells"))
+    coefs = cells.mapInArrow(_solver(width, bool(absorb)), COEFS)
     hidden = len(terms) - listed
     names = ["_cons", *[n for n, _ in terms]]
     tidy = _summarise(coefs, names, reps)
@@ -130,27 +133,56 @@ def _few_as_dummies(df: DataFrame, absorb: list[str], width: int, reps: int) ->
     return [a for a in absorb if a != small], terms
 
 
+def _normal_equations(cells: pd.DataFrame, width: int, absorbed: bool):
+    """Cross products, what the absorbed factors explain, sums of the first level, number of levels."""
+    def square(column: str) -> np.ndarray:
+        out = np.zeros((width, width))
+        out[gram["i"], gram["j"]] = gram[column]
+        return out + np.triu(out, 1).T
+
+    kind = cells["kind"].to_numpy()
+    gram = {c: cells[c].to_numpy()[kind == 0] for c in ("i", "j", "s", "x")}
+    raw = square("s")
+    if not absorbed:
+        return raw, None, None, 0.0
+    explained, levels, first = square("x"), cells["s"].to_numpy()[kind == 3].sum(), None
+    for part, level in cells[(kind == 1) | (kind == 2)].groupby("part"):
+        sums = np.zeros(width)
+        np.add.at(sums, level["i"].to_numpy(), level["s"].to_numpy())
+        explained += np.outer(sums, sums) / sums[0]
+        levels += 1
+        if level["kind"].iloc[0] == 2:
+            first = sums
+    if (kind == 4).any():
+        first = np.zeros(width)
+        first[cells["i"].to_numpy()[kind == 4]] = cells["s"].to_numpy()[kind == 4]
+    return raw, explained, first, levels
+
+
 def _solver(width: int, absorbed: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        def square(kind: int) -> np.ndarray:
-            part = group[group["kind"] == kind]
-            out = np.zeros((width, width))
-            out[part["i"], part["j"]] = part["s"]
-            return np.triu(out) + np.triu(out, 1).T
-
-        first = None
-        part = group[group["kind"] == 2]
-        if len(part):
-            first = np.zeros(width)
-            first[part["i"]] = part["s"]
-        levels = group.loc[group["kind"] == 3, "s"].sum()
-        out = least_squares(square(0), square(1) if absorbed else None, first, levels)
-        pos = np.arange(width - 1, dtype="int32")
-        return pd.DataFrame({"model": group["model"].iloc[0], "rep": group["rep"].iloc[0], "pos": pos, **out})
+    pos = np.arange(width - 1, dtype="int32")
+    schema = pa.schema(
+        [("model", pa.string()), ("rep", pa.int32()), ("pos", pa.int32())]
+        + [(c, pa.float64()) for c in ("coef", "stderr", "N", "r2", "df_m", "df_r")]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cells = pd.DataFrame(
+                    {f.name: c.to_numpy(zero_copy_only=False) for f, c in _fields(batch.column("cells")[k].values)}
+                )
+                out = least_squares(*_normal_equations(cells, width, absorbed))
+                head = {"model": batch.column("model")[k].as_py(), "rep": np.int32(batch.column("rep")[k].as_py())}
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({**head, "pos": pos, **out}), schema, preserve_index=False)
 
     return run
 
 
+def _fields(structs: pa.StructArray) -> list[tuple[pa.Field, pa.Array]]:
+    return list(zip(structs.type, structs.flatten()))
+
+
 @F.pandas_udf(T.DoubleType())
 def _p_value(ratio: pd.Series, df_r: pd.Series) -> pd.Series:
     """Normal where no degrees of freedom are given."""

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.functions.draws import replicate_weights
-from fairtender.operators.moments import WORK, add_up, arrow_rows, cross_products, matrix, texts
+from fairtender.operators.moments import LONG, WORK, add_up, arrow_rows, cross_products, matrix, texts
 from fairtender.operators.skew import HOT_ROWS, hot_keys, same_key, split_hot
 from fairtender.session import stage
 
@@ -54,15 +54,12 @@ def _pair_sums(width: int, reps: int):
     return run
 
 
-PRODUCTS = "model string, rep int, kind int, i int, j int, s double"
-
-
 def _pair_products(width: int):
     """Sums of columns times fitted effects, a small matrix per model and replicate in each task."""
     i, j = np.triu_indices(width)
     schema = pa.schema(
-        [("model", pa.string()), ("rep", pa.int32()), ("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32())]
-        + [("s", pa.float64())]
+        [("model", pa.string()), ("rep", pa.int32()), ("part", pa.string()), ("kind", pa.int32())]
+        + [("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64()), ("x", pa.float64())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +70,8 @@ def _pair_products(width: int):
             for key, rows in keys.groupby(["model", "rep"]).indices.items():
                 sums[key] = sums.get(key, 0.0) + values[rows].T @ effects[rows]
         for (model, rep), product in sums.items():
-            out = {"model": model, "rep": np.int32(rep), "kind": np.int32(1), "i": i, "j": j, "s": product[i, j]}
+            out = {"model": model, "rep": np.int32(rep), "part": None, "kind": np.int32(0), "i": i, "j": j}
+            out |= {"s": 0.0, "x": product[i, j]}
             yield arrow_rows(pd.DataFrame(out), schema)
 
     return run
@@ -138,8 +136,9 @@ def cross_products_two(design: DataFrame, width: int, reps: int, hot_rows: int =
     fitted = _joiner(with_level(first), [*CELL, "level2"], hot_rows)(second)
     effect = F.concat(F.array(F.lit(0.0)), F.zip_with("a", "b", lambda a, b: a + b))
     packed = fitted.select(*CELL, F.array(*values).alias("v"), effect.alias("effect"))
-    products = add_up(packed.mapInArrow(_pair_products(width), PRODUCTS))
-    return raw.unionByName(products).unionByName(_first_levels(first, second)).unionByName(_level_counts(cells))
+    products = packed.mapInArrow(_pair_products(width), LONG)
+    rest = _first_levels(first, second).unionByName(_level_counts(cells))
+    return add_up(raw.unionByName(products).unionByName(rest.select("*", F.lit(None).cast("string").alias("part"), F.lit(0.0).alias("x"))))
 
 
 def _over_n(name: str) -> Column:
@@ -194,7 +193,7 @@ def _first_levels(first: DataFrame, second: DataFrame) -> DataFrame:
     both = lowest(first, "level", "a").join(lowest(second, "level2", "b"), CELL)
     entries = F.concat(F.array(F.lit(1.0)), F.zip_with("a", "b", lambda a, b: a + b))
     long = both.select(*CELL, F.posexplode(entries).alias("i", "s"))
-    return long.select(*CELL, F.lit(2).alias("kind"), "i", F.lit(-1).alias("j"), "s")
+    return long.select(*CELL, F.lit(4).alias("kind"), "i", F.lit(-1).alias("j"), "s")
 
 
 def _level_counts(cells: DataFrame) -> DataFrame:
