@@ -26,6 +26,7 @@ from fairtender.operators import rows, shape
 from fairtender.operators.merge import distinct_first, merge
 from fairtender.operators.skew import attach_stats, number_rows
 from fairtender.plans import contracts as pl
+from fairtender.session import stage
 
 KEY = [CONTRACT, *ITEM_ORDER]
 KEY_SQL = "n_cod_contrato, n_item, codigoitem, ruc_proveedor, monto_contratado_item"
@@ -324,7 +325,7 @@ def count_nonmissing_row(spark, sf):
 
 @query("spread_prices", sql("SELECT n_cod_contrato, item_group, round(mean_unit_price, 4) AS mean_unit_price FROM spread_first", "spread_first"))
 def spread_prices(spark, sf):
-    spread = pl.answer_prices(answers(spark, sf), pl.contract_table(selected_items(spark, sf)), "gpt_unit_prices")
+    spread = pl.answer_prices(answers(spark, sf), pl.item_counts(selected_items(spark, sf)), "gpt_unit_prices")
     return spread.withColumn("mean_unit_price", F.round("mean_unit_price", 4))
 
 
@@ -342,8 +343,8 @@ def spread_prices_long(spark, sf):
 
 @query("join_inner_group", sql(f"SELECT {KEY_SQL}, item_group, round(mean_unit_price, 4) AS mean_unit_price FROM priced_first", "priced_first"))
 def join_inner_group(spark, sf):
-    items = selected_items(spark, sf)
-    spread = pl.answer_prices(answers(spark, sf), pl.contract_table(items), "gpt_unit_prices")
+    items = stage(selected_items(spark, sf))
+    spread = pl.answer_prices(answers(spark, sf), pl.item_counts(items), "gpt_unit_prices")
     return pl.attach_prices(items, spread).select(*KEY, "item_group", F.round("mean_unit_price", 4).alias("mean_unit_price"))
 
 

@@ -21,7 +21,9 @@ SHARES = f"""SELECT *, {", ".join(f"round(CAST(num_contratos{g} AS DOUBLE) / nul
 
 
 def _counts(spark, sf):
-    return yearly.contract_counts(contract_items(spark, sf), procedure_group(F.col("tipoprocesoseleccion"), PROCEDURES), CONTRACT, ITEM_ORDER)
+    # stated as a list, so that the scan can skip what belongs to no group
+    items = contract_items(spark, sf).filter(F.col("tipoprocesoseleccion").isin(*PROCEDURES))
+    return yearly.contract_counts(items, procedure_group(F.col("tipoprocesoseleccion"), PROCEDURES), CONTRACT, ITEM_ORDER)
 
 
 @query("yearly_contract_counts", sql(COUNTS, "contract_items"))

@@ -136,8 +136,8 @@ def too_long(stats: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
 def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Smallest, largest, mean, median and the 0.1 and 0.9 quantiles of each column, one row each.
 
-    Quantiles are exact. Values are counted first, so what is sorted is the distinct
-    values and their frequencies, not the rows.
+    Quantiles are exact. Values are counted first, so what meets in one task is the
+    distinct values of a measure: for counts no more than the longest example has tokens.
     """
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "measure", "x")
     counted = long.groupBy("measure", "x").agg(F.count(F.lit(1)).alias("f"))

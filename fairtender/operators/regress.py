@@ -234,10 +234,8 @@ def boot_weights(df: DataFrame, key: Sequence[str], reps: int = 300, seed: int =
 
 def scaled_weights(df: DataFrame, weights: str = "rw", reps: int = 300) -> DataFrame:
     """The same divided by each replicate's mean, so that every replicate averages 1."""
-    means = df.agg(F.array(*[F.avg(F.col(weights)[r]) for r in range(reps)]).alias("_means"))
-    # one row
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(means.withColumn("_one", F.lit(1))), "_one")
-    return joined.withColumn(weights, F.zip_with(weights, "_means", lambda w, m: w / m)).drop("_one", "_means")
+    means = df.agg(*[F.avg(F.col(weights)[r]).alias(f"m{r}") for r in range(reps)]).first()
+    return df.withColumn(weights, F.zip_with(weights, F.array(*[F.lit(m) for m in means]), lambda w, m: w / m))
 
 
 # ---- families of models ------------------------------------------------------------------

@@ -46,9 +46,17 @@ def contract_table(items: DataFrame) -> DataFrame:
     return merge(contracts, dates, ["urlcontrato"])
 
 
+def item_counts(items: DataFrame) -> DataFrame:
+    """Items per contract with a document, which is all the prices need of the contract table."""
+    return items.filter(present("urlcontrato")).groupBy(CONTRACT).agg(F.count("n_item").alias("item_count"))
+
+
 def answer_prices(answers: DataFrame, contracts: DataFrame, answer: str, dialect: str = "main") -> DataFrame:
-    """(contract, item_group, mean_unit_price) out of the model's answers."""
-    joined = merge(contracts.select(CONTRACT, "item_count"), answers, [CONTRACT], keepusing=[answer])
+    """(contract, item_group, mean_unit_price) out of the model's answers.
+
+    An answer without a contract has no item to go to, so the join keeps the contracts.
+    """
+    joined = merge(contracts.select(CONTRACT, "item_count"), answers, [CONTRACT], keep={1, 3}, keepusing=[answer])
     groups = spread_prices(parse_prices(F.col(answer), dialect), F.col("item_count"))
     return joined.select(CONTRACT, F.inline(groups))
 
@@ -116,7 +124,7 @@ def regression_base(
     """
     sources = [(stage(items), answers) for items, answers in sources]
     parts = [
-        attach_prices(items, answer_prices(answers, contract_table(items), answer, dialect), hot_rows=hot_rows)
+        attach_prices(items, answer_prices(answers, item_counts(items), answer, dialect), hot_rows=hot_rows)
         for items, answers in sources
     ]
     stacked = parts[0]
@@ -143,14 +151,15 @@ def price_sample(base: DataFrame, limit: float = 0.85, good: str = "Bien", hot_r
 
 def computer_items(items: DataFrame, codes: DataFrame, good: str = "Bien") -> DataFrame:
     """Goods whose item code is in a code list."""
-    return items.filter(F.col("objetocontractual") == good).join(codes.select("codigoitem").distinct(), "codigoitem", "left_semi")
+    goods = items.filter(F.col("objetocontractual") == good)
+    return lookup(goods, codes.select("codigoitem").distinct(), ["codigoitem"], "inner")
 
 
 def computer_base(
     goods: DataFrame, answers: DataFrame, answer: str = "gpt_unit_prices", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Computers with their prices; entities on one side of the break are marked, not dropped."""
-    spread = answer_prices(answers, contract_table(goods), answer, "computers")
+    spread = answer_prices(answers, item_counts(goods), answer, "computers")
     priced = attach_prices(goods, spread, hot_rows=hot_rows)
     reported = priced.withColumn("reporte", indicator(F.col("mean_unit_price").isNotNull()))
     marked = panel_mark(reported, "codigoentidad", "d_pandemia", "panel", hot_rows)

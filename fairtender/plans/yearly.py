@@ -22,15 +22,14 @@ def contract_counts(
     first one is 0, one without items is missing.
     """
     grouped = items.withColumn("_g", group).filter(F.col("_g").isNotNull())
-    cells = grouped.groupBy(contract, F.col(year).alias("y"), F.col("_g").alias("g")).agg(
-        F.min(order_struct(order)).alias("o")
+    cell = F.struct(F.col(year).alias("y"), F.col("_g").alias("g"))
+    # per contract: the cell of its first item, and the few cells its items lie in
+    firsts = grouped.groupBy(contract).agg(
+        F.min(F.struct(order_struct(order).alias("o"), cell.alias("c"))).alias("f"), F.collect_set(cell).alias("seen")
     )
-    firsts = cells.groupBy(contract).agg(
-        F.min(F.struct("o", "y", "g")).alias("f"), F.collect_set(F.struct("y", "g")).alias("seen")
+    marked = firsts.select(F.col("f.c").alias("first"), F.explode("seen").alias("c")).select(
+        "c.y", "c.g", (F.col("c") == F.col("first")).cast("long").alias("n")
     )
-    marked = firsts.select(
-        "f", F.explode("seen").alias("c")
-    ).select("c.y", "c.g", ((F.col("c.y") == F.col("f.y")) & (F.col("c.g") == F.col("f.g"))).cast("long").alias("n"))
     counts = marked.groupBy("y", "g").agg(F.sum("n").alias("num_contratos"))
     return to_wide(counts, ["y"], "g", ["num_contratos"], GROUPS).withColumnRenamed("y", year)
 
