@@ -19,6 +19,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def deal_out(df: DataFrame) -> DataFrame:
+    """Spread a table that lies in fewer files than there are cores, so that none stays idle.
+
+    A table of many files comes back as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write, replacing what is there."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
