@@ -73,7 +73,7 @@ def _broadcast_join(rows: DataFrame, side: DataFrame, on: Sequence[str], how: st
 def attach_stats(
     df: DataFrame, by: Sequence[str], stats: dict[str, Column], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add to every row aggregates of its group (the ``egen … by()`` family)."""
+    """Add to every row aggregates of its group."""
     hot, _ = hot_keys(df, by, hot_rows)
     window = Window.partitionBy(*by)
     over = [c.over(window).alias(k) for k, c in stats.items()]
