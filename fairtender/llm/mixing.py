@@ -93,6 +93,26 @@ def multipliers(counts: DataFrame, sources: DataFrame, cap: float = CAP, toleran
     return state.drop("least", "low", "high", "open")
 
 
+def _settle(groups: DataFrame, cap: float, rounds: int = 3) -> DataFrame:
+    """Bring each source's words nearer to its sum of rates by one copy more or less, a few times.
+
+    No document gets fewer than no or more than ``cap`` copies.
+    """
+    base = F.floor("rate")
+    for _ in range(rounds):
+        missing = groups.groupBy("source").agg(F.sum(F.col("size") * (F.col("k") * (F.col("rate") - base) - F.col("extra"))).alias("missing"))
+        missing = missing.select(F.col("source").alias("s"), "missing")
+        open_groups = groups.join(missing, groups["source"].eqNullSafe(missing["s"]))
+        moves = [(1, F.col("extra") < F.col("k") * (cap - base)), (-1, F.col("extra") > -F.col("k") * base)]
+        tries = [F.when(allowed, F.struct(F.round(F.abs(F.col("missing") - sign * F.col("size")), 6).alias("left"), "size", "part", F.lit(sign).alias("sign"))) for sign, allowed in moves]
+        best = open_groups.groupBy("s").agg(F.min(F.array_min(F.filter(F.array(*tries), lambda t: t.isNotNull()))).alias("best"), F.first("missing").alias("missing"))
+        better = best.filter(F.col("best.left") < F.abs("missing") - 1e-6).select("s", F.col("best.size").alias("z"), F.col("best.part").alias("q"), F.col("best.sign").alias("sign"))
+        same = groups["source"].eqNullSafe(better["s"]) & (groups["size"] == better["z"]) & (groups["part"] == better["q"])
+        moved = groups.join(better, same, "left")
+        groups = keep(moved.select("source", "size", "part", "k", "rate", (F.col("extra") + F.coalesce("sign", F.lit(0))).alias("extra")), "extras")
+    return groups
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell: int = CELL) -> DataFrame:
     """Per row of ``docs``: doc_id, row_key, size, source_size, target, rate, copies, taken.
 
@@ -131,18 +151,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     extra = lambda p: F.floor(F.col("over") + p) - F.floor(F.col("under") + p)
     miss = [F.struct(F.abs(F.sum(F.col("size") * (extra(phase(i)) - F.col("k") * fraction))).alias("miss"), F.lit(phase(i)).alias("phase")) for i in range(PHASES)]
     best = summed.groupBy("source").agg(F.array_min(F.array(*miss)).alias("best")).select(F.col("source").alias("s"), "best.phase")
-    chosen = summed.join(best, summed["source"].eqNullSafe(best["s"])).select("s", F.col("size").alias("z"), F.col("part").alias("q"), extra(F.col("phase")).alias("extra"))
+    begun = summed.join(best, summed["source"].eqNullSafe(best["s"])).select("source", "size", "part", "k", "rate", extra(F.col("phase")).cast("long").alias("extra"))
+    chosen = _settle(keep(begun, "extras"), cap).select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("q"), "k", "extra")
     same = rows["source"].eqNullSafe(chosen["s"]) & (rows["size"] == chosen["z"]) & (rows["part"] == chosen["q"])
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("row_key", "doc_id"))
-    copies = (F.floor("rate") + F.when(rank <= F.col("extra"), 1).otherwise(0)).cast("long")
+    each, over = F.floor(F.col("extra") / F.col("k")), F.pmod("extra", "k")
+    copies = (F.floor("rate") + each + F.when(rank <= over, 1).otherwise(0)).cast("long")
     return rows.join(chosen, same).select("doc_id", "row_key", "size", "source_size", "target", "rate", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
     decided = mix(docs, id_col=id_col, text_col=text_col, **options).groupBy("row_key").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    joined = keyed.join(decided, keyed["_key"] == decided["row_key"]).drop("row_key")
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(id_col)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
+    joined = keyed.join(decided, "row_key")
+    place = F.row_number().over(Window.partitionBy("row_key").orderBy("id"))
     each = F.floor(F.col("_all") / F.col("_rows")) + F.when(place <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    return joined.withColumn("_copies", each.cast("int")).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copied = joined.withColumn("times", each.cast("int"))
+    return copied.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("doc.*")
