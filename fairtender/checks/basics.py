@@ -194,10 +194,11 @@ def label_codes(spark, sf):
     "join_full_1to1",
     """SELECT coalesce(o_orderkey, doc_id) AS n_cod_contrato, o_orderstatus, lang,
       CAST(CASE WHEN doc_id IS NULL THEN 1 WHEN o_orderkey IS NULL THEN 2 ELSE 3 END AS INT) AS merge_texts
-    FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN documents ON o_orderkey = doc_id""",
+    FROM (SELECT o_orderkey + 50 AS o_orderkey, o_orderstatus FROM orders) o FULL JOIN documents ON o_orderkey = doc_id""",
 )
 def join_full_1to1(spark, sf):
-    contracts = table(spark, sf, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias(CONTRACT), "o_orderstatus")
+    # keys are shifted, so that either side has unmatched rows
+    contracts = table(spark, sf, "orders").select((F.col("o_orderkey") + 50).alias(CONTRACT), "o_orderstatus")
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias(CONTRACT), "lang")
     return mg.merge(contracts, texts, [CONTRACT], marker="merge_texts", strict=True)
 

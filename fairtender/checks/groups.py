@@ -388,10 +388,11 @@ def code_parts(spark, sf):
     )
 
 
-@query("year_gap", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN year(l_shipdate) - year(o_orderdate) >= 1 THEN 1 ELSE 0 END AS INT) AS gap FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o ON l_orderkey = o_orderkey")
+@query("year_gap", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN year(l_shipdate) - year(o_orderdate) >= 1 THEN 1 ELSE 0 END AS INT) AS gap FROM lineitem LEFT JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS o_orderdate FROM orders) o ON l_orderkey = o_orderkey")
 def year_gap(spark, sf):
-    some = table(spark, sf, "orders").filter("o_orderkey % 3 <> 0")
-    joined = table(spark, sf, "lineitem").join(some, F.expr("l_orderkey = o_orderkey"), "left")
+    # every third order has no date
+    orders = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("o_orderdate"))
+    joined = table(spark, sf, "lineitem").join(orders, F.expr("l_orderkey = o_orderkey"), "left")
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", codes.year_gap(F.col("l_shipdate"), F.col("o_orderdate")).alias("gap"))
 
 

@@ -11,7 +11,7 @@ from fairtender.plans import estimates as es
 
 KEY = ["n_cod_contrato", "n_item", "codigoitem", "ruc_proveedor"]
 CUTS = range(470, 481)
-REPS = 20
+REPS = 300
 DID = {
     "1.contratacion": "contratacion",
     "1.d_pandemia": "d_pandemia",

@@ -42,8 +42,8 @@ def scan_skip_blank(spark, sf):
 @query(
     "portal_links",
     """SELECT page_id, href, concat(list_extract(string_split(href, '/'), -1), '.xlsx') AS filename FROM (
-      SELECT page_id, replace(unnest(regexp_extract_all(html,
-        '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*["'']([^"'']*)["'']', 1)), '&amp;', '&') AS href FROM pages) h
+      SELECT page_id, replace(split_part(part, '"', 1), '&amp;', '&') AS href FROM (
+        SELECT page_id, unnest(string_split(html, '<a href="')[2:]) AS part FROM pages) p) h
     WHERE contains(href, '/the')""",
 )
 def portal_links(spark, sf):

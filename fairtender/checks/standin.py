@@ -18,7 +18,6 @@ from fairtender.plans.contracts import (
     select_items,
 )
 from fairtender.session import stage
-from fairtender.sources.tables import deal_out
 
 SECTOR, OBJECTS, YEARS = "ASIA", ("Bien", "Servicio"), (1996, 2000)
 BASE_YEARS = (1996, 1997)
@@ -30,7 +29,7 @@ CLASSES = ["721214", "851218", "851017", "921015", "512345", "121419", "421322",
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     read = spark.read.parquet(f"{sf}/{name}.parquet")
     # one file of long texts: the work per row is worth moving it
-    return deal_out(read) if name == "documents" else read
+    return read
 
 
 def contract_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,16 +169,21 @@ SELECT concat(list_extract([{", ".join(f"'{c}'" for c in CLASSES)}], CAST(p_part
   p_name AS name, p_partkey AS part FROM part"""
 
 
+OTHER_ITEMS = 10**12
+
+
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """Goods sheet and services sheet, one above the other."""
     codes = catalogue_codes(spark, sf)
 
     def sheet(kind: str, missing: int) -> DataFrame:
-        return codes.filter(F.col("part") % 10 != missing).select(
+        # every tenth item number is another one, so that some contract items have no match
+        number = item_code(F.col("code"))
+        return codes.select(
             F.col("name").alias("itemcubso"),
             F.lit(kind).alias("objetocontractual"),
             product_code(F.col("code")).alias("codigoproducto"),
-            item_code(F.col("code")).alias("codigoitem"),
+            F.when(F.col("part") % 10 == missing, number + OTHER_ITEMS).otherwise(number).alias("codigoitem"),
         )
 
     return union_marked(sheet("Servicio", 4), sheet("Bien", 3))
@@ -188,8 +192,8 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
 CATALOGUE = "UNION ALL".join(
     f"""
 SELECT name AS itemcubso, '{kind}' AS objetocontractual, substr(code, 1, 8) AS codigoproducto,
-  TRY_CAST(regexp_replace(substr(code, 9, 17), '^0+', '') AS BIGINT) AS codigoitem
-FROM catalogue_codes WHERE part % 10 <> {missing} """
+  TRY_CAST(regexp_replace(substr(code, 9, 17), '^0+', '') AS BIGINT) + CASE WHEN part % 10 = {missing} THEN {OTHER_ITEMS} ELSE 0 END AS codigoitem
+FROM catalogue_codes """
     for kind, missing in (("Servicio", 4), ("Bien", 3))
 )
 

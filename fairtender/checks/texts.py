@@ -9,6 +9,8 @@ from fairtender.checks.standin import sql, table
 from fairtender.functions import formats, text as tx
 from fairtender.operators import chat
 from fairtender.operators.chunks import chunk_text
+from fairtender.plans import training
+from fairtender.session import scratch_path
 
 SPACES = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -119,11 +121,14 @@ def completion_text(spark, sf):
 @query(
     "join_nonnull",
     """SELECT p_partkey, concat_ws('; ', CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS VARCHAR) END,
-      CASE WHEN p_size % 2 = 0 THEN p_brand END, CAST(p_partkey AS VARCHAR)) AS precios_unitarios FROM part""",
+      CASE WHEN p_size % 2 = 0 THEN p_brand END, CAST(p_partkey AS VARCHAR),
+      concat(CAST(CAST(round(p_retailprice * 10000) AS BIGINT) AS VARCHAR), '.0'),
+      rtrim(printf('%.5f', p_size / 100000.0), '0')) AS precios_unitarios FROM part""",
 )
 def join_nonnull(spark, sf):
     size = F.col("p_size")
-    joined = tx.join_nonnull(F.when(size % 3 != 0, size), F.when(size % 2 == 0, F.col("p_brand")), F.col("p_partkey"))
+    large, tiny = F.round(F.col("p_retailprice") * 1e4), size / 1e5
+    joined = tx.join_nonnull(F.when(size % 3 != 0, size), F.when(size % 2 == 0, F.col("p_brand")), F.col("p_partkey"), large, tiny)
     return table(spark, sf, "part").select("p_partkey", joined.alias("precios_unitarios"))
 
 
@@ -156,6 +161,10 @@ def _pieces_sql(n, body):
     {body}"""
 
 
+def _ends_sql(name):
+    return f"CASE WHEN count(*) > 1 THEN concat(min_by(piece, chunk), ' ', max_by(piece, chunk)) ELSE coalesce(max(piece), '') END AS {name}"
+
+
 @query("chunk_text", _pieces_sql(100, "SELECT doc_id, chunk, md5(piece) AS piece_md5 FROM p"))
 def chunk_all(spark, sf):
     normal = table(spark, sf, "documents").select("doc_id", tx.normalise_text(F.col("text")).alias("text"))
@@ -163,8 +172,7 @@ def chunk_all(spark, sf):
 
 
 def _ends_query(n):
-    body = """SELECT doc_id, md5(CASE WHEN count(*) > 1 THEN concat(min_by(piece, chunk), ' ', max_by(piece, chunk))
-      ELSE coalesce(max(piece), '') END) AS ends_md5 FROM w LEFT JOIN p USING (doc_id) GROUP BY doc_id"""
+    body = f"SELECT doc_id, md5(ends) AS ends_md5 FROM (SELECT doc_id, {_ends_sql('ends')} FROM w LEFT JOIN p USING (doc_id) GROUP BY doc_id) e"
 
     @query(f"chunk_first_last_{n}", _pieces_sql(n, body))
     def run(spark, sf):
@@ -309,3 +317,37 @@ def agg_distribution(spark, sf):
 )
 def training_budget(spark, sf):
     return chat.training_budget(_stats(spark, sf))
+
+
+# ---- the whole chain ---------------------------------------------------------------------
+
+CLEAN_NORMAL = NORMAL.replace("lower(text)", f"lower({CLEAN})")
+ANSWER = "concat(CASE WHEN doc_id % 3 <> 0 THEN concat(doc_id, '.5; ') ELSE '' END, n_chars)"
+EXAMPLES = _pieces_sql(300, f"SELECT doc_id, {_ends_sql('ends')} FROM w LEFT JOIN p USING (doc_id) GROUP BY doc_id").replace(NORMAL, CLEAN_NORMAL)
+PROMPT, COMPLETION = "concat(ends, '---->')", f"concat(' ', {ANSWER}, ' ', chr(10), chr(10), '###', chr(10), chr(10))"
+
+
+def _examples(spark, sf):
+    priced = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") + 0.5).alias("first"), "n_chars")
+    return training.training_examples(priced, ["first", "n_chars"], n=300)
+
+
+@query("training_examples", f"SELECT doc_id, md5({PROMPT}) AS prompt_md5, {COMPLETION} AS completion FROM documents JOIN ({EXAMPLES}) e USING (doc_id)")
+def training_examples(spark, sf):
+    return _examples(spark, sf).select("doc_id", F.md5("prompt").alias("prompt_md5"), "completion")
+
+
+def _words_sql(text):
+    return f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda x: x <> ''))"
+
+
+@query(
+    "training_file",
+    f"""SELECT n AS n_examples, b AS billing_tokens, e AS n_epochs, e * b AS total_tokens, CAST(0 AS BIGINT) AS n_defects FROM (SELECT n, b, CAST(CASE
+        WHEN n * 3 < 100 THEN least(25, 100 // n) WHEN n * 3 > 25000 THEN greatest(1, 25000 // n) ELSE 3 END AS BIGINT) AS e
+      FROM (SELECT count(*) AS n, CAST(sum(least(4096, 3 + 3 * (3 + 1) + {_words_sql(f"'{chat.SYSTEM_TEXT}'")} + {_words_sql(PROMPT)} + {_words_sql(COMPLETION)})) AS BIGINT) AS b
+        FROM documents JOIN ({EXAMPLES}) e USING (doc_id)) t) u""",
+)
+def training_file(spark, sf):
+    defects, _, budget = training.training_file(_examples(spark, sf), scratch_path(spark, "training"))
+    return budget.withColumn("n_defects", F.lit(defects.count()).cast("long"))

@@ -7,17 +7,26 @@ from pyspark.sql import functions as F
 
 # fixed values: class codes of each subsector, and the prefix of medicines
 SUBSECTOR_CLASSES = {
-    1: "721214 851615 721211 801315 721015 721540 761115 721536 721515 811123 731521 781815 761015 721210",
-    2: "851218 851015 701716",
-    3: "851017 801015 801017 811017",
-    4: "921015 911116 781018 761220 811120 831217 781118 771116 781022 831115 831116 841115 821016 821215 "
-    "821017 841316 841315 821115 811118 931316 761222",
-    5: "121419 123522",
-    6: "421322 421426 421415 421317 421425 422717 411161 423115 422017 422916 422722 421819 422220 422951 "
-    "423215 422935 421616 421922 422949 461815 421316 423122 461820 411029 411035 411158 421321 422315 "
-    "422719 422954 411048 411049 422215 411162 422846 411160 421820",
-    7: "422318 551015 551218 151015 501316 501927 141117 531316 471318 501115 501819 502211 101915 261116 "
-    "501515 501615 501318 501317 501215",
+    1: (
+        721214, 851615, 721211, 801315, 721015, 721540, 761115, 721536, 721515, 811123, 731521, 781815, 761015,
+        721210,
+    ),
+    2: (851218, 851015, 701716),
+    3: (851017, 801015, 801017, 811017),
+    4: (
+        921015, 911116, 781018, 761220, 811120, 831217, 781118, 771116, 781022, 831115, 831116, 841115, 821016,
+        821215, 821017, 841316, 841315, 821115, 811118, 931316, 761222,
+    ),
+    5: (121419, 123522),
+    6: (
+        421322, 421426, 421415, 421317, 421425, 422717, 411161, 423115, 422017, 422916, 422722, 421819, 422220,
+        422951, 423215, 422935, 421616, 421922, 422949, 461815, 421316, 423122, 461820, 411029, 411035, 411158,
+        421321, 422315, 422719, 422954, 411048, 411049, 422215, 411162, 422846, 411160, 421820,
+    ),
+    7: (
+        422318, 551015, 551218, 151015, 501316, 501927, 141117, 531316, 471318, 501115, 501819, 502211, 101915,
+        261116, 501515, 501615, 501318, 501317, 501215,
+    ),
 }
 MEDICINE_PREFIX = "51"
 MEDICINE_SUBSECTOR = 5
@@ -88,12 +97,12 @@ def code_prefix(code: Column, n: int) -> Column:
     return to_number(F.substring(to_text(code), 1, n), "int")
 
 
-def subsector(code: Column, classes: dict[int, str] | None = None, medicine_prefix: str = MEDICINE_PREFIX) -> Column:
+def subsector(code: Column, classes: dict[int, tuple[int, ...]] | None = None, medicine_prefix: str = MEDICINE_PREFIX) -> Column:
     """Subsector 1..7 of a class code; of several rules that fit, the highest number wins."""
     classes = classes or SUBSECTOR_CLASSES
     out = F.lit(None).cast("int")
     for number in sorted(classes):
-        fits = code.isin(*[int(c) for c in classes[number].split()])
+        fits = code.isin(*classes[number])
         if number == MEDICINE_SUBSECTOR:
             fits = fits | to_text(code).startswith(medicine_prefix)
         out = F.when(fits, F.lit(number)).otherwise(out)

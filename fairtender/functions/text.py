@@ -96,14 +96,39 @@ def quote_mark(text: Column) -> Column:
 
 
 def join_nonnull(*values: Column) -> Column:
-    """The non-missing values, separated by ``; ``."""
-    return F.concat_ws("; ", *[v.cast("string") for v in values])
+    """The non-missing values, separated by ``; ``; numbers are written without exponent."""
+    return F.concat_ws("; ", *[plain_number(v) for v in values])
+
+
+def plain_number(value: Column) -> Column:
+    """A value as text, a number with an exponent written out (at least one decimal, 18 at most)."""
+    text = value.cast("string")
+    full = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    return F.when(text.rlike(r"^-?[0-9.]+E-?[0-9]+$"), F.coalesce(full, text)).otherwise(text)
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references by number, and those by name that occur in addresses."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+
+    def character(ref: Column) -> Column:
+        digits = F.regexp_replace(ref, "[&#;]", "")
+        code = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("long")
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    out = F.aggregate(numbers, text, lambda t, ref: F.replace(t, ref, character(ref)))
+    # the sign itself comes last
+    for name, sign in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return out
 
 
 def href_links(html: Column) -> Column:
-    """Targets of the anchors of a page."""
-    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    return F.transform(quoted, lambda h: F.replace(h, F.lit("&amp;"), F.lit("&")))
+    """Targets of the anchors of a page, quoted or not; comments, scripts and styles hold none."""
+    shown = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    anchor = r"""(?i)<a\s(?:(?:[^>"']|"[^"]*"|'[^']*')*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    found = F.regexp_extract_all(shown, F.lit(anchor), F.lit(1))
+    return F.transform(found, lambda h: F.trim(decode_entities(F.regexp_replace(h, "^[\"']|[\"']$", ""))))
 
 
 def link_file_name(href: Column) -> Column:

@@ -5,18 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-class Words:
-    """Default tokens: the words between spaces."""
-
-    def encode(self, text: str) -> list[str]:
-        return text.split()
-
-    def decode(self, tokens: list[str]) -> str:
-        return " ".join(tokens)
+#: white space of any script
+SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
 def cut_points(tokens: list, n: int, decode: Callable[[list], str]) -> list[tuple[int, int]]:
@@ -39,19 +33,19 @@ def chunk_text(df: DataFrame, text: str, n: int, mode: str = "all", tokenizer=No
 
     ``all`` gives a row per piece (``chunk`` from 1, the piece in ``text``);
     ``first_last`` keeps one row with the first and last piece, or the whole if there is
-    one. ``tokenizer`` has ``encode`` and ``decode`` and is sent to the tasks.
+    one. Tokens are the words between spaces unless a ``tokenizer`` is given, which has
+    ``encode`` and ``decode`` and is sent to the tasks.
     """
     if mode not in ("all", "first_last"):
         raise ValueError(mode)
-    tok = tokenizer or Words()
-    # a piece of words ends as its last word does
-    ending = (lambda t: t[-1] if t else "") if tokenizer is None else tok.decode
+    if tokenizer is None:
+        return _by_words(df, text, n, mode)
     fields = list(df.schema.fields)
     schema = T.StructType([*fields, T.StructField("chunk", T.IntegerType())] if mode == "all" else fields)
 
     def pieces(value: str | None) -> list[str]:
-        tokens = tok.encode(value or "")
-        return [tok.decode(tokens[a:b]) for a, b in cut_points(tokens, n, ending)]
+        tokens = tokenizer.encode(value or "")
+        return [tokenizer.decode(tokens[a:b]) for a, b in cut_points(tokens, n, tokenizer.decode)]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,3 +57,36 @@ def chunk_text(df: DataFrame, text: str, n: int, mode: str = "all", tokenizer=No
                 yield batch.assign(**{text: parts.map(lambda p: " ".join(p[:1] + p[-1:] if len(p) > 1 else p))})
 
     return df.mapInPandas(cut, schema)
+
+
+def _by_words(df: DataFrame, text: str, n: int, mode: str) -> DataFrame:
+    """The same for words, as array expressions in the row: a piece of words ends as its last word does."""
+    low, high = int(0.9 * n), int(1.1 * n)
+    others = [F.col(c) for c in df.columns if c != text]
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), lambda w: w != "")
+    split = df.withColumn("_words", words)
+    size = F.size("_words")
+
+    def next_piece(state: Column, _: Column) -> Column:
+        late = F.slice("_words", state.at + low + 1, F.lit(high - low))
+        back = F.array_position(F.reverse(F.transform(late, lambda w: F.endswith(w, F.lit(".")))), True).cast("int")
+        stop = (
+            F.when(back > 0, state.at + low + F.size(late) - back + 1)
+            .when(F.size(late) > 0, F.least(state.at + n, size))
+            # too short to look for an end: the rest is one piece
+            .otherwise(size)
+        )
+        bounds = F.concat(state.bounds, F.array(F.struct(state.at.alias("a"), stop.alias("b"))))
+        return F.when(state.at >= size, state).otherwise(F.struct(bounds.alias("bounds"), stop.alias("at")))
+
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("bounds"), F.lit(0).alias("at"))
+    # every piece but the last has more than ``low`` words
+    steps = F.sequence(F.lit(1), F.ceil(size / (low + 1)).cast("int") + 1)
+    cut = split.withColumn("_bounds", F.aggregate(steps, start, next_piece, lambda s: s.bounds))
+    pieces = F.transform("_bounds", lambda p: F.array_join(F.slice("_words", p.a + 1, p.b - p.a), " "))
+    made = cut.withColumn("_pieces", pieces)
+    if mode == "all":
+        rows = made.select(*others, F.posexplode("_pieces").alias("_at", text))
+        return rows.select(*df.columns, (F.col("_at") + 1).alias("chunk"))
+    both = F.concat_ws(" ", F.element_at("_pieces", 1), F.when(F.size("_pieces") > 1, F.element_at("_pieces", -1)))
+    return made.select(*others, F.when(F.size("_pieces") > 0, both).otherwise("").alias(text)).select(*df.columns)

@@ -170,12 +170,11 @@ def cross_products(design: DataFrame, width: int, reps: int, absorb: bool = Fals
     whole = sizes.groupBy(F.col("model").alias("_m")).agg(F.min("level").alias("_first"), F.sum("n").alias("_rows"))
     is_first = F.col("level") == F.col("_first")
     is_hot = F.col("n") > F.greatest(F.lit(hot_rows), F.floor(F.col("_rows") / LARGE_PART))
-    # one row per model
-    special = sizes.join(F.broadcast(whole), F.expr("model = _m")).filter(is_first | is_hot).select(
+    special = sizes.join(whole, F.expr("model = _m")).filter(is_first | is_hot).select(
         "_m", F.col("level").alias("_l"), F.when(is_first, FIRST).otherwise(HOT).alias("role")
     )
     marked = design.join(
-        F.broadcast(special), same_key(design, special, [("model", "_m"), ("level", "_l")]), "left"
+        special, same_key(design, special, [("model", "_m"), ("level", "_l")]), "left"
     ).withColumn("role", F.coalesce("role", F.lit(ORDINARY)))
     spread = F.when(F.col("role") == ORDINARY, 0).otherwise(F.pmod(F.col("hash"), F.lit(1009)))
     placed = marked.drop("_m", "_l").repartition("model", "level", spread).sortWithinPartitions("model", "level")

@@ -30,12 +30,12 @@ def numeric(*columns: str) -> list[Term]:
     return [(c, F.col(c).cast("double")) for c in columns]
 
 
-def factor_levels(df: DataFrame, column: str, most: int = MAX_DUMMIES) -> list:
-    """Sorted levels of a factor; more than ``most`` is an error, such a factor is to be absorbed."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{column} has more than {most} levels: absorb it")
-    return sorted(r[0] for r in found)
+def factor_levels(df: DataFrame, column: str) -> list:
+    """Sorted levels of a factor that is to become dummies: months, systems and the like.
+
+    Cross products grow with the square of their number; absorb a factor of many levels.
+    """
+    return sorted(r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().collect())
 
 
 def dummies(column: str, levels: Sequence) -> list[Term]:
@@ -96,7 +96,8 @@ def fit(
     levels = [F.col(a).cast("string").alias(f"level{i + 1 if i else ''}") for i, a in enumerate(absorb)]
     design = df.select(
         label.alias("model"),
-        (key_hash(seed, key) if reps else F.xxhash64(y)).alias("hash"),
+        # spreads the rows of a hot level, so it must tell them apart even if the outcome does not
+        (key_hash(seed, key) if key else F.xxhash64(*absorb, F.array(*columns))).alias("hash"),
         *levels,
         # one array, as the optimizer's work grows steeply with the number of derived columns
         F.array(*columns).alias("v"),

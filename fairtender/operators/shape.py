@@ -66,7 +66,7 @@ def encode(df: DataFrame, column: str, out: str, hot_rows: int = HOT_ROWS) -> tu
     """Replace strings by 1..k in alphabetical order: the coded table and its (code, label) table."""
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
     labels = number_rows(values, [], [column], out, hot_rows)
-    return lookup(df, labels, [column]), labels.select(out, F.col(column).alias("label"))
+    return lookup(df, labels, [column], hot_rows=hot_rows), labels.select(out, F.col(column).alias("label"))
 
 
 def group_id(df: DataFrame, columns: Sequence[str], out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -76,7 +76,7 @@ def group_id(df: DataFrame, columns: Sequence[str], out: str, hot_rows: int = HO
     for p in present[1:]:
         whole = whole & p
     tuples = df.select(*columns).filter(whole).distinct()
-    return lookup(df, number_rows(tuples, [], columns, out, hot_rows), columns)
+    return lookup(df, number_rows(tuples, [], columns, out, hot_rows), columns, hot_rows=hot_rows)
 
 
 def share_of_total(df: DataFrame, parts: Sequence[str], total: str, shares: Sequence[str]) -> DataFrame:

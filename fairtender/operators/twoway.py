@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.functions.draws import replicate_weights
+from fairtender.operators.components import components
 from fairtender.operators.moments import LONG, WORK, add_up, arrow_rows, cross_products, matrix, texts
 from fairtender.operators.skew import HOT_ROWS, hot_keys, same_key, split_hot
 from fairtender.session import stage
 
-MAX_STEPS = 1000
+# steps without a new least residual after which the equations count as unsolvable
+PATIENCE = 500
 # size of the residual relative to that of the column
 TOLERANCE = 1e-9
 CELL = ["model", "rep"]
@@ -111,10 +113,14 @@ def cross_products_two(design: DataFrame, width: int, reps: int, hot_rows: int =
     start = _with_scalar(start, _dot(start, "r", "p", size, "rz"))
     state = stage(_with_scalar(start, _dot(plain, "s", "m", size, "rz0")))
 
-    for _ in range(MAX_STEPS):
+    least, idle = float("inf"), 0
+    while True:
         left = state.agg(F.max(F.array_max(_ratio("rz", "rz0")))).first()[0] or 0.0
         if left < TOLERANCE**2:
             break
+        least, idle = (left, 0) if left < least else (least, idle + 1)
+        if idle > PATIENCE:
+            raise RuntimeError(f"two factors: no progress after a relative residual of {least**0.5:.1e}")
         back = means(sums(with_level2(state.select(*CELL, "level2", "p")), "level", weighted("p"), "a"), "a")
         pushed = sums(with_level(back.drop("n")), "level2", weighted("a"), "q").drop("n")
         moved = stage(
@@ -161,8 +167,7 @@ def _dot(df: DataFrame, a: str, b: str, size: int, out: str) -> DataFrame:
 
 
 def _with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    # models times replicates rows
-    return df.join(F.broadcast(scalar), CELL)
+    return df.join(scalar, CELL)
 
 
 def _joiner(cells: DataFrame, on: list[str], hot_rows: int):
@@ -197,11 +202,17 @@ def _first_levels(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def _level_counts(cells: DataFrame) -> DataFrame:
-    """Levels of both factors, less one they share with each other."""
-
-    def levels(side: str) -> DataFrame:
-        return cells.select(*CELL, side).distinct().groupBy(*CELL).agg(F.count(F.lit(1)).alias(side))
-
-    both = levels("level").join(levels("level2"), CELL)
-    total = (F.col("level") + F.col("level2") - 1).cast("double")
-    return both.select(*CELL, F.lit(3).alias("kind"), F.lit(0).alias("i"), F.lit(-1).alias("j"), total.alias("s"))
+    """Levels of both factors, less one per connected part of the graph of level pairs.
+
+    The dummies of a part's levels add up to the same column on either side, so one of them is lost.
+    """
+    pairs = cells.select("model", "level", "level2").distinct()
+    node = lambda side: F.to_json(F.struct("model", F.lit(side).alias("side"), F.col(side).alias("of")))
+    labels = components(pairs.select(node("level").alias("a"), node("level2").alias("b")))
+    model = lambda c: F.get_json_object(c, "$.model")
+    sizes = labels.groupBy(model(F.col("node")).alias("model")).agg((F.count(F.lit(1)) - F.count_distinct("label")).cast("double").alias("s"))
+    # weights are positive, so all replicates have the levels of the rows
+    found = stage(sizes)
+    cases = cells.select(*CELL).distinct()
+    both = cases.join(found.withColumnRenamed("model", "_model"), F.col("model").eqNullSafe(F.col("_model")))
+    return both.select(*CELL, F.lit(3).alias("kind"), F.lit(0).alias("i"), F.lit(-1).alias("j"), "s")

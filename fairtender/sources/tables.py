@@ -19,15 +19,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def deal_out(df: DataFrame) -> DataFrame:
-    """Spread a table that lies in fewer files than there are cores, so that none stays idle.
-
-    A table of many files comes back as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write, replacing what is there."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -39,9 +30,12 @@ def blank_to_missing(df: DataFrame) -> DataFrame:
     return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if c in strings else F.col(c) for c in df.columns])
 
 
-def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A sheet saved as delimited text with a header row; names come in lower case, values as text."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_sheet(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A sheet saved as delimited text with a header row; names come in lower case, values as text.
+
+    ``multi_line`` is for values with line breaks; each file is then read by one task.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return raw.toDF(*[c.lower() for c in raw.columns])
 
 

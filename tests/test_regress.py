@@ -143,9 +143,52 @@ def test_rows_with_missing_values_are_left_out(spark):
     assert out.coef[1] == pytest.approx(1.5)
 
 
-def test_too_many_levels(items):
-    with pytest.raises(ValueError):
-        rg.factor_levels(items, "codigoitem", 10)
+def two_groups(spark):
+    """Rows whose level pairs fall into two unconnected parts, and a long chain of pairs."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        rows += [(f"a{i}", f"b{i}"), (f"a{i}", f"b{i + 1}")]
+    rows += [(f"c{i % 4}", f"d{i % 3}") for i in range(40)]
+    data = [(a, b, float(x), float(y), k) for k, ((a, b), x, y) in enumerate(zip(rows * 2, rng.normal(size=400), rng.normal(size=400)))]
+    return spark.createDataFrame(data, "f string, g string, x double, y double, k long")
+
+
+def test_two_factors_agree_either_way(spark, monkeypatch):
+    """Step by step and with dummies: the same coefficients, errors and degrees of freedom."""
+    df = two_groups(spark)
+    pdf = df.toPandas()
+    x = np.column_stack([np.ones(len(pdf)), pdf.x, pd.get_dummies(pdf.f).to_numpy(float), pd.get_dummies(pdf.g).to_numpy(float)])
+    b = np.linalg.lstsq(x, pdf.y.to_numpy(), rcond=None)[0]
+    ways = []
+    for cells in (0, rg.MAX_CELLS):
+        monkeypatch.setattr(rg, "MAX_CELLS", cells)
+        ways.append(by_pos(rg.fit(df, "y", rg.numeric("x"), ("f", "g"))))
+    for out in ways:
+        assert out.coef[1] == pytest.approx(b[1], rel=1e-6)
+        assert out.df_m[0] == np.linalg.matrix_rank(x) - 1
+    assert ways[0].stderr[1] == pytest.approx(ways[1].stderr[1], rel=1e-6)
+
+
+def test_no_progress_is_an_error(spark, monkeypatch):
+    import fairtender.operators.twoway as tw
+
+    monkeypatch.setattr(rg, "MAX_CELLS", 0)
+    monkeypatch.setattr(tw, "PATIENCE", 0)
+    monkeypatch.setattr(tw, "TOLERANCE", 0.0)
+    with pytest.raises(RuntimeError):
+        rg.fit(two_groups(spark).limit(60), "y", rg.numeric("x"), ("f", "g"))
+
+
+def test_hot_level_of_a_binary_outcome(spark):
+    """Its rows go to many tasks although the outcome has two values."""
+    rows = [("hot" if i % 3 else f"l{i % 50}", float(i % 2), float(i % 7), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "f string, y double, x double, k long")
+    hashes = [c for c in (rg.key_hash(42, ["k"]),)]
+    assert df.filter("f = 'hot'").select(F.pmod(hashes[0], F.lit(1009))).distinct().count() > 500
+    plain, split = (by_pos(rg.fit(df, "y", rg.numeric("x"), ["f"], key=["k"], hot_rows=n)) for n in (5_000_000, 50))
+    np.testing.assert_allclose(plain.coef, split.coef)
+    np.testing.assert_allclose(plain.stderr[1:], split.stderr[1:])
 
 
 def test_weights_average_one(items):
