@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairtender.llm import chat, decontaminate, fingerprints, jaccard, language, mixing, pii, substring, tokens, urls
+from fairtender.llm import chat, decontaminate, fingerprints, jaccard, language, mixing, oracles, pii, substring, tokens, urls
 from fairtender.llm.staging import keep
 from fairtender.session import scratch_path
 
@@ -96,3 +96,10 @@ def op7_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf, "documents"))
+
+
+ORACLES |= {
+    "op3_reply_trees": oracles.REPLY_TREES,
+    "op7_near_copies": oracles.NEAR_COPIES,
+    "op8_url_verdicts": oracles.url_verdicts(URL_RULES),
+}
