@@ -267,7 +267,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str | Column], text_col:
     return rows.mapInArrow(run, head.add("lang_pred", "string").add("score", "double").add("lang_spans", "string"))
 
 
-def known_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def known_language(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose language is found with a score of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
