@@ -147,10 +147,10 @@ def two_groups(spark):
     """Rows whose level pairs fall into two unconnected parts, and a long chain of pairs."""
     rng = np.random.default_rng(3)
     rows = []
-    for i in range(60):
+    for i in range(15):
         rows += [(f"a{i}", f"b{i}"), (f"a{i}", f"b{i + 1}")]
-    rows += [(f"c{i % 4}", f"d{i % 3}") for i in range(40)]
-    data = [(a, b, float(x), float(y), k) for k, ((a, b), x, y) in enumerate(zip(rows * 2, rng.normal(size=400), rng.normal(size=400)))]
+    rows += [(f"c{i % 4}", f"d{i % 3}") for i in range(30)]
+    data = [(a, b, float(x), float(y), k) for k, ((a, b), x, y) in enumerate(zip(rows * 2, rng.normal(size=120), rng.normal(size=120)))]
     return spark.createDataFrame(data, "f string, g string, x double, y double, k long")
 
 
