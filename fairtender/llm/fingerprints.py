@@ -107,11 +107,13 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = placed.count()
     # the place whose next is this one
     following = placed.select(F.col("key").alias("next_key"), F.pmod(F.col("pos") - 1, F.lit(max(total, 1))).alias("pos"))
-    pairs = keep(placed.join(following, "pos").select("key", "next_key", "n_chars"), "pairs")
+    pairs = keep(placed.join(following, "pos").select("key", "next_key", "doc_id", "n_chars"), "pairs")
+    # both joins below take the same two columns, so that the texts are shuffled once
+    texts = rows.select("key", "text")
     wanted = pairs.select(F.col("key").alias("of"), F.col("next_key").alias("key"), F.floor(F.col("n_chars") / 3).cast("int").alias("third"))
-    heads = rows.join(wanted, "key").select(F.col("of").alias("key"), F.left("text", F.col("third")).alias("head"))
+    heads = texts.join(wanted, "key").select(F.col("of").alias("key"), F.left("text", F.col("third")).alias("head"))
     heads = heads.groupBy("key").agg(F.min("head").alias("head"))
-    joined = rows.join(heads, "key").join(pairs, "key")
+    joined = texts.join(heads, "key").join(pairs, "key")
     kept = F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
     edited = joined.select("doc_id", "key", "next_key", "n_chars", "text", F.concat(kept, "head").alias("edited"))
     printed = fingerprint(fingerprint(edited, "text", "print"), "edited", "edited_print")
