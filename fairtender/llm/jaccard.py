@@ -6,12 +6,15 @@ first meet in small *regions*, by shared n-grams, in a way that loses no pair:
 1. In hash order, a document's first n-grams (``n - ceil(s n) + 1`` and ``EXTRA`` more of each
    n) must hold as many of a partner's n-grams, plus one, as were added. The most frequent of
    them can be left out again, one less than the added ones: a pair still shares one of the rest.
-2. Of the documents that share an n-gram one becomes a pivot: the most central, whose n-grams
-   are shared most. Documents with a pivot in common form its Voronoi region; documents that
-   several pivots claim, on the boundary, are replicated into each region.
-3. Distances to the pivot are exact, and near ones are links. What these links do not yet
-   connect is joined within the region: only documents in the window that the triangle
-   inequality leaves, in blocks of bounded size, so that a large region is divided again.
+2. Of the documents that share an n-gram one is its head: the most central, whose n-grams are
+   shared most. Each document is measured against the most central head it can link to; near
+   ones are links, and linked documents are one group. In the next rounds only heads of other
+   groups count.
+3. N-grams whose documents are in several groups are still open. The group of an n-gram's head
+   is its cell, with the group's most central head as pivot. Documents of several cells, on
+   their boundaries, are replicated into each. Distances to the pivot are exact.
+4. What is not linked yet is joined within the cell: only documents in the window that the
+   triangle inequality leaves, in blocks of bounded size, so that a large cell is divided again.
 
 Links between documents that are connected already are not looked for, as components need
 none; see ``links``.
@@ -33,7 +36,9 @@ from fairtender.llm.words import portions, scan, text_or_none
 
 SHINGLE, LEAST, OUT_OF = 3, 90, 100
 EXTRA = 0.05
-BLOCK = 256
+BLOCK = 512
+#: rounds of links to heads; more of them leave less to the cells and change no result
+ROUNDS = 3
 _LAST = (1 << 63) - 1
 
 
@@ -65,7 +70,7 @@ def _overlap(n: int, least: int, out_of: int) -> int:
 
 
 def documents(docs: DataFrame, k: int, least: int, out_of: int) -> DataFrame:
-    """Per row: doc_id, id (missing: greatest), n (set size), name of the set, first n-grams."""
+    """Per row: doc_id, id (missing: greatest), key of the text, n (set size), name of the set, first n-grams."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in portions(frames, "text"):
@@ -76,14 +81,14 @@ def documents(docs: DataFrame, k: int, least: int, out_of: int) -> DataFrame:
                 # a set this small has no partner but its equals
                 alone = least * (n + 1) > out_of * n
                 firsts.append(s[: 0 if alone else n - _overlap(n, least, out_of) + 1 + int(EXTRA * n)].view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "id": pdf["id"], "n": [len(s) for s in sets], "name": [_name(s) for s in sets], "firsts": firsts})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "id": pdf["id"], "text_key": pdf["text_key"], "n": [len(s) for s in sets], "name": [_name(s) for s in sets], "firsts": firsts})
 
-    source = docs.withColumn("id", F.coalesce("doc_id", F.lit(_LAST)))
-    return source.mapInPandas(rows, "doc_id long, id long, n long, name long, firsts array<long>")
+    source = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("text_key"), "text")
+    return source.mapInPandas(rows, "doc_id long, id long, text_key long, n long, name long, firsts array<long>")
 
 
-def regions(nodes: DataFrame, least: int, out_of: int) -> DataFrame:
-    """Pivots and the nodes that may link within their regions: pivot, node, n."""
+def rare_grams(nodes: DataFrame, least: int, out_of: int) -> DataFrame:
+    """The n-grams by which a pair must meet: name, n, central, gram."""
     grams = nodes.select("name", "n", F.size("firsts").alias("k"), F.explode("firsts").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     rows = grams.join(shared, "gram")
@@ -93,9 +98,30 @@ def regions(nodes: DataFrame, least: int, out_of: int) -> DataFrame:
         F.first("n").alias("n"), (F.sum(F.log("c")) / F.first("k")).alias("central"), F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("grams")
     )
     rare = held.select("name", "n", "central", F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - need + 1).cast("int")).alias("grams"))
-    kept = keep(rare.select("name", "n", "central", F.explode("grams.gram").alias("gram")), "grams")
-    heads = kept.groupBy("gram").agg(F.max(F.struct("central", "name")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return kept.join(heads.select("gram", F.col("head.name").alias("pivot")), "gram").select("pivot", "name", "n").distinct()
+    return rare.select("name", "n", "central", F.explode("grams.gram").alias("gram"))
+
+
+def head_pairs(kept: DataFrame, labels: DataFrame, tested: DataFrame | None, least: int, out_of: int) -> DataFrame:
+    """Each node with the most central head of another group that it may link to and has not met: pivot, name, n."""
+    labelled = kept.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    heads = labelled.groupBy("gram").agg(F.max(F.struct("central", "name", "n", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
+    heads = heads.filter("low <> high").select("gram", "head")
+    fits = (F.col("head.label") != F.col("label")) & (F.least("n", "head.n") * out_of >= F.greatest("n", "head.n") * least)
+    met = labelled.join(heads, "gram").filter(fits).select("name", "n", "head.central", F.col("head.name").alias("pivot"))
+    if tested is not None:
+        met = met.join(tested.select("name", "pivot"), ["name", "pivot"], "left_anti")
+    best = met.groupBy("name").agg(F.first("n").alias("n"), F.max(F.struct("central", "pivot")).alias("best"))
+    return best.select("best.pivot", "name", "n")
+
+
+def cells(kept: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pivots and the members of their cells: pivot, name, n."""
+    labelled = kept.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    heads = labelled.groupBy("gram").agg(F.max(F.struct("central", "name", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
+    heads = keep(heads.filter("low <> high").select("gram", F.col("head.label").alias("cell"), "head.central", F.col("head.name").alias("pivot")), "heads")
+    pivots = heads.groupBy("cell").agg(F.max(F.struct("central", "pivot")).alias("best")).select("cell", "best.pivot")
+    members = kept.join(heads.select("gram", "cell"), "gram").select("cell", "name", "n").distinct()
+    return members.join(pivots, "cell").select("pivot", "name", "n")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -112,7 +138,8 @@ def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            found = [_distance(np.asarray(a, np.int64), np.asarray(b, np.int64)) for a, b in zip(pdf["grams"], pdf["pivot_grams"], strict=True)]
+            # in the order in which they were sorted
+            found = [_distance(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)) for a, b in zip(pdf["grams"], pdf["pivot_grams"], strict=True)]
             yield pd.DataFrame({"pivot": pdf["pivot"], "name": pdf["name"], "n": pdf["n"], "both": [f[0] for f in found], "either": [f[1] for f in found]})
 
     own = sets.select("name", "grams")
@@ -120,15 +147,31 @@ def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(centre, "pivot").join(own, "name").mapInPandas(measure, "pivot long, name long, n long, both long, either long")
 
 
+def _sketch(grams: np.ndarray) -> bytes:
+    """How many n-grams fall into each of as many buckets as the set is large, to a power of two.
+
+    The sum of differences between two sketches is never more than the number of n-grams that
+    only one of the sets has, and mostly near it, at an eighth of the bytes or less.
+    """
+    buckets = 1 << (max(len(grams), 16).bit_length() - 1)
+    return np.minimum(np.bincount((grams & (buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def _folded(sketch: bytes, buckets: int) -> np.ndarray:
+    counts = np.frombuffer(sketch, np.uint8).astype(np.int32)
+    return counts.reshape(-1, buckets).sum(0) if len(counts) > buckets else counts
+
+
 def _split(n: Column) -> Column:
     return F.ceil(n / BLOCK).cast("int")
 
 
-def _within(members: DataFrame, sets: DataFrame, least: int, out_of: int) -> DataFrame:
-    """Links between differently labelled members of a region: a, b.
+def _within(members: DataFrame, sketches: DataFrame, nearest: bool, least: int, out_of: int) -> DataFrame:
+    """Pairs of differently labelled members of a cell that may link: pivot, name, n.
 
-    Members that the pivot's links do not reach are compared with all others in the region
-    whose distance from the pivot and whose size leave it open.
+    Members that no links connect with the pivot are compared with all others in the cell
+    whose distance from the pivot and whose size leave it open. ``nearest`` gives of each two
+    groups in a block the nearest pair only.
     """
     reach = 1 - least / out_of + 1e-9
     pivots = members.filter("name = pivot").select("pivot", F.col("label").alias("main"))
@@ -141,35 +184,39 @@ def _within(members: DataFrame, sets: DataFrame, least: int, out_of: int) -> Dat
     close = keep(marked.join(spans, "pivot").filter(F.col("apart") | window).select("pivot", "name", "n", "far", "label", "apart"), "windows")
     sizes = close.groupBy("pivot").agg(F.count(F.when(F.col("apart"), 1)).alias("apart_n"), F.count(F.lit(1)).alias("all_n"))
     # a block holds some of the members apart (side 0) and some of all members (side 1)
-    dealt = close.join(sizes, "pivot").withColumn("rows", _split(F.col("apart_n"))).withColumn("cols", _split(F.col("all_n")))
+    dealt = close.join(sizes, "pivot").join(sketches, "name").withColumn("rows", _split(F.col("apart_n"))).withColumn("cols", _split(F.col("all_n")))
     number = lambda n: F.pmod(F.xxhash64("name"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cols = ["pivot", "name", "n", "far", "label"]
+    cols = ["pivot", "name", "n", "far", "label", "sketch"]
     left = dealt.filter("apart").select(*cols, F.lit(0).alias("side"), number(F.col("rows")).alias("r"), upto(F.col("cols")).alias("c"))
     right = dealt.select(*cols, F.lit(1).alias("side"), number(F.col("cols")).alias("c"), upto(F.col("rows")).alias("r"))
-    blocks = left.unionByName(right).join(sets.select("name", "grams"), "name")
+    share = (out_of - least) / (out_of + least)
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         some, others = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        found = []
+        found: dict = {}
         if len(some) and len(others):
-            arrays = [np.asarray(g, np.int64) for g in others["grams"]]
-            owner = np.repeat(np.arange(len(arrays)), [len(g) for g in arrays])
-            grams = np.concatenate(arrays)
-            order = np.argsort(grams, kind="stable")
-            grams, owner = grams[order], owner[order]
             n, far, label, name = (others[c].to_numpy() for c in ("n", "far", "label", "name"))
+            widths = others["sketch"].map(len).to_numpy()
+            tables: dict[tuple[int, int], np.ndarray] = {}
             for row in some.itertuples():
-                mine = np.asarray(row.grams, np.int64)
-                lo, hi = np.searchsorted(grams, mine, "left"), np.searchsorted(grams, mine, "right")
-                count = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                both = np.bincount(owner[at], minlength=len(arrays))
-                near = (out_of * both >= least * (n + row.n - both)) & (label != row.label)
-                found += [(row.name, int(b)) for b in name[near]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return blocks.groupBy("pivot", "r", "c").applyInPandas(compare, "a long, b long")
+                for width in np.unique(widths):
+                    at = np.flatnonzero((widths == width) & (label != row.label) & (np.abs(far - row.far) <= reach))
+                    buckets = min(int(width), len(row.sketch))
+                    if not len(at) or max(int(width), len(row.sketch)) > 2 * buckets:
+                        continue
+                    if (width, buckets) not in tables:
+                        tables[width, buckets] = np.zeros((len(others), buckets), np.int32)
+                        for k in np.flatnonzero(widths == width):
+                            tables[width, buckets][k] = _folded(others["sketch"].iloc[k], buckets)
+                    apart = np.abs(tables[width, buckets][at] - _folded(row.sketch, buckets)).sum(1)
+                    for k, d in zip(at[apart <= share * (n[at] + row.n) + 1e-9], apart[apart <= share * (n[at] + row.n) + 1e-9], strict=True):
+                        pair = tuple(sorted((row.label, int(label[k])))) if nearest else tuple(sorted((row.name, int(name[k]))))
+                        found[pair] = min(found.get(pair, (1 << 60,)), (int(d), row.name, int(name[k]), int(n[k])))
+        rows = [x[1:] for x in found.values()]
+        return pd.DataFrame(rows, columns=["pivot", "name", "n"], dtype="int64")
+
+    return left.unionByName(right).groupBy("pivot", "r", "c").applyInPandas(compare, "pivot long, name long, n long").distinct()
 
 
 def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF) -> tuple[DataFrame, DataFrame]:
@@ -179,26 +226,48 @@ def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = O
     """
     rows = keep(documents(docs, k, least, out_of), "rows")
     nodes = rows.filter(F.size("firsts") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
-    pairs = keep(regions(nodes, least, out_of), "regions")
-    named = pairs.select("name").distinct()
+    kept = keep(rare_grams(nodes, least, out_of), "grams")
+    named = kept.select("name").distinct()
     wanted = rows.join(named, "name").groupBy("name").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("name").alias("names"))
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in portions(frames, "text"):
             sets = _sets([text_or_none(t) for t in pdf["text"]], k)
             found = [(_name(s), s.view(np.int64)) for s in sets]
-            chosen = [f for f, names in zip(found, pdf["names"], strict=True) if f[0] in set(names)]
-            yield pd.DataFrame(chosen, columns=["name", "grams"])
+            chosen = [(*f, _sketch(f[1])) for f, names in zip(found, pdf["names"], strict=True) if f[0] in set(names)]
+            yield pd.DataFrame(chosen, columns=["name", "grams", "sketch"])
 
     source = docs.withColumn("id", F.coalesce("doc_id", F.lit(_LAST))).select("id", "text")
-    sets = keep(source.join(wanted, "id").mapInPandas(fetch, "name long, grams array<long>").dropDuplicates(["name"]), "sets")
-    measured = keep(_to_pivots(pairs, sets), "distances")
-    near = measured.filter((F.col("both") * out_of >= F.col("either") * least) & (F.col("pivot") != F.col("name"))).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
-    near = keep(near, "links")
-    labels = keep(components(near), "labels").select(F.col("node").alias("name"), "label")
-    members = measured.join(labels, "name", "left").select("pivot", "name", "n", (1 - F.col("both") / F.col("either")).alias("far"), F.coalesce("label", "name").alias("label"))
-    more = _within(members, sets, least, out_of)
-    return rows, keep(near.unionByName(more), "links")
+    sets = keep(source.join(wanted, "id").mapInPandas(fetch, "name long, grams array<long>, sketch binary").dropDuplicates(["name"]), "sets")
+    near = lambda m: m.filter((F.col("both") * out_of >= F.col("either") * least) & (F.col("pivot") != F.col("name"))).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
+    grouped = lambda e: keep(components(e), "labels").select(F.col("node").alias("name"), "label")
+    first, tested, labels = None, None, docs.sparkSession.createDataFrame([], "name long, label long")
+    for _ in range(ROUNDS):
+        pairs = keep(head_pairs(kept, labels, tested, least, out_of), "pairs")
+        found = near(keep(_to_pivots(pairs, sets), "distances"))
+        first = keep(found if first is None else first.unionByName(found), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = grouped(first)
+    measured = keep(_to_pivots(cells(kept, labels), sets), "distances")
+    second = keep(first.unionByName(near(measured)), "links")
+    # of each two groups the nearest pair is tried first, then what is still apart
+    for nearest in (True, False):
+        members = measured.join(grouped(second), "name", "left").select("pivot", "name", "n", (1 - F.col("both") / F.col("either")).alias("far"), F.coalesce("label", "name").alias("label"))
+        pairs = keep(_within(members, sets.select("name", "sketch"), nearest, least, out_of), "pairs")
+        second = keep(second.unionByName(near(_to_pivots(pairs, sets))), "links")
+    return rows, second
+
+
+def _linked(docs: DataFrame, k: int, least: int, out_of: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc_id, text_key, name, n, component_id."""
+    rows, found = links(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, least, out_of)
+    labels = components(found)
+    nodes = rows.filter("n > 0").groupBy("name").agg(F.min("id").alias("id"))
+    labelled = keep(nodes.join(labels.withColumnRenamed("node", "name"), "name", "left").select("name", "id", F.coalesce("label", "name").alias("label")), "labels")
+    least_id = labelled.groupBy("label").agg(F.min("id").alias("least_id"))
+    reached = labelled.join(least_id, "label").select("name", "least_id")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("least_id", F.lit(_LAST)))
+    return rows.drop("firsts").join(reached, "name", "left").select("doc_id", "text_key", "name", "n", component.alias("component_id"))
 
 
 def link_documents(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,26 +278,19 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of
     missing or empty text has an empty set, which links with nothing. A missing id counts as greater
     than all others. Repeated rows are linked, their sets being equal. Other columns are left out.
     """
-    rows, found = links(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, least, out_of)
-    labels = components(found)
-    nodes = rows.filter("n > 0").groupBy("name").agg(F.min("id").alias("id"))
-    labelled = keep(nodes.join(labels.withColumnRenamed("node", "name"), "name", "left").select("name", "id", F.coalesce("label", "name").alias("label")), "labels")
-    least_id = labelled.groupBy("label").agg(F.min("id").alias("least_id"))
-    reached = labelled.join(least_id, "label").select("name", "least_id")
-    joined = rows.drop("firsts").join(reached, "name", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("least_id", F.lit(_LAST)))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _linked(docs, k, least, out_of, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without those that link to a smaller document.
 
-    Of each component the smallest id stays, of its repeated rows one. Rows with an empty set stay.
+    Of each component the smallest id stays, once for each of its sets. Rows with an empty set stay.
     """
-    decided = link_documents(docs, id_col=id_col, text_col=text_col, **options)
-    # an id that stands for its component; ids with an empty set always do
-    stays = decided.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
-    stays = stays.withColumnRenamed("doc_id", "_stays")
-    kept = docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"])).drop("_stays")
-    full = kept.filter("_n > 0").drop("_n").dropDuplicates([id_col])
-    return full.unionByName(kept.filter("_n = 0").drop("_n"))
+    decided = keep(_linked(docs, k, least, out_of, id_col, text_col), "decided")
+    own = decided.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    full = own.filter("n > 0").groupBy("doc_id", "name").agg(F.min("text_key").alias("stay_key")).select("doc_id", "stay_key", F.lit(True).alias("once"))
+    empty = own.filter("n = 0").select("doc_id", F.col("text_key").alias("stay_key"), F.lit(False).alias("once")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("own"), F.xxhash64(F.col(text_col)).alias("own_key"))
+    stays = full.unionByName(empty)
+    kept = packed.join(stays, packed["own"].eqNullSafe(stays["doc_id"]) & (packed["own_key"] == stays["stay_key"]))
+    return kept.filter("once").dropDuplicates(["own", "own_key"]).unionByName(kept.filter("not once")).select("doc.*")
