@@ -11,7 +11,9 @@ its range), the document id, ``ids``.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,37 +23,68 @@ from pyspark.sql import functions as F
 
 from fairtender.llm.words import portions, text_or_none
 
-#: words whose ids a task remembers; forgotten all at once when full
-CACHED_WORDS = 300_000
+#: words whose ids a worker remembers, twice: in a young table and in the one before it
+CACHED_WORDS = 350_000
+_STOP = re.compile(rb"([A-Za-z0-9])([.,])(?=[ \t\n\r]|\Z)")
 
 
 class Encoder:
     """Encodes texts word by word and remembers words.
 
-    For tokenizers that split at white space and never carry a token or a rule across it, as
-    the given one does; the ids are then those of the whole text.
+    For tokenizers that take capital letters as small ones, split at white space and before a
+    stop or comma that ends a word, and never carry a token or a rule across a split, as the
+    given one does; the ids are then those of the whole text. Texts that may hold the name of
+    a special token keep their capitals.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        # a special token is cut out before anything else, so words on either side do not touch
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")]
+        self.mark_id, self.mark = special[0] if special else (None, None)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are encoded as one text with a special token between them."""
+        text = self.mark.join([w.decode() for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts, raw = np.flatnonzero(ids == self.mark_id) * 4, ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            order = sorted(new)
-            for i in range(0, len(order), 10_000):
-                some = order[i : i + 10_000]
-                coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(some, coded, strict=True))
-        return [b"".join([known[w] for w in words]) for words in split]
+        split = []
+        for t in texts:
+            raw = t.encode("utf-8", "replace")
+            split.append(_STOP.sub(rb"\1 \2", raw if b"<|" in raw else raw.lower()).split())
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = {w for words in split for w in words if w not in young}
+        young.update((w, old[w]) for w in new if w in old)
+        order = sorted(w for w in new if w not in old)
+        plain = [w for w in order if b"<|" not in w] if self.mark else []
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            young.update(zip(some, self._joined(some), strict=True))
+        other = [w for w in order if w not in young]
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        young.update((w, array("I", c.ids).tobytes()) for w, c in zip(other, coded, strict=True))
+        return [b"".join([young[w] for w in words]) for words in split]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which keeps its words from task to task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,10 +108,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, at = TaskContext.get().partitionId(), 0
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for pdf in portions(frames, "text"):
-            ids = [np.frombuffer(b + end, "<i4") for b in encoder.encode([text_or_none(t) or "" for t in pdf["text"]])]
+            ids = [np.frombuffer(b + end, "<i4") for b in own.encode([text_or_none(t) or "" for t in pdf["text"]])]
             ends = at + np.cumsum([len(x) for x in ids])
             starts = np.concatenate([[at], ends[:-1]])
             at = int(ends[-1])
