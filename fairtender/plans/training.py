@@ -30,6 +30,7 @@ def training_file(examples: DataFrame, path: str) -> tuple[DataFrame, DataFrame,
     spark = examples.sparkSession
     write_jsonl(examples.select("messages"), path)
     defects = chat_defects(spark.read.text(path))
-    lines = read_jsonl(spark, path).select(F.monotonically_increasing_id().alias("example"), F.explode("messages").alias("m"))
+    # numbered before the messages are taken apart
+    lines = read_jsonl(spark, path).withColumn("example", F.monotonically_increasing_id()).select("example", F.explode("messages").alias("m"))
     stats = chat_stats(lines.select("example", "m.role", "m.content"), ["example"], "role", "content")
     return defects, stats, training_budget(stats)
