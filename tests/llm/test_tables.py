@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import plain
 import pytest
+from conftest import sentence
 
 import corpus_pipeline
 from fairtender.llm import chat, queries, urls
@@ -178,3 +179,25 @@ def test_pipeline(spark, sf):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+
+
+def test_pipeline_near_copies(spark, sf):
+    rng = random.Random(10)
+    docs = []
+    for group in range(8):
+        base = sentence(rng, 300, 10**6)
+        docs += [(100 * group + 7, base), (100 * group + 3, f"{base} {sentence(rng, 45 + 4 * group, 10**6)}")]
+        short = sentence(rng, 49 + group, 10**6).split()
+        docs += [(100 * group + 20, " ".join(short)), (100 * group + 21, " ".join([*short[:25], "new", *short[26:]]))]
+        docs += [(100 * group + 30, base + " far " * 2 + sentence(rng, 90, 10**6))]  # 0.76 at most
+    held = {d: plain.shingles(t, 5) for d, t in docs}
+    like = lambda a, b: len(held[a] & held[b]) / len(held[a] | held[b])
+    label = {d: d for d in held}
+    for a in held:
+        for b in held:
+            if like(a, b) >= 0.8 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if x == high else x for d, x in label.items()}
+    assert len(set(label.values())) < len(docs)
+    one = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(set(label.values()))
