@@ -14,10 +14,11 @@ first meet in small *regions*, by shared n-grams, in a way that loses no pair:
    is its cell, with the group's most central head as pivot. Documents of several cells, on
    their boundaries, are replicated into each. Distances to the pivot are exact.
 4. What is not linked yet is joined within the cell: only documents in the window that the
-   triangle inequality leaves, in blocks of bounded size, so that a large cell is divided again.
+   triangle inequality leaves; a large cell is dealt once, by hash, into blocks of bounded size.
 
-Links between documents that are connected already are not looked for, as components need
-none; see ``links``.
+``links`` does not look for links between documents that are connected already, as components
+need none. ``join_pairs`` gives all linked pairs: each n-gram's documents are the cell of its
+head, without rounds and labels, and ``count_links`` counts them per document.
 """
 
 from __future__ import annotations
@@ -203,7 +204,8 @@ def _within(members: DataFrame, sketches: DataFrame, nearest: bool, least: int,
                 for width in np.unique(widths):
                     at = np.flatnonzero((widths == width) & (label != row.label) & (np.abs(far - row.far) <= reach))
                     buckets = min(int(width), len(row.sketch))
-                    if not len(at) or max(int(width), len(row.sketch)) > 2 * buckets:
+                    # sizes this far apart cannot link
+                    if not len(at) or max(int(width), len(row.sketch)) * least > 2 * buckets * out_of:
                         continue
                     if (width, buckets) not in tables:
                         tables[width, buckets] = np.zeros((len(others), buckets), np.int32)
@@ -219,11 +221,8 @@ def _within(members: DataFrame, sketches: DataFrame, nearest: bool, least: int,
     return left.unionByName(right).groupBy("pivot", "r", "c").applyInPandas(compare, "pivot long, name long, n long").distinct()
 
 
-def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF) -> tuple[DataFrame, DataFrame]:
-    """Rows with their sets' names, and links between different sets (a, b: names).
-
-    The links are all real, and enough: sets within the threshold are connected by them.
-    """
+def _named_sets(docs: DataFrame, k: int, least: int, out_of: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their sets' names, the n-grams by which pairs meet, and the sets that may meet others."""
     rows = keep(documents(docs, k, least, out_of), "rows")
     nodes = rows.filter(F.size("firsts") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
     kept = keep(rare_grams(nodes, least, out_of), "grams")
@@ -239,7 +238,20 @@ def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = O
 
     source = docs.withColumn("id", F.coalesce("doc_id", F.lit(_LAST))).select("id", "text")
     sets = keep(source.join(wanted, "id").mapInPandas(fetch, "name long, grams array<long>, sketch binary").dropDuplicates(["name"]), "sets")
-    near = lambda m: m.filter((F.col("both") * out_of >= F.col("either") * least) & (F.col("pivot") != F.col("name"))).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
+    return rows, kept, sets
+
+
+def _near(measured: DataFrame, least: int, out_of: int) -> DataFrame:
+    return measured.filter((F.col("both") * out_of >= F.col("either") * least) & (F.col("pivot") != F.col("name")))
+
+
+def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF) -> tuple[DataFrame, DataFrame]:
+    """Rows with their sets' names, and links between different sets (a, b: names).
+
+    The links are all real, and enough: sets within the threshold are connected by them.
+    """
+    rows, kept, sets = _named_sets(docs, k, least, out_of)
+    near = lambda m: _near(m, least, out_of).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
     grouped = lambda e: keep(components(e), "labels").select(F.col("node").alias("name"), "label")
     first, tested, labels = None, None, docs.sparkSession.createDataFrame([], "name long, label long")
     for _ in range(ROUNDS):
@@ -258,6 +270,34 @@ def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = O
     return rows, second
 
 
+def join_pairs(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All pairs of different sets that link, and which rows have them.
+
+    Returns the rows (doc_id, text_key, name of the set, n) and the pairs (a < b: names of sets,
+    both, either: sizes of intersection and union), each once. Rows with one name have equal
+    sets; those of an empty set link with nothing. There are as many pairs as there are links,
+    so a group of near copies may have as many as the square of its different sets.
+    """
+    rows, kept, sets = _named_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, least, out_of)
+    apart = docs.sparkSession.createDataFrame([], "name long, label long")
+    measured = keep(_to_pivots(cells(kept, apart), sets), "distances")
+    members = measured.select("pivot", "name", "n", (1 - F.col("both") / F.col("either")).alias("far"), F.col("name").alias("label"))
+    open_pairs = _within(members, sets.select("name", "sketch"), False, least, out_of)
+    pairs = keep(open_pairs.select(F.least("pivot", "name").alias("pivot"), F.greatest("pivot", "name").alias("name"), F.lit(0).cast("long").alias("n")).distinct(), "pairs")
+    found = _near(_to_pivots(pairs, sets), least, out_of).select(F.col("pivot").alias("a"), F.col("name").alias("b"), "both", "either")
+    return rows.select("doc_id", "text_key", "name", "n"), keep(found, "links")
+
+
+def count_links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, n_links (other rows whose sets link with its own, or equal it)."""
+    rows, pairs = join_pairs(docs, k, least, out_of, id_col, text_col)
+    copies = keep(rows.filter("n > 0").groupBy("name").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    ways = pairs.select(F.col("a").alias("own"), F.col("b").alias("name")).unionByName(pairs.select(F.col("b").alias("own"), "a").toDF("own", "name"))
+    others = ways.join(copies, "name").groupBy("own").agg(F.sum("copies").alias("others")).withColumnRenamed("own", "name")
+    counts = copies.join(others, "name", "left").select("name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(counts, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def _linked(docs: DataFrame, k: int, least: int, out_of: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc_id, text_key, name, n, component_id."""
     rows, found = links(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, least, out_of)

@@ -334,6 +334,37 @@ def test_near_copies_other_threshold(spark):
     same_components(jaccard.link_documents(spark.createDataFrame(docs, "doc_id long, text string"), least=60), docs, 60)
 
 
+@pytest.mark.parametrize("k,least,block", [(3, 90, 512), (5, 80, 4), (3, 40, 512)])
+def test_near_copies_all_pairs(spark, k, least, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(11)
+    docs = []
+    for group in range(3):
+        base = sentence(rng, 60 + 40 * group, 5000).split()
+        for i in range(12):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(own + own[: 10 * i] * (i > 9) + [f"t{group}x{j}" for j in range(8 * i)])))
+    docs += [(100, docs[0][1]), (101, docs[0][1].upper()), (102, ""), (103, None), (104, "a b"), (105, "A  b"), (106, "alone in the world")]
+    held = {d: plain.shingles(t, k) for d, t in docs}
+    links = lambda a, b: bool(held[a]) and 100 * len(held[a] & held[b]) >= least * len(held[a] | held[b])
+    want = {(a, b) for a in held for b in held if a < b and links(a, b)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows, pairs = (x.collect() for x in jaccard.join_pairs(frame, k, least))
+    by: dict = {}
+    for r in rows:
+        if r.n:
+            by.setdefault(r.name, []).append(r.doc_id)
+    got = [tuple(sorted((a, b))) for p in pairs for a in by[p.a] for b in by[p.b]] + [(a, b) for own in by.values() for a in own for b in own if a < b]
+    assert len(got) == len(set(got)) and set(got) == want
+    for p in pairs:
+        a, b = held[by[p.a][0]], held[by[p.b][0]]
+        assert (p.both, p.either) == (len(a & b), len(a | b))
+    counts = {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard.count_links(frame, k, least).collect()}
+    assert counts == {d: (len(s), sum(d in p for p in want)) for d, s in held.items()}
+
+
 def test_near_copies_awkward(spark, awkward):
     got = rows_of(jaccard.link_documents(awkward))
     assert len(got) == awkward.count()
