@@ -333,7 +333,7 @@ def parallel_trends_price(spark, sf):
 
 @query("price_models")
 def price_models(spark, sf):
-    return es.price_models(saved_prices(spark, sf), 4)
+    return es.price_models(saved_prices(spark, sf), REPS)
 
 
 @query("computer_models")
