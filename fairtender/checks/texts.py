@@ -329,7 +329,7 @@ PROMPT, COMPLETION = "concat(ends, '---->')", f"concat(' ', {ANSWER}, ' ', chr(1
 
 def _examples(spark, sf):
     priced = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") + 0.5).alias("first"), "n_chars")
-    return training.training_examples(priced, ["first", "n_chars"], n=300)
+    return training.training_examples(priced, ["first", "n_chars"])
 
 
 @query("training_examples", f"SELECT doc_id, md5({PROMPT}) AS prompt_md5, {COMPLETION} AS completion FROM documents JOIN ({EXAMPLES}) e USING (doc_id)")
