@@ -3,8 +3,8 @@
 Level 0 looks at seeds, runs of half the least length: of the seeds inside a window the one
 with the least hash stands for it, so about a fifth of all places is looked up and still every
 window has its seed. Only windows around repeated seeds are candidates at the least length.
-Beyond it, windows that start at content-chosen anchors and are repeated at one length alone
-are extended to twice that length, until no candidates survive.
+All windows that are repeated at one length are extended to twice that length, until no
+candidates survive.
 
 A document id counts as one document. A missing id counts as greater than all others.
 """
@@ -24,8 +24,6 @@ from fairtender.llm.staging import keep
 from fairtender.llm.words import Words, mix, portions, scan, text_or_none
 
 WINDOW = 13
-#: of the windows beyond the least length those that start at one of so many places
-ANCHORS = 16
 _LAST = (1 << 63) - 1
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -109,50 +107,68 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
     return docs.join(wanted, "id").mapInPandas(window_rows, "id long, at array<int>, hashes array<long>")
 
 
-def _levels(windows: DataFrame, again: DataFrame, window: int) -> DataFrame:
-    """Per id the greatest length, doubled from ``window``, at which a window of it is repeated."""
+def _lanes_of(windows: DataFrame) -> DataFrame:
+    """The rows of ``lanes`` for tables of id and hashes."""
 
-    def chains(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def window_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            ids, found = [], []
+            sizes = [len(h) for h in pdf["hashes"]]
+            if sum(sizes):
+                hashes = np.concatenate([np.asarray(h, np.int64) for h in pdf["hashes"]]).view(np.uint64)
+                yield lanes(np.repeat(pdf["id"].to_numpy(np.int64), sizes), hashes)
+
+    return windows.select("id", "hashes").mapInPandas(window_rows, "h long, id long, proven boolean, lane int")
+
+
+def _surviving(windows: DataFrame, again: DataFrame) -> DataFrame:
+    """The windows whose hash is in ``again`` of their id."""
+
+    def survive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
             for doc, at, hashes, known in zip(pdf["id"], pdf["at"], pdf["hashes"], pdf["again"], strict=True):
-                at, h = np.asarray(at), np.asarray(hashes, np.int64)
+                at, h = np.asarray(at, np.int32), np.asarray(hashes, np.int64)
                 live = np.isin(h, np.asarray(known, np.int64))
-                at, h = at[live], h[live].view(np.uint64)
-                if not len(at):
-                    continue
-                level = np.zeros(at[-1] + 1, np.uint64)
-                there = np.zeros(at[-1] + 1, bool)
-                level[at], there[at] = h, True
-                anchors = at[mix(h) % np.uint64(ANCHORS) == 0]
-                own: list[list[int]] = [[] for _ in anchors]
-                reach, chosen = window, np.arange(len(anchors))
-                while len(chosen):  # both halves must be there
-                    n = len(level) - reach
-                    if n <= 0:
-                        break
-                    there = there[:n] & there[reach:]
-                    level = mix(level[:n] * _STEP + level[reach:])
-                    chosen = chosen[anchors[chosen] < n]
-                    chosen = chosen[there[anchors[chosen]]]
-                    for c, v in zip(chosen, level[anchors[chosen]].view(np.int64), strict=True):
-                        own[c].append(int(v))
-                    reach *= 2
-                own = [o for o in own if o]
-                ids += [doc] * len(own)
-                found += own
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "chain": found})
-
-    known = again.select("id", "again")
-    alive = keep(windows.join(known, "id").mapInPandas(chains, "id long, chain array<long>"), "chains")
+                out.append((doc, at[live], h[live]))
+            yield pd.DataFrame(out, columns=["id", "at", "hashes"])
+
+    return windows.join(again.select("id", "again"), "id").mapInPandas(survive, "id long, at array<int>, hashes array<long>")
+
+
+def _doubled(windows: DataFrame, reach: int) -> DataFrame:
+    """Windows of twice the length ``reach``, of which both halves are there."""
+
+    def double(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for doc, at, hashes in zip(pdf["id"], pdf["at"], pdf["hashes"], strict=True):
+                at, h = np.asarray(at, np.int64), np.asarray(hashes, np.int64).view(np.uint64)
+                other = np.searchsorted(at, at + reach)
+                both = np.flatnonzero(other < len(at))
+                both = both[at[other[both]] == at[both] + reach]
+                if len(both):
+                    out.append((doc, at[both].astype(np.int32), mix(h[both] * _STEP + h[other[both]]).view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "at", "hashes"])
+
+    return windows.mapInPandas(double, "id long, at array<int>, hashes array<long>")
+
+
+def _levels(windows: DataFrame, again: DataFrame, window: int) -> DataFrame:
+    """Per id the greatest length, doubled from ``window``, at which a window of it is repeated.
+
+    All windows that survive at one length are doubled to the next.
+    """
     longest = again.select("id", F.lit(window).cast("long").alias("length"))
-    level = 1
-    while alive.limit(1).count():
-        at = alive.withColumn("h", F.get("chain", F.lit(level - 1))).filter("h is not null")
-        sizes = at.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("h")
-        alive = keep(at.join(sizes, "h").select("id", "chain"), "chains")
-        longest = longest.unionByName(alive.select("id", F.lit(window << level).cast("long").alias("length")).distinct())
-        level += 1
+    reach = window
+    doubled = _doubled(_surviving(windows, again), reach)
+    while True:
+        doubled = keep(doubled, "doubled")
+        found = keep(repeated(_lanes_of(doubled)).groupBy("id").agg(F.collect_list("h").alias("again")), "again")
+        if not found.limit(1).count():
+            break
+        reach *= 2
+        longest = longest.unionByName(found.select("id", F.lit(reach).cast("long").alias("length")))
+        doubled = _doubled(_surviving(doubled, found), reach)
     return longest.groupBy("id").agg(F.max("length").alias("longest"))
 
 
@@ -161,21 +177,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Returns per row: doc_id, n_words, n_removed, kept (the words left, joined by one space),
     kept_sha256, and longest_repeat (the greatest length ``window`` * 2**k at which a window of
-    the document is repeated; seen at anchors from the second level on; 0: none). Windows are
+    the document is repeated; 0: none). Windows are
     judged on the input. A missing or empty text has no words. Rows that share an id do not
     count as repeats of each other. Other columns are left out.
     """
     rows = docs.select(_id(id_col).alias("id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     windows = keep(candidates(rows.select("id", "text"), window), "windows")
-
-    def window_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            sizes = [len(h) for h in pdf["hashes"]]
-            if sum(sizes):
-                hashes = np.concatenate([np.asarray(h, np.int64) for h in pdf["hashes"]]).view(np.uint64)
-                yield lanes(np.repeat(pdf["id"].to_numpy(np.int64), sizes), hashes)
-
-    found = repeated(windows.select("id", "hashes").mapInPandas(window_rows, "h long, id long, proven boolean, lane int"))
+    found = repeated(_lanes_of(windows))
     again = found.groupBy("id").agg(F.collect_list("h").alias("again"), F.collect_list(F.when(F.col("earlier"), F.col("h"))).alias("removed"))
     again = keep(again, "again")
     longest = _levels(windows, again, window)

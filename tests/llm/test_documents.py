@@ -104,6 +104,24 @@ def test_passages_levels(spark):
     assert got[2]["n_removed"] == 900 and got[1]["n_removed"] == 0 and got[2]["kept"] == "x y"
 
 
+def test_passages_levels_are_exact(spark):
+    rng = random.Random(12)
+    docs = []
+    for i, n in enumerate([12, 13, 25, 26, 27, 30, 50, 51, 52, 53, 100, 104, 110] * 3):
+        shared = sentence(rng, n, 10**6)
+        docs += [(2 * i, f"{sentence(rng, 20, 10**6)} {shared} {sentence(rng, 9, 10**6)}"), (2 * i + 1, f"{shared} {sentence(rng, 70, 10**6)}")]
+    docs.append((200, f"{docs[-1][1]} {docs[0][1]} {docs[-2][1]}"))
+    held, want = {}, {d: 0 for d, _ in docs}
+    for length in (13, 26, 52, 104, 208):
+        for d, t in docs:
+            w = t.split()
+            for j in range(len(w) - length + 1):
+                held.setdefault(tuple(w[j : j + length]), set()).add(d)
+        want |= {d: length for key, own in held.items() if len(key) == length and len(own) > 1 for d in own}
+    got = {r["doc_id"]: r["longest_repeat"] for r in rows_of(substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))}
+    assert got == want
+
+
 def test_passages_awkward(spark, awkward):
     got = rows_of(substring.remove_repeats(awkward))
     assert len(got) == awkward.count()
