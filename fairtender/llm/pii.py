@@ -108,7 +108,7 @@ def find(docs: DataFrame, text_col: str = "text", min_score: int = MIN_SCORE) ->
     some = lambda k: F.size(f"_pii_hit_{k.name}") > 0
     gaps = hits.select("*", *[F.when(some(k), F.split(text, k.pattern, -1)).alias(f"_pii_gap_{k.name}") for k in KINDS])
     joined = gaps.select("*", *[_lengths(k) for k in KINDS])
-    spans = joined.select(*cols, *[F.when(some(k), _spans(k, min_score)).alias(f"_pii_span_{k.name}") for k in KINDS])
+    spans = joined.select(*cols, *[F.when(some(k), _spans(k, min_score, text)).alias(f"_pii_span_{k.name}") for k in KINDS])
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:int,text:string>>")
     return spans.select(*cols, F.concat(*[F.coalesce(F.col(f"_pii_span_{k.name}"), empty) for k in KINDS]).alias("found"))
 
@@ -119,21 +119,23 @@ def _lengths(k: Kind) -> Column:
     return F.when(F.size(hit) > 0, both).alias(f"_pii_len_{k.name}")
 
 
-def _spans(k: Kind, min_score: int) -> Column:
+def _spans(k: Kind, min_score: int, text: Column) -> Column:
     gap, hit, length = (F.col(f"_pii_{x}_{k.name}") for x in ("gap", "hit", "len"))
     known = f"(^|[^a-z])({'|'.join(k.words)})([^a-z]|$)"
     near = lambda t: F.lower(t).rlike(known)
     placed = F.zip_with(hit, sums_before(length), lambda h, at: F.struct(h.alias("h"), at.alias("at")))
-    led = F.zip_with(placed, gap, lambda p, g: F.struct(p.h.alias("h"), (p.at + F.length(g)).alias("start"), near(F.right(g, F.lit(REACH))).alias("a")))
-    whole = F.zip_with(led, F.slice(gap, F.lit(2), F.size(gap)), lambda p, g: F.struct(p.h.alias("h"), p.start.alias("start"), (p.a | near(F.left(g, F.lit(REACH)))).alias("a")))
-    real = F.filter(whole, lambda p: p.h.isNotNull() & _confirmed(k.name, p.h))
+    led = F.zip_with(placed, gap, lambda p, g: F.struct(p.h.alias("h"), (p.at + F.length(g)).alias("start")))
+    real = F.filter(led, lambda p: p.h.isNotNull() & _confirmed(k.name, p.h))
+    start = lambda p: F.greatest(p.start - REACH, F.lit(0))
+    before = lambda p: F.substring(text, (start(p) + 1).cast("int"), (p.start - start(p)).cast("int"))
+    after = lambda p: F.substring(text, (p.start + F.length(p.h) + 1).cast("int"), F.lit(REACH))
     scored = F.transform(
         real,
         lambda p: F.struct(
             F.lit(k.name).alias("kind"),
             p.start.alias("start"),
             (p.start + F.length(p.h)).alias("end"),
-            (F.lit(k.score) + F.when(p.a, CONTEXT).otherwise(0)).cast("int").alias("score"),
+            (F.lit(k.score) + F.when(near(before(p)) | near(after(p)), CONTEXT).otherwise(0)).cast("int").alias("score"),
             p.h.alias("text"),
         ),
     )

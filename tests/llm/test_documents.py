@@ -70,6 +70,14 @@ def test_personal_data_method(spark):
     assert rows[4].found[0].score > rows[5].found[0].score
 
 
+def test_personal_data_context_beyond_neighbours(spark):
+    texts = ["é🎈 SSN: 123-45-6789, 219-09-9999.", "SSN" + " x" * 25 + " 219-09-9999", "visa 1234 5678, 4111111111111111", "4111111111111111 1234 5678 visa"]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(s.kind, s.text) for s in r.found] for r in rows[:2]] == [[("ssn", "123-45-6789"), ("ssn", "219-09-9999")], []]
+    alone = pii.find(spark.createDataFrame([(0, "4111111111111111")], "doc_id long, text string")).first().found[0].score
+    assert all(s.score > alone for r in rows[2:] for s in r.found if s.kind == "card")
+
+
 # passages
 
 
