@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairtender.llm import chat, decontaminate, fingerprints, jaccard, language, mixing, oracles, pii, substring, tokens, urls
+from fairtender.llm import chat, codes, decontaminate, fingerprints, jaccard, language, mixing, oracles, pii, substring, tokens, urls, whitening
 from fairtender.llm.staging import keep
 from fairtender.session import scratch_path
 
@@ -98,6 +98,18 @@ def op10_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf, "documents"))
 
 
+@query
+def op11_whitened(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = codes.compress(table(spark, sf, "embeddings"))
+    return rows.withColumns({c: F.col(c).try_cast("bigint") for c in ("error", "label_error")})
+
+
 ORACLES |= {
     "op3_reply_trees": oracles.REPLY_TREES,
     "op7_near_copies": oracles.NEAR_COPIES,
