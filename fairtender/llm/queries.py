@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairtender.llm import chat, codes, decontaminate, fingerprints, jaccard, language, mixing, oracles, pii, substring, tokens, urls, whitening
+from fairtender.llm import chat, codes, decontaminate, fingerprints, jaccard, language, mixing, oracles, pii, secrets, substring, tokens, urls, whitening
 from fairtender.llm.staging import keep
 from fairtender.session import scratch_path
 
@@ -104,6 +104,11 @@ def op11_whitened(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+@query
+def op12_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.summary(secrets.find(table(spark, sf, "documents")))
+
+
 @query
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     rows = codes.compress(table(spark, sf, "embeddings"))

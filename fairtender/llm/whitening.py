@@ -52,7 +52,7 @@ def bit_planes(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """Planes (words of 64 rows) of the columns of ``numbers`` (rows by dimensions, uint64),
     with the dimension and the bit of each; planes without any bit are left out."""
     rows, dims = numbers.shape
-    top = int(numbers.max(initial=0)).bit_length()
+    top = max(1, int(numbers.max(initial=0)).bit_length())
     across = np.ascontiguousarray(numbers.T)
     packed = np.zeros((dims, top, -(-rows // 64) * 8), np.uint8)
     for b in range(top):

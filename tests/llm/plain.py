@@ -138,3 +138,20 @@ def turns_digest(rows: list[tuple]) -> tuple[int, str, int, str]:
     told = "".join(f"{r or ''}\n{t or ''}\n" for _, r, t in rows)
     loss = "".join(t or "" for _, r, t in rows if r == "assistant")
     return len(rows), sha(told), len(loss), sha(loss)
+
+
+SECRETS = {
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "access": (r"AKIA[A-Z0-9]+", 0, 16),
+    "hex": (r"[0-9a-f]+", 0, 32),
+}
+
+
+def secrets(text: str | None) -> list[tuple[int, int, str, int, str]]:
+    """Base spans as (start, order of the kind, kind, end, secret), by start and kind."""
+    out = []
+    for no, (kind, (pattern, group, least)) in enumerate(SECRETS.items()):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            if len(m[group]) >= least:
+                out.append((m.start(), no, kind, m.end(), m[group]))
+    return sorted(out)
