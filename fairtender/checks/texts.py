@@ -323,7 +323,7 @@ def training_budget(spark, sf):
 
 CLEAN_NORMAL = NORMAL.replace("lower(text)", f"lower({CLEAN})")
 ANSWER = "concat(CASE WHEN doc_id % 3 <> 0 THEN concat(doc_id, '.5; ') ELSE '' END, n_chars)"
-EXAMPLES = _pieces_sql(300, f"SELECT doc_id, {_ends_sql('ends')} FROM w LEFT JOIN p USING (doc_id) GROUP BY doc_id").replace(NORMAL, CLEAN_NORMAL)
+EXAMPLES = _pieces_sql(training.PIECE_TOKENS, f"SELECT doc_id, {_ends_sql('ends')} FROM w LEFT JOIN p USING (doc_id) GROUP BY doc_id").replace(NORMAL, CLEAN_NORMAL)
 PROMPT, COMPLETION = "concat(ends, '---->')", f"concat(' ', {ANSWER}, ' ', chr(10), chr(10), '###', chr(10), chr(10))"
 
 

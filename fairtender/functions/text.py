@@ -123,12 +123,33 @@ def decode_entities(text: Column) -> Column:
     return out
 
 
+#: stands behind the first sign of what is never closed (a character of private use)
+OPEN_MARK = "\ue000"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+#: outside quotes, the first ``href`` after a space; each step takes a run of signs, none is tried twice
+ANCHOR = rf"""(?i)<a(?=\s)(?:[^>"'\s]++|\s(?!href\s*+=\s*+{_VALUE})|"[^"]*+"|'[^']*+')*+\shref\s*+=\s*+({_VALUE})"""
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*+>"
+
+
+def _mark_unclosed(html: Column, opening: str, closing: str) -> Column:
+    """Mark each opening after the last closing, so that nobody looks for its end."""
+    head = F.regexp_extract(html, rf"(?is)^.*{closing}", 0)
+    tail = F.substr(html, F.length(head) + 1)
+    marked = F.concat(head, F.regexp_replace(tail, rf"(?i)<({opening})", f"<{OPEN_MARK}$1"))
+    return F.when(html.rlike(rf"(?i)<{opening}"), marked).otherwise(html)
+
+
 def href_links(html: Column) -> Column:
-    """Targets of the anchors of a page, quoted or not; comments, scripts and styles hold none."""
-    shown = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    anchor = r"""(?i)<a\s(?:(?:[^>"']|"[^"]*"|'[^']*')*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    found = F.regexp_extract_all(shown, F.lit(anchor), F.lit(1))
-    return F.transform(found, lambda h: F.trim(decode_entities(F.regexp_replace(h, "^[\"']|[\"']$", ""))))
+    """Targets of the anchors of a page, quoted or not; closed comments, scripts and styles hold none.
+
+    The time is in proportion to the page's length, whatever is long or unclosed in it.
+    """
+    for opening, closing in (("!--", "-->"), (r"script\b", r"</script\s*+>"), (r"style\b", r"</style\s*+>")):
+        html = _mark_unclosed(html, opening, closing)
+    shown = F.regexp_replace(html, HIDDEN, " ")
+    found = F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(1))
+    plain = lambda h: F.replace(F.regexp_replace(h, "^[\"']|[\"']$", ""), F.lit("<" + OPEN_MARK), F.lit("<"))
+    return F.transform(found, lambda h: F.trim(decode_entities(plain(h))))
 
 
 def link_file_name(href: Column) -> Column:

@@ -1,218 +1,455 @@
-"""Projecting out two many-level factors at once.
-
-The factors' effects solve sparse normal equations on the table of level pairs, which is
-smaller than the rows and holds one sum per pair and replicate. Conjugate gradients on the
-second factor's effects need two joins with that table per step, for all models, replicates
-and columns together. Each step's vectors (one row per level and replicate) are written to
-the shared folder, so the plan does not grow and a lost executor costs one step at most.
+"""Projecting out two many-level factors at once, for all replicates.
+
+Rows are dealt into units: at most some thousand rows of one model, sorted by the first factor,
+kept as one row of arrays. Their replicate weights are drawn anew from the row hashes wherever
+they are needed, so neither rows nor level pairs are multiplied by the replicates. Within a
+unit a level of the first factor is eliminated from the normal equations; what is left are
+equations for the second factor's effects (and for the few levels whose rows lie in several units,
+such as hot ones). Conjugate gradients solve them.
+
+A model that fits into one unit is solved there, a task per chunk of replicates. For the
+others a step goes over all units: the vectors, one row of packed numbers per level, are sent
+to the units that hold the level, and the units' parts are added per level. Units lie in buckets
+and do not move; each step's vectors are written to the shared folder, so the plan does not
+grow and a lost executor costs one step at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.functions.draws import replicate_weights
 from fairtender.operators.components import components
-from fairtender.operators.moments import LONG, WORK, add_up, arrow_rows, cross_products, matrix, texts
-from fairtender.operators.skew import HOT_ROWS, hot_keys, same_key, split_hot
+from fairtender.operators.layout import bucketed, forget
+from fairtender.operators.moments import LONG, add_up, arrow_rows, cross_products, matrix, texts
+from fairtender.operators.skew import HOT_ROWS
 from fairtender.session import stage
 
 # steps without a new least residual after which the equations count as unsolvable
 PATIENCE = 500
 # size of the residual relative to that of the column
 TOLERANCE = 1e-9
-CELL = ["model", "rep"]
-
-
-def _pair_sums(width: int, reps: int):
-    chunk = max(64, 40 * WORK // ((reps + 1) * width))
-    keys, columns = ["model", "level", "level2"], [f"v{c}" for c in range(width)]
-    schema = pa.schema(
-        [(k, pa.string()) for k in keys] + [("rep", pa.int32())] + [(c, pa.float64()) for c in columns]
-    )
+# numbers of the rows of a unit, and of the vectors of a unit's levels in one task
+UNIT_VALUES, TASK_VALUES = 4_000_000, 16_000_000
+# replicates solved one after the other by a task for a model of one unit
+LOCAL_REPS = 8
+# kinds of rows besides those of LONG: effects of the lowest level of either factor met in a unit
+LOWEST = (5, 6)
+# and what residual is left where the solution got stuck
+STUCK = 7
+
+NODE = ["model", "side", "name"]
+_UNIT = pa.schema(
+    [("unit", pa.int64()), ("model", pa.string()), ("levels", pa.list_(pa.string())), ("nodes", pa.list_(pa.string()))]
+    + [(c, pa.binary()) for c in ("level_at", "node_at", "hash", "v")]
+)
+UNIT_SQL = "unit bigint, model string, levels array<string>, nodes array<string>, level_at binary, node_at binary, hash binary, v binary"
+_LONG = pa.schema(
+    [("model", pa.string()), ("rep", pa.int32()), ("part", pa.string()), ("kind", pa.int32())]
+    + [("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64()), ("x", pa.float64())]
+)
+# a level's weights and vectors: n has a number per replicate, the others one per replicate and column
+VECTORS = ("n", "x", "r", "p", "q")
+_STATE = pa.schema([(c, pa.string()) for c in NODE] + [(c, pa.binary()) for c in VECTORS])
+STATE_SQL = "model string, side string, name string, " + ", ".join(f"{c} binary" for c in VECTORS)
+
+
+def _units(width: int, most: int):
+    """Sorted rows to units; a task's rows of one model make one unit per ``most`` rows."""
+
+    def packed(number: int, model: str, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        levels, level_at = np.unique(table["level"].to_numpy(), return_inverse=True)
+        nodes, node_at = np.unique(table["level2"].to_numpy(), return_inverse=True)
+        ats = [at.astype(np.int32).tobytes() for at in (level_at, node_at)]
+        v = np.concatenate([matrix(b, width) for b in rows])
+        hashes = table["hash"].to_numpy().astype(np.int64)
+        values = [number, model, levels.tolist(), nodes.tolist(), *ats, hashes.tobytes(), v.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _UNIT, strict=True)], schema=_UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, chunk):
-                batch = whole.slice(at, chunk)
-                heads = pd.DataFrame({k: texts(batch, k) for k in keys})
-                codes = heads.groupby(keys, sort=True).ngroup().to_numpy()
-                order = np.argsort(codes, kind="stable")
-                starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
-                values = matrix(batch, width)[order]
-                weights = replicate_weights(batch.column("hash").to_numpy()[order], 0, reps)
-                sums = [np.add.reduceat(weights * values[:, [c]], starts, axis=0).ravel() for c in range(width)]
-                pairs = heads.iloc[order[starts]]
-                out = pairs.loc[pairs.index.repeat(reps + 1)].reset_index(drop=True)
-                out["rep"] = np.tile(np.arange(reps + 1, dtype="int32"), len(pairs))
-                yield arrow_rows(out.assign(**dict(zip(columns, sums))), schema)
+        number = TaskContext.get().partitionId() << 32
+        held, size, model = [], 0, None
+        for batch in batches:
+            models = texts(batch, "model")
+            cuts = np.flatnonzero(np.r_[True, models[1:] != models[:-1]]) if len(models) else []
+            for a, b in zip(cuts, [*cuts[1:], len(models)]):
+                while a < b:
+                    if held and (models[a] != model or size >= most):
+                        yield packed(number, model, held)
+                        number, held, size = number + 1, [], 0
+                    model = models[a]
+                    take = min(b - a, most - size)
+                    held.append(batch.slice(a, take))
+                    a, size = a + take, size + take
+        if held:
+            yield packed(number, model, held)
 
     return run
 
 
-def _pair_products(width: int):
-    """Sums of columns times fitted effects, a small matrix per model and replicate in each task."""
-    i, j = np.triu_indices(width)
-    schema = pa.schema(
-        [("model", pa.string()), ("rep", pa.int32()), ("part", pa.string()), ("kind", pa.int32())]
-        + [("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64()), ("x", pa.float64())]
-    )
-
+class Unit:
+    """A unit's rows with the unknowns they touch: levels of the second factor, then ``shared`` ones of the first."""
+
+    def __init__(self, row: dict, width: int, shared: frozenset = frozenset()):
+        self.model, self.levels, self.nodes = row["model"], row["levels"], row["nodes"]
+        self.level, self.node = (np.frombuffer(row[c], np.int32) for c in ("level_at", "node_at"))
+        self.hash, self.v = np.frombuffer(row["hash"], np.int64), np.frombuffer(row["v"]).reshape(-1, width)
+        self.y = self.v[:, 1:]
+        self.starts = np.flatnonzero(np.r_[True, np.diff(self.level) > 0])
+        self.by_node = np.argsort(self.node, kind="stable")
+        self.node_starts = np.flatnonzero(np.r_[True, np.diff(self.node[self.by_node]) > 0])
+        self.shared = np.array([name in shared for name in self.levels])
+        self.unknowns = [("b", n) for n in self.nodes] + [("a", n) for n, s in zip(self.levels, self.shared) if s]
+
+    def weights(self, first: int, last: int) -> np.ndarray:
+        """Of the rows, by replicate."""
+        return replicate_weights(self.hash, first, last - 1).T.copy()
+
+    def _by_level(self, rows: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(rows, self.starts)
+
+    def _gathered(self, rows: np.ndarray) -> np.ndarray:
+        """Sums by unknown of rows that are what is left of a level's sum."""
+        own = np.add.reduceat(rows[self.by_node], self.node_starts)
+        return np.concatenate([own, self._by_level(rows)[self.shared]])
+
+    def sizes(self, w: np.ndarray) -> np.ndarray:
+        return self._gathered(w)
+
+    def plain(self, w: np.ndarray) -> np.ndarray:
+        return self._gathered(w[:, None] * self.y)
+
+    def right_side(self, w: np.ndarray) -> np.ndarray:
+        rows = w[:, None] * self.y
+        means = self._by_level(rows) / self._by_level(w)[:, None]
+        means[self.shared] = 0.0
+        return self._gathered(rows - w[:, None] * means[self.level])
+
+    def apply(self, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The equations' left side for the unknowns ``p``."""
+        rows = w[:, None] * p[self.node]
+        means = self._by_level(rows) / self._by_level(w)[:, None]
+        means[self.shared] = -p[len(self.nodes) :]
+        return self._gathered(rows - w[:, None] * means[self.level])
+
+    def level_effects(self, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+        rest = w[:, None] * (self.y - x[self.node])
+        effects = self._by_level(rest) / self._by_level(w)[:, None]
+        effects[self.shared] = x[len(self.nodes) :]
+        return effects
+
+    def told(self, rep: int, w: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        """What the effects explain of the cross products, and the lowest levels' effects."""
+        width = self.v.shape[1]
+        effects = self.level_effects(w, x)
+        fitted = np.concatenate([np.zeros((len(w), 1)), effects[self.level] + x[self.node]], axis=1)
+        product = (w[:, None] * self.v).T @ fitted
+        i, j = np.triu_indices(width)
+        parts = [pd.DataFrame({"part": None, "kind": 0, "i": i, "j": j, "s": 0.0, "x": product[i, j]})]
+        for kind, name, effect in ((LOWEST[0], self.levels[0], effects[0]), (LOWEST[1], self.nodes[0], x[0])):
+            parts.append(pd.DataFrame({"part": name, "kind": kind, "i": np.arange(width), "j": -1, "s": np.r_[0.5, effect], "x": 0.0}))
+        return pd.concat(parts).assign(model=self.model, rep=rep).astype({c: "int32" for c in ("rep", "kind", "i", "j")})
+
+    def lost(self) -> int:
+        """Levels of both factors less one per connected part, if this is the whole model."""
+        label = np.arange(len(self.levels))
+        while True:
+            of_node = np.full(len(self.nodes), len(self.levels))
+            np.minimum.at(of_node, self.node, label[self.level])
+            now = label.copy()
+            np.minimum.at(now, self.level, of_node[self.node])
+            now = now[now]
+            if (now == label).all():
+                return len(self.levels) + len(self.nodes) - len(np.unique(label))
+            label = now
+
+
+def _ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """0 where nothing is left to divide by."""
+    return np.divide(top, bottom, out=np.zeros_like(top), where=bottom > 0)
+
+
+def _stuck(squared: float) -> RuntimeError:
+    return RuntimeError(f"two factors: no progress after a relative residual of {squared**0.5:.1e}")
+
+
+def solve_unit(unit: Unit, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """Effects of the unknowns for one replicate, all columns at once, and 0 or, if there
+    is no progress any more, the least residual reached (squared, relative)."""
+    n = unit.sizes(w)[:, None]
+    r = unit.right_side(w)
+    scale = (unit.plain(w) ** 2 / n).sum(axis=0)
+    x, p = np.zeros_like(r), r / n
+    rz = (r * p).sum(axis=0)
+    least, idle = np.inf, 0
+    while True:
+        open_ = _ratio(rz, scale) >= TOLERANCE**2
+        if not open_.any():
+            return x, 0.0
+        left = _ratio(rz, scale).max()
+        least, idle = (left, 0) if left < least else (least, idle + 1)
+        if idle > PATIENCE:
+            return x, least
+        q = unit.apply(w, p)
+        step = _ratio(rz, (p * q).sum(axis=0)) * open_
+        x += step * p
+        r -= step * q
+        z = r / n
+        new = (r * z).sum(axis=0)
+        p = z + _ratio(new, rz) * p
+        rz = new
+
+
+def _solved_alone(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            values, effects = matrix(batch, width), matrix(batch, width, "effect")
-            keys = pd.DataFrame({"model": texts(batch, "model"), "rep": batch.column("rep").to_numpy()})
-            for key, rows in keys.groupby(["model", "rep"]).indices.items():
-                sums[key] = sums.get(key, 0.0) + values[rows].T @ effects[rows]
-        for (model, rep), product in sums.items():
-            out = {"model": model, "rep": np.int32(rep), "part": None, "kind": np.int32(0), "i": i, "j": j}
-            out |= {"s": 0.0, "x": product[i, j]}
-            yield arrow_rows(pd.DataFrame(out), schema)
+            for row in batch.to_pylist():
+                unit = Unit(row, width)
+                lost = unit.lost()
+                for rep, w in zip(range(row["first"], row["last"]), unit.weights(row["first"], row["last"])):
+                    x, left = solve_unit(unit, w)
+                    yield arrow_rows(unit.told(rep, w, x), _LONG)
+                    single = pd.DataFrame({"kind": [3, STUCK], "s": [float(lost), left]}).assign(model=unit.model, rep=rep, part=None, i=0, j=-1, x=0.0)
+                    yield arrow_rows(single.astype({c: "int32" for c in ("rep", "kind", "i", "j")}), _LONG)
 
     return run
 
 
 def cross_products_two(design: DataFrame, width: int, reps: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Sums as of :func:`cross_products` with the factors ``level`` and ``level2`` projected out."""
+    """Sums as of :func:`cross_products` with the factors ``level`` and ``level2`` projected out.
+
+    A unit has at most ``hot_rows`` rows.
+    """
     design = stage(design)
     raw = cross_products(design.drop("level", "level2"), width, reps)
-    values, size = [f"v{c}" for c in range(width)], width - 1
-    schema = "model string, level string, level2 string, rep int, " + ", ".join(f"{v} double" for v in values)
-    cells = stage(
-        design.mapInArrow(_pair_sums(width, reps), schema)
-        .groupBy(*CELL, "level", "level2")
-        .agg(*[F.sum(v).alias(v) for v in values])
-    )
-    with_level = _joiner(cells, [*CELL, "level"], hot_rows)
-    with_level2 = _joiner(cells, [*CELL, "level2"], hot_rows)
-
-    def sums(at: DataFrame, by: str, parts: Sequence[Column], out: str) -> DataFrame:
-        """Vectors of sums by a level, with its total weight ``n``."""
-        added = at.groupBy(*CELL, by).agg(F.sum("v0").alias("n"), *[F.sum(e).alias(f"s{c}") for c, e in enumerate(parts)])
-        return added.select(*CELL, by, "n", F.array(*[f"s{c}" for c in range(size)]).alias(out))
-
-    def means(vectors: DataFrame, of: str) -> DataFrame:
-        return vectors.withColumn(of, F.transform(of, lambda s: s / F.col("n")))
-
-    def weighted(name: str) -> list[Column]:
-        return [F.col("v0") * F.col(name)[c] for c in range(size)]
-
-    own = [F.col(v) for v in values[1:]]
-    first = stage(means(sums(cells, "level", own, "a"), "a"))
-    folded = sums(with_level(first.drop("n")), "level2", [o - w for o, w in zip(own, weighted("a"))], "r")
-    start = folded.withColumn("x", F.transform("r", lambda v: F.lit(0.0))).withColumn("p", _over_n("r"))
-    # the columns' own size is the measure: nested factors leave only rounding errors to start with
-    plain = sums(cells, "level2", own, "s").withColumn("m", _over_n("s"))
-    start = _with_scalar(start, _dot(start, "r", "p", size, "rz"))
-    state = stage(_with_scalar(start, _dot(plain, "s", "m", size, "rz0")))
-
-    least, idle = float("inf"), 0
-    while True:
-        left = state.agg(F.max(F.array_max(_ratio("rz", "rz0")))).first()[0] or 0.0
-        if left < TOLERANCE**2:
-            break
-        least, idle = (left, 0) if left < least else (least, idle + 1)
-        if idle > PATIENCE:
-            raise RuntimeError(f"two factors: no progress after a relative residual of {least**0.5:.1e}")
-        back = means(sums(with_level2(state.select(*CELL, "level2", "p")), "level", weighted("p"), "a"), "a")
-        pushed = sums(with_level(back.drop("n")), "level2", weighted("a"), "q").drop("n")
-        moved = stage(
-            state.join(pushed, [*CELL, "level2"])
-            .withColumn("q", F.zip_with(F.transform("p", lambda v: v * F.col("n")), "q", lambda a, b: a - b))
-        )
-        stepped = _with_scalar(moved, _dot(moved, "p", "q", size, "pq")).withColumn("step", _ratio("rz", "pq"))
-        stepped = stepped.withColumn("x", _plus("x", "step", "p", 1)).withColumn("r", _plus("r", "step", "q", -1))
-        stepped = stepped.withColumn("z", _over_n("r"))
-        turned = _with_scalar(stepped, _dot(stepped, "r", "z", size, "new")).withColumn("turn", _ratio("new", "rz"))
-        state = stage(
-            turned.withColumn("p", _plus("z", "turn", "p", 1)).select(
-                *CELL, "level2", "n", "x", "r", "p", F.col("new").alias("rz"), "rz0"
-            )
-        )
+    most = max(1, min(hot_rows, UNIT_VALUES // width))
+    order = ["model", "level", "hash"]
+    rows = design.select(*order, "level2", "v").repartitionByRange(*order).sortWithinPartitions(*order)
+    units = stage(rows.mapInArrow(_units(width, most), UNIT_SQL))
+    alone = units.groupBy("model").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("hash") / 8).alias("rows"))
+    # a model whose rows lie in several ranges only because they are sorted
+    small = alone.filter((F.col("units") > 1) & (F.col("rows") <= most))
+    if small.head():
+        again = design.join(small.select(F.col("model").alias("_m")), F.expr("model = _m")).select(*order, "level2", "v")
+        one = again.repartition("model").sortWithinPartitions(*order).mapInArrow(_units(width, most), UNIT_SQL)
+        renamed = one.withColumn("unit", F.col("unit") + (1 << 62))
+        units = stage(units.join(small, "model", "left_anti").select(units.columns).unionByName(renamed))
+        alone = units.groupBy("model").agg(F.count(F.lit(1)).alias("units"))
+    counts = stage(alone.select("model", "units"))
+    single = units.join(counts.filter("units = 1"), "model", "left_semi")
+    firsts = F.sequence(F.lit(0), F.lit(reps), F.lit(LOCAL_REPS))
+    chunks = single.withColumn("first", F.explode(firsts)).withColumn("last", F.least(F.col("first") + LOCAL_REPS, F.lit(reps + 1)))
+    # a chunk is far more work than moving a unit; many more parts than chunks keep these apart
+    parts = max(4 * -(-(reps + 1) // LOCAL_REPS), int(design.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    long = stage(chunks.repartition(parts, "unit", "first").mapInArrow(_solved_alone(width), LONG))
+    left = long.filter(F.col("kind") == STUCK).agg(F.max("s")).first()[0]
+    if left:
+        raise _stuck(left)
+    long = long.filter(F.col("kind") != STUCK)
+    if counts.filter("units > 1").head():
+        spread = units.join(counts.filter("units > 1"), "model", "left_semi").select(units.columns)
+        pairs = design.join(counts.filter("units > 1").withColumnRenamed("model", "_m"), F.expr("model = _m")).select("model", "level", "level2")
+        long = long.unionByName(_solved_together(spread, width, reps)).unionByName(_level_counts(pairs, reps))
+    return add_up(raw.unionByName(_with_lowest(long)))
+
+
+def _with_lowest(long: DataFrame) -> DataFrame:
+    """The lowest levels' effects, added for the constant, in place of those of each unit."""
+    lowest = long.filter(F.col("kind").isin(*LOWEST)).groupBy("model", "rep", "kind", "i").agg(F.min(F.struct("part", "s")).alias("low"))
+    both = lowest.groupBy("model", "rep", "i").agg(F.sum("low.s").alias("s"))
+    told = both.select("model", "rep", F.lit(None).cast("string").alias("part"), F.lit(4).alias("kind"), "i", F.lit(-1).alias("j"), "s", F.lit(0.0).alias("x"))
+    return long.filter(~F.col("kind").isin(*LOWEST)).unionByName(told)
+
+
+# ---- models of many units ----------------------------------------------------------------
+
+
+def _blobs(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b) for b in column.to_pylist()]
+
+
+def _on_units(width: int, work: Callable[[Unit, np.ndarray | None], pa.Table], empty: pa.Schema):
+    """A unit next to its unknowns' vectors, in the order of its unknowns."""
+
+    def run(units: pa.Table, sent: pa.Table) -> pa.Table:
+        if not units.num_rows:
+            return empty.empty_table()
+        names = list(zip(sent["side"].to_pylist(), sent["name"].to_pylist()))
+        unit = Unit(units.to_pylist()[0], width, frozenset(n for side, n in names if side == "a"))
+        at = {k: i for i, k in enumerate(names)}
+        blobs = _blobs(sent["vector"]) if sent["vector"].null_count == 0 else None
+        return work(unit, np.array([blobs[at[u]] for u in unit.unknowns]) if blobs else None)
 
-    second = state.select(*CELL, "level2", F.col("x").alias("b"))
-    first = stage(means(sums(with_level2(second), "level", [o - w for o, w in zip(own, weighted("b"))], "a"), "a")).drop("n")
-    fitted = _joiner(with_level(first), [*CELL, "level2"], hot_rows)(second)
-    effect = F.concat(F.array(F.lit(0.0)), F.zip_with("a", "b", lambda a, b: a + b))
-    packed = fitted.select(*CELL, F.array(*values).alias("v"), effect.alias("effect"))
-    products = packed.mapInArrow(_pair_products(width), LONG)
-    rest = _first_levels(first, second).unionByName(_level_counts(cells))
-    return add_up(raw.unionByName(products).unionByName(rest.select("*", F.lit(None).cast("string").alias("part"), F.lit(0.0).alias("x"))))
+    return run
 
 
-def _over_n(name: str) -> Column:
-    return F.transform(name, lambda v: v / F.col("n"))
+def _parts(unit: Unit, **vectors: np.ndarray) -> pa.Table:
+    """A unit's part of its unknowns' vectors; vectors are unknowns by replicates by columns."""
+    told = {"model": [unit.model] * len(unit.unknowns), "side": [s for s, _ in unit.unknowns], "name": [n for _, n in unit.unknowns]}
+    told |= {c: [row.tobytes() for row in vectors[c]] if c in vectors else [None] * len(unit.unknowns) for c in VECTORS}
+    return pa.table(told, schema=_STATE)
 
 
-def _ratio(top: str, bottom: str) -> Column:
-    """Element by element, 0 where nothing is left to divide by."""
-    return F.zip_with(top, bottom, lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)))
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the vectors of each level, whose rows follow one another."""
+    key, sums = None, {}
 
+    def told() -> pa.RecordBatch:
+        values = [*key, *[None if (b := sums.get(c)) is None else b.tobytes() for c in VECTORS]]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _STATE, strict=True)], schema=_STATE)
 
-def _plus(base: str, factor: str, other: str, sign: int) -> Column:
-    return F.zip_with(base, F.zip_with(factor, other, lambda f, o: f * o), lambda b, m: b + sign * m)
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = tuple(row[c] for c in NODE)
+            if now != key:
+                if key is not None:
+                    yield told()
+                key, sums = now, {}
+            for c in VECTORS:
+                if row[c] is not None:
+                    blob = np.frombuffer(row[c])
+                    sums[c] = blob if sums.get(c) is None else sums[c] + blob
+    if key is not None:
+        yield told()
 
 
-def _dot(df: DataFrame, a: str, b: str, size: int, out: str) -> DataFrame:
-    """Scalar products per model, replicate and column."""
-    added = df.groupBy(*CELL).agg(*[F.sum(F.col(a)[c] * F.col(b)[c]).alias(f"d{c}") for c in range(size)])
-    return added.select(*CELL, F.array(*[f"d{c}" for c in range(size)]).alias(out))
+def _added(parts: DataFrame) -> DataFrame:
+    return parts.repartition(*NODE).sortWithinPartitions(*NODE).mapInArrow(_summed, STATE_SQL)
 
 
-def _with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    return df.join(scalar, CELL)
+def _moved(scalars: dict[str, tuple[np.ndarray, np.ndarray]], reps: int):
+    """The next effects, residuals and directions, from the steps and turns of each model."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                step, turn = scalars[row["model"]]
+                n = np.frombuffer(row["n"])[:, None]
+                x, r, p, q = (np.frombuffer(row[c]).reshape(reps, -1) for c in VECTORS[1:])
+                r = r - step * q
+                row |= {"x": (x + step * p).tobytes(), "r": r.tobytes(), "p": (r / n + turn * p).tobytes(), "q": None}
+            yield pa.RecordBatch.from_pylist(rows, schema=_STATE)
 
-def _joiner(cells: DataFrame, on: list[str], hot_rows: int):
-    """A join of the pair table with vectors by ``on``; hot keys get theirs broadcast."""
-    hot, _ = hot_keys(cells, on, hot_rows)
+    return run
 
-    def join(rows: DataFrame, known: DataFrame, small: bool) -> DataFrame:
-        side = known.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in known.columns])
-        match = same_key(rows, side, [(c, f"_{c}") for c in on])
-        return rows.join(F.broadcast(side) if small else side, match).drop(*[f"_{c}" for c in on])
 
-    def attach(known: DataFrame) -> DataFrame:
-        if hot is None:
-            return join(cells, known, False)
-        calm, crowded = split_hot(cells, on, hot)
-        _, wanted = split_hot(known, on, hot)
-        return join(calm, known, False).unionByName(join(crowded, wanted, True))
+_DOTS = pa.schema([("model", pa.string()), ("what", pa.string()), ("at", pa.int32()), ("value", pa.float64())])
 
-    return attach
 
+def _products(reps: int, plain: bool):
+    """Scalar products of the vectors of a task's levels, by replicate and column."""
 
-def _first_levels(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Effects of both factors' first levels, for the constant."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = np.frombuffer(row["n"])[:, None]
+                of = {c: np.frombuffer(row[c]).reshape(reps, -1) for c in VECTORS[1:]}
+                r, p, q = of["r"], of["p"], of["q"]
+                found = {"scale": of["x"] ** 2 / n} if plain else {"rz": r * r / n, "pq": p * q, "rq": r * q / n, "qq": q * q / n}
+                for what, value in found.items():
+                    key = (row["model"], what)
+                    sums[key] = sums.get(key, 0.0) + value
+        for (model, what), value in sums.items():
+            yield arrow_rows(pd.DataFrame({"model": model, "what": what, "at": np.arange(value.size, dtype="int32"), "value": value.ravel()}), _DOTS)
+
+    return run
 
-    def lowest(effects: DataFrame, level: str, name: str) -> DataFrame:
-        return effects.groupBy(*CELL).agg(F.min(F.struct(level, name)).alias("low")).select(*CELL, F.col(f"low.{name}").alias(name))
 
-    both = lowest(first, "level", "a").join(lowest(second, "level2", "b"), CELL)
-    entries = F.concat(F.array(F.lit(1.0)), F.zip_with("a", "b", lambda a, b: a + b))
-    long = both.select(*CELL, F.posexplode(entries).alias("i", "s"))
-    return long.select(*CELL, F.lit(4).alias("kind"), "i", F.lit(-1).alias("j"), "s")
+def _dots(state: DataFrame, reps: int, size: int, plain: bool = False) -> dict[str, dict[str, np.ndarray]]:
+    """On the driver: as many numbers per model as there are replicates times columns."""
+    rows = state.mapInArrow(_products(reps, plain), "model string, what string, at int, value double")
+    out: dict[str, dict[str, np.ndarray]] = {}
+    for r in rows.groupBy("model", "what", "at").agg(F.sum("value").alias("value")).toLocalIterator():
+        out.setdefault(r["model"], {}).setdefault(r["what"], np.zeros(reps * size))[r["at"]] = r["value"]
+    return {m: {k: v.reshape(reps, size) for k, v in d.items()} for m, d in out.items()}
+
+
+def _solved_together(units: DataFrame, width: int, reps: int) -> DataFrame:
+    units = bucketed(units, ["unit"])
+    ends = units.select("model", "unit", F.explode(F.array_distinct(F.array(F.element_at("levels", 1), F.element_at("levels", -1)))).alias("name"))
+    # rows are sorted, so only a unit's first and last level can lie in others too
+    several = ends.groupBy("model", "name").agg(F.count(F.lit(1)).alias("units")).filter("units > 1").select("model", "name")
+    own = units.select("model", "unit", F.lit("b").alias("side"), F.explode("nodes").alias("name"))
+    route = stage(own.unionByName(ends.join(several, ["model", "name"]).select("model", "unit", F.lit("a").alias("side"), "name")))
+    most = units.agg(F.max(F.size("nodes") + 2)).first()[0]
+    chunk = max(1, min(reps + 1, TASK_VALUES // (most * width)))
+    told = None
+    for first in range(0, reps + 1, chunk):
+        part = stage(_solved_chunk(units, route, width, first, min(first + chunk, reps + 1)))
+        told = part if told is None else told.unionByName(part)
+    forget(units)
+    return told
+
+
+def _solved_chunk(units: DataFrame, route: DataFrame, width: int, first: int, last: int) -> DataFrame:
+    reps, size = last - first, width - 1
+
+    def on_units(work, vectors: DataFrame | None, schema: pa.Schema, sql: str) -> DataFrame:
+        sent = route.withColumn("vector", F.lit(None).cast("binary")) if vectors is None else route.join(vectors, NODE)
+        both = units.groupBy("unit").cogroup(sent.select("unit", "side", "name", "vector").groupBy("unit"))
+        return both.applyInArrow(_on_units(width, work, schema), sql)
+
+    def started(unit: Unit, _) -> pa.Table:
+        w = unit.weights(first, last)
+        zeros = np.zeros((len(unit.unknowns), reps * size))
+        side = np.stack([unit.right_side(x) for x in w], axis=1)
+        plain = np.stack([unit.plain(x) for x in w], axis=1)
+        # the columns' own size is the measure: nested factors leave only rounding errors to start with
+        return _parts(unit, n=np.stack([unit.sizes(x) for x in w], axis=1), x=plain, r=side, p=zeros, q=zeros)
+
+    def pushed(unit: Unit, p: np.ndarray) -> pa.Table:
+        p = p.reshape(len(p), reps, size)
+        return _parts(unit, q=np.stack([unit.apply(w, p[:, k]) for k, w in enumerate(unit.weights(first, last))], axis=1))
+
+    def finished(unit: Unit, x: np.ndarray) -> pa.Table:
+        x = x.reshape(len(x), reps, size)
+        rows = pd.concat([unit.told(first + k, w, x[:, k]) for k, w in enumerate(unit.weights(first, last))])
+        return pa.Table.from_pandas(rows, _LONG, preserve_index=False)
+
+    begun = stage(_added(on_units(started, None, _STATE, STATE_SQL)))
+    scale = {m: d["scale"] for m, d in _dots(begun, reps, size, plain=True).items()}
+    none = np.zeros((reps, size))
+    state = begun.withColumn("x", F.col("q"))
+    scalars = {m: (none, none) for m in scale}
+    least, idle = np.inf, 0
+    while True:
+        moved = state.mapInArrow(_moved(scalars, reps), STATE_SQL)
+        parts = on_units(pushed, moved.select(*NODE, F.col("p").alias("vector")), _STATE, STATE_SQL)
+        state = stage(_added(moved.unionByName(parts)))
+        dots = _dots(state, reps, size)
+        left = max(_ratio(d["rz"], scale[m]).max() for m, d in dots.items())
+        if left < TOLERANCE**2:
+            break
+        least, idle = (left, 0) if left < least else (least, idle + 1)
+        if idle > PATIENCE:
+            raise _stuck(least)
+        for m, d in dots.items():
+            step = _ratio(d["rz"], d["pq"]) * (_ratio(d["rz"], scale[m]) >= TOLERANCE**2)
+            after = np.maximum(d["rz"] - 2 * step * d["rq"] + step**2 * d["qq"], 0.0)
+            scalars[m] = (step, _ratio(after, d["rz"]))
+    return on_units(finished, state.select(*NODE, F.col("x").alias("vector")), _LONG, LONG)
 
 
-def _level_counts(cells: DataFrame) -> DataFrame:
+def _level_counts(pairs: DataFrame, reps: int) -> DataFrame:
     """Levels of both factors, less one per connected part of the graph of level pairs.
 
     The dummies of a part's levels add up to the same column on either side, so one of them is lost.
     """
-    pairs = cells.select("model", "level", "level2").distinct()
+    pairs = pairs.distinct()
     node = lambda side: F.to_json(F.struct("model", F.lit(side).alias("side"), F.col(side).alias("of")))
     labels = components(pairs.select(node("level").alias("a"), node("level2").alias("b")))
     model = lambda c: F.get_json_object(c, "$.model")
     sizes = labels.groupBy(model(F.col("node")).alias("model")).agg((F.count(F.lit(1)) - F.count_distinct("label")).cast("double").alias("s"))
     # weights are positive, so all replicates have the levels of the rows
-    found = stage(sizes)
-    cases = cells.select(*CELL).distinct()
-    both = cases.join(found.withColumnRenamed("model", "_model"), F.col("model").eqNullSafe(F.col("_model")))
-    return both.select(*CELL, F.lit(3).alias("kind"), F.lit(0).alias("i"), F.lit(-1).alias("j"), "s")
+    cases = stage(sizes).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    return cases.select("model", "rep", F.lit(None).cast("string").alias("part"), F.lit(3).alias("kind"), F.lit(0).alias("i"), F.lit(-1).alias("j"), "s", F.lit(0.0).alias("x"))

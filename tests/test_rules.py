@@ -9,7 +9,7 @@ from fairtender.functions import codes, formats
 from fairtender.functions import prices as pr
 from fairtender.functions import text as tx
 from fairtender.operators import chat, rows, shape
-from fairtender.operators.chunks import chunk_text, cut_points
+from fairtender.operators.chunks import chunk_text, cut_points, sentence_ends
 from fairtender.operators.merge import report_duplicates
 from fairtender.plans.contracts import item_groups, spread_long
 
@@ -137,7 +137,7 @@ def test_cut_points():
     for _ in range(300):
         tokens = [rng.choice(["a", "b", "c."] if rng.random() < 0.3 else ["a", "b"]) for _ in range(rng.randrange(0, 90))]
         n = rng.randrange(5, 30)
-        assert cut_points(tokens, n, lambda t: t[-1]) == plain_cuts(tokens, n)
+        assert cut_points(len(tokens), sentence_ends(tokens, lambda t: t[-1]), n) == plain_cuts(tokens, n)
 
 
 def test_chunk_modes(spark):
