@@ -146,7 +146,8 @@ def _by_words(df: DataFrame, text: str, n: int, mode: str) -> DataFrame:
     start = state(nothing, none, F.lit(0), none, F.lit(0))
     made = blocks.select(*others, F.aggregate("_blocks", start, add_block, close).alias("_pieces"))
     if mode == "all":
-        rows = made.select(*others, F.posexplode("_pieces").alias("_at", text))
+        # the outer form, as the optimizer would fold the text twice more to leave out rows without pieces
+        rows = made.select(*others, F.posexplode_outer("_pieces").alias("_at", text)).filter(F.col("_at").isNotNull())
         return rows.select(*df.columns, (F.col("_at") + 1).alias("chunk"))
     both = F.concat_ws(" ", F.element_at("_pieces", 1), F.when(F.size("_pieces") > 1, F.element_at("_pieces", -1)))
     return made.select(*others, F.when(F.size("_pieces") > 0, both).otherwise("").alias(text)).select(*df.columns)

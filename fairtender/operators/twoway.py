@@ -16,6 +16,7 @@ grow and a lost executor costs one step at most.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ PATIENCE = 500
 TOLERANCE = 1e-9
 # numbers of the rows of a unit, and of the vectors of a unit's levels in one task
 UNIT_VALUES, TASK_VALUES = 4_000_000, 16_000_000
+# unknowns up to which a model of one unit is solved by elimination first
+DIRECT = 1500
 # replicates solved one after the other by a task for a model of one unit
 LOCAL_REPS = 8
 # kinds of rows besides those of LONG: effects of the lowest level of either factor met in a unit
@@ -158,8 +161,9 @@ class Unit:
             parts.append(pd.DataFrame({"part": name, "kind": kind, "i": np.arange(width), "j": -1, "s": np.r_[0.5, effect], "x": 0.0}))
         return pd.concat(parts).assign(model=self.model, rep=rep).astype({c: "int32" for c in ("rep", "kind", "i", "j")})
 
-    def lost(self) -> int:
-        """Levels of both factors less one per connected part, if this is the whole model."""
+    def parts(self) -> tuple[int, np.ndarray]:
+        """If this is the whole model: levels of both factors less one per connected part of the
+        graph of level pairs, and one of the second factor's levels per part."""
         label = np.arange(len(self.levels))
         while True:
             of_node = np.full(len(self.nodes), len(self.levels))
@@ -168,9 +172,24 @@ class Unit:
             np.minimum.at(now, self.level, of_node[self.node])
             now = now[now]
             if (now == label).all():
-                return len(self.levels) + len(self.nodes) - len(np.unique(label))
+                _, grounds = np.unique(of_node, return_index=True)
+                return len(self.levels) + len(self.nodes) - len(grounds), grounds
             label = now
 
+    def direct(self, w: np.ndarray, grounds: np.ndarray) -> np.ndarray:
+        """The unknowns by elimination, those in ``grounds`` held at 0; for a whole model."""
+        size = len(self.nodes)
+        left = np.diag(self.sizes(w))
+        whole = self._by_level(w)
+        for at in range(0, len(self.levels), size):
+            rows = slice(*np.searchsorted(self.level, (at, at + size)))
+            block = np.bincount((self.level[rows] - at) * size + self.node[rows], w[rows], size * size).reshape(size, size)
+            left -= block.T @ (block / np.r_[whole[at : at + size], np.ones(max(0, at + size - len(whole)))][:, None])
+        right = self.right_side(w)
+        left[grounds], left[:, grounds], right[grounds] = 0.0, 0.0, 0.0
+        left[grounds, grounds] = 1.0
+        return np.linalg.solve(left, right)
+
 
 def _ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
     """0 where nothing is left to divide by."""
@@ -181,13 +200,22 @@ def _stuck(squared: float) -> RuntimeError:
     return RuntimeError(f"two factors: no progress after a relative residual of {squared**0.5:.1e}")
 
 
-def solve_unit(unit: Unit, w: np.ndarray) -> tuple[np.ndarray, float]:
+def solve_unit(unit: Unit, w: np.ndarray, grounds: np.ndarray) -> tuple[np.ndarray, float]:
     """Effects of the unknowns for one replicate, all columns at once, and 0 or, if there
-    is no progress any more, the least residual reached (squared, relative)."""
+    is no progress any more, the least residual reached (squared, relative).
+
+    Elimination gives the start if the unknowns are few; conjugate gradients go on from it as
+    long as there is more than the tolerance left.
+    """
     n = unit.sizes(w)[:, None]
     r = unit.right_side(w)
     scale = (unit.plain(w) ** 2 / n).sum(axis=0)
-    x, p = np.zeros_like(r), r / n
+    x = np.zeros_like(r)
+    if len(r) <= DIRECT:
+        with contextlib.suppress(np.linalg.LinAlgError):
+            x = unit.direct(w, grounds)
+            r = r - unit.apply(w, x)
+    p = r / n
     rz = (r * p).sum(axis=0)
     least, idle = np.inf, 0
     while True:
@@ -213,9 +241,9 @@ def _solved_alone(width: int):
         for batch in batches:
             for row in batch.to_pylist():
                 unit = Unit(row, width)
-                lost = unit.lost()
+                lost, grounds = unit.parts()
                 for rep, w in zip(range(row["first"], row["last"]), unit.weights(row["first"], row["last"])):
-                    x, left = solve_unit(unit, w)
+                    x, left = solve_unit(unit, w, grounds)
                     yield arrow_rows(unit.told(rep, w, x), _LONG)
                     single = pd.DataFrame({"kind": [3, STUCK], "s": [float(lost), left]}).assign(model=unit.model, rep=rep, part=None, i=0, j=-1, x=0.0)
                     yield arrow_rows(single.astype({c: "int32" for c in ("rep", "kind", "i", "j")}), _LONG)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fairtender.checks.standin import contract_items
 from fairtender.functions.draws import key_hash, replicate_weights
 from fairtender.operators import regress as rg
+from fairtender.operators import twoway as tw
 from fairtender.operators.solve import normal_p, student_p
 
 KEY = ["n_cod_contrato", "n_item", "codigoitem", "ruc_proveedor", "monto_contratado_item"]
@@ -143,6 +144,36 @@ def test_rows_with_missing_values_are_left_out(spark):
     assert out.coef[1] == pytest.approx(1.5)
 
 
+def test_units_hold_every_row_once(spark):
+    """Units are bounded, also where one pair has most of the rows, and hold one model each."""
+    rows = [("m" if i % 3 else "k", "hot" if i % 4 else f"a{i % 9}", "hot" if i % 5 else f"b{i % 7}", i, [1.0, float(i)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "model string, level string, level2 string, hash long, v array<double>")
+    order = ["model", "level", "hash"]
+    made = df.repartitionByRange(4, *order).sortWithinPartitions(*order).mapInArrow(tw._units(2, 100), tw.UNIT_SQL).collect()
+    assert len({r.unit for r in made}) == len(made)
+    seen = []
+    for r in made:
+        unit = tw.Unit(r.asDict(), 2)
+        assert 0 < len(unit.hash) <= 100 and (np.diff(unit.level) >= 0).all()
+        seen += [(r.model, unit.levels[a], unit.nodes[b], int(h), float(v[1])) for a, b, h, v in zip(unit.level, unit.node, unit.hash, unit.v)]
+    assert sorted(seen) == sorted((m, a, b, h, v[1]) for m, a, b, h, v in rows)
+
+
+def test_two_factors_of_many_models_in_units(spark):
+    """Small models in one unit each, a large one in many: the same as fits of their own."""
+    rng = np.random.default_rng(11)
+    rows = [("big" if i < 400 else f"s{i % 3}", f"a{rng.integers(40) if i % 3 else 0}", f"b{rng.integers(30) if i % 4 else 0}", float(rng.normal()), float(rng.normal()), i) for i in range(520)]
+    df = spark.createDataFrame(rows, "m string, f string, g string, x double, y double, k long")
+    design = df.select(F.col("m").alias("model"), rg.key_hash(42, ["k"]).alias("hash"), F.col("f").alias("level"), F.col("g").alias("level2"), F.array(F.lit(1.0), "x", "y").alias("v"))
+    together = tw.cross_products_two(design, 3, 2, hot_rows=60).toPandas()
+    alone = pd.concat([tw.cross_products_two(design.filter(F.col("model") == m), 3, 2).toPandas() for m in ("big", "s0", "s1", "s2")])
+    keys = ["model", "rep", "kind", "i", "j"]
+    both = together.merge(alone, on=keys, how="outer")
+    assert len(both) == len(together) == len(alone)
+    np.testing.assert_allclose(both.s_x, both.s_y, rtol=1e-6, atol=1e-9)
+    np.testing.assert_allclose(both.x_x, both.x_y, rtol=1e-6, atol=1e-6)
+
+
 def two_groups(spark):
     """Rows whose level pairs fall into two unconnected parts, and a long chain of pairs."""
     rng = np.random.default_rng(3)
@@ -161,21 +192,24 @@ def test_two_factors_agree_either_way(spark, monkeypatch):
     x = np.column_stack([np.ones(len(pdf)), pdf.x, pd.get_dummies(pdf.f).to_numpy(float), pd.get_dummies(pdf.g).to_numpy(float)])
     b = np.linalg.lstsq(x, pdf.y.to_numpy(), rcond=None)[0]
     ways = []
-    for cells in (0, rg.MAX_CELLS):
+    # by elimination, by conjugate gradients in one unit and over many, and with dummies
+    for cells, direct, hot_rows in ((0, 1500, 10**6), (0, 0, 10**6), (0, 0, 7), (rg.MAX_CELLS, 0, 10**6)):
         monkeypatch.setattr(rg, "MAX_CELLS", cells)
-        ways.append(by_pos(rg.fit(df, "y", rg.numeric("x"), ("f", "g"))))
+        monkeypatch.setattr(tw, "DIRECT", direct)
+        ways.append(by_pos(rg.fit(df, "y", rg.numeric("x"), ("f", "g"), hot_rows=hot_rows)))
     for out in ways:
         assert out.coef[1] == pytest.approx(b[1], rel=1e-6)
         assert out.df_m[0] == np.linalg.matrix_rank(x) - 1
-    assert ways[0].stderr[1] == pytest.approx(ways[1].stderr[1], rel=1e-6)
+    for other in ways[1:]:
+        assert ways[0].stderr[1] == pytest.approx(other.stderr[1], rel=1e-6)
+        np.testing.assert_allclose(ways[0].coef, other.coef, rtol=1e-6)
 
 
 def test_no_progress_is_an_error(spark, monkeypatch):
-    import fairtender.operators.twoway as tw
-
     monkeypatch.setattr(rg, "MAX_CELLS", 0)
     monkeypatch.setattr(tw, "PATIENCE", 0)
     monkeypatch.setattr(tw, "TOLERANCE", 0.0)
+    monkeypatch.setattr(tw, "DIRECT", 0)
     with pytest.raises(RuntimeError):
         rg.fit(two_groups(spark).limit(60), "y", rg.numeric("x"), ("f", "g"))
 
