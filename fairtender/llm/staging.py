@@ -23,4 +23,20 @@ def keep(df: DataFrame, label: str = "step") -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`keep` returned and that nothing will read again.
+
+    Only the caller knows what is still to be read: whatever is computed from a table must have
+    been written itself. A table that is no longer there is passed over.
+    """
+    for df in tables:
+        path = getattr(df, "_kept_at", None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
