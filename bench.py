@@ -53,6 +53,8 @@ MODELS = {
     "did_boot_300_all_items": did_boot_300_all_items,
     "report_models_300": lambda spark, sf: es.report_models(st.saved_base(spark, sf)),
     "subset_models_300": lambda spark, sf: es.subset_models(st.saved_base(spark, sf), "objetocontractual"),
+    "price_models_300": lambda spark, sf: es.price_models(st.saved_prices(spark, sf)),
+    "ols_absorb_two": lambda spark, sf: QUERIES["ols_absorb_two"](spark, sf),
     "falsification_sweep": lambda spark, sf: es.falsification_models(st.saved_base(spark, sf), range(470, 481)),
 }
 

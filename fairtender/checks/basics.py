@@ -213,7 +213,7 @@ def join_full_flags(spark, sf):
     labels = table(spark, sf, "labels")
     failed = labels.select(F.col("doc_id").alias(CONTRACT), F.col("quality").alias("failed_download"))
     broken = labels.select(F.col("doc_id").alias(CONTRACT), F.col("toxic").alias("broken_pdf"))
-    out = mg.merge(mg.merge(contracts, failed, [CONTRACT]), broken, [CONTRACT])
+    out = mg.merge_all(contracts, [(failed, ["failed_download"], None), (broken, ["broken_pdf"], None)], [CONTRACT])
     return out.fillna(0, ["failed_download", "broken_pdf"])
 
 
@@ -275,6 +275,15 @@ def join_inner_text(spark, sf):
     return mg.merge(texts, review, ["page_id"], "m:m", {3})
 
 
+@query(
+    "distinct_wide_rows",
+    "SELECT md5(text) AS text_md5, lang, source FROM (SELECT DISTINCT text, lang, source FROM documents) d",
+)
+def distinct_wide_rows(spark, sf):
+    """Texts move only where their digests are repeated."""
+    return mg.distinct_rows(table(spark, sf, "documents").select("text", "lang", "source")).select(F.md5("text").alias("text_md5"), "lang", "source")
+
+
 @query(
     "check_unique",
     "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",

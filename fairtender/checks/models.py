@@ -23,21 +23,28 @@ SUPPLIER = {"antiguo_proveedor": "antiguo_proveedor"}
 
 
 def solve_sql(
-    source: str, y: str, terms: dict[str, str], absorb: str | None = None, by: str = "'1'", p: str = ""
+    source: str, y: str, terms: dict[str, str], absorb: str | None = None, by: str = "'1'", p: str = "", second: str | None = None, rounds: int = 12
 ) -> dict[str, str]:
     """Views that end in ``tidy`` (model, var, coef, stderr, N, r2, df_m): cross products, then one elimination per term.
 
-    With ``absorb`` the columns are first taken as deviations from the factor's means.
-    ``p`` is put before the names of the views.
+    With ``absorb`` the columns are first taken as deviations from the factor's means; with a
+    ``second`` factor as deviations from either's means in turn, ``rounds`` times (whose levels
+    must be connected). ``p`` is put before the names of the views.
     """
     exprs = ([] if absorb else ["1.0"]) + list(terms.values()) + [y]
     names = ([] if absorb else ["_cons"]) + list(terms)
     w = len(exprs)
     raw = ", ".join(f"CAST({e} AS DOUBLE) AS u{i}" for i, e in enumerate(exprs))
     level = f"CAST({absorb} AS VARCHAR) AS lev," if absorb else ""
+    level += f"CAST({second} AS VARCHAR) AS lev2," if second else ""
     views = {f"{p}rows0": f"SELECT CAST({by} AS VARCHAR) AS model, {level} {raw} FROM {source}"}
     mean = "- avg(u{0}) OVER (PARTITION BY model, lev)" if absorb else ""
-    views[f"{p}rows1"] = "SELECT model, " + ", ".join(f"u{i} {mean.format(i)} AS v{i}" for i in range(w)) + f" FROM {p}rows0"
+    before = f"{p}rows0"
+    for k in range(rounds if second else 0):
+        for lev in ("lev", "lev2"):
+            views[f"{p}turn{k}{lev}"] = "SELECT model, lev, lev2, " + ", ".join(f"u{i} - avg(u{i}) OVER (PARTITION BY model, {lev}) AS u{i}" for i in range(w)) + f" FROM {before}"
+            before = f"{p}turn{k}{lev}"
+    views[f"{p}rows1"] = "SELECT model, " + ", ".join(f"u{i} {mean.format(i)} AS v{i}" for i in range(w)) + f" FROM {before}"
     cells = [(i, j) for i in range(w) for j in range(w)]
     views[f"{p}step0"] = "SELECT model, " + ", ".join(f"sum(v{i} * v{j}) AS a{i}_{j}" for i, j in cells) + f" FROM {p}rows1 GROUP BY model"
     for k in range(w - 1):
@@ -53,6 +60,7 @@ def solve_sql(
 
         views[f"{p}step{k + 1}"] = "SELECT model, " + ", ".join(f"{cell(i, j)} AS a{i}_{j}" for i, j in cells) + f" FROM {p}step{k}"
     levels = "count(DISTINCT lev)" if absorb else "1"
+    levels += " + count(DISTINCT lev2) - 1" if second else ""
     last = w - 1
     views[f"{p}sizes"] = f"SELECT model, count(*) AS n, var_pop(u{last}) * count(*) AS total, {levels} AS levels FROM {p}rows0 GROUP BY model"
     df_m = f"{len(terms)} + levels - 1"
@@ -125,6 +133,26 @@ def ols_classic_se(spark, sf):
 FE_TERMS = {**AMOUNT, "contratacion": "contratacion"}
 
 
+NEARLY = {"monto_contratado_total": "monto_contratado_total", "contratacion": "contratacion"}
+
+
+@query(
+    "ols_nearly_collinear",
+    sql(
+        """SELECT CASE WHEN var = 'contratacion' THEN 'nearly_total' ELSE 'total' END AS var,
+          round(CASE WHEN var = 'contratacion' THEN coef ELSE coef - (SELECT coef FROM tidy WHERE var = 'contratacion') END, 3) AS coef, round(r2, 6) AS r2
+        FROM tidy WHERE var <> '_cons'""",
+        "contract_items", **solve_sql("contract_items", "monto_contratado_item", NEARLY),
+    ),
+)
+def ols_nearly_collinear(spark, sf):
+    """Two terms that differ in a few parts in a million; SQL knows their difference."""
+    total = F.col("monto_contratado_total")
+    terms = [("total", total), ("nearly_total", total + F.col("contratacion"))]
+    tidy = rg.fit(contract_items(spark, sf), "monto_contratado_item", terms, method="qr")
+    return tidy.filter("var <> '_cons'").select("var", F.round("coef", 3).alias("coef"), F.round("r2", 6).alias("r2"))
+
+
 @query(
     "ols_absorb_fe",
     sql(
@@ -137,9 +165,15 @@ def ols_absorb_fe(spark, sf):
     return shown(tidy, list(FE_TERMS), ("coef", 5, "coef"), ("stderr", 5, "stderr"), ("df_m", 0, "df_m"))
 
 
-@query("ols_absorb_two")
+@query(
+    "ols_absorb_two",
+    sql(
+        "SELECT model, var, round(coef, 5) AS coef, round(stderr, 5) AS stderr, df_m FROM tidy",
+        "contract_items", **solve_sql("contract_items", "monto_contratado_item", FE_TERMS, "codigoentidad", second="codigoitem", rounds=16),
+    ),
+)
 def ols_absorb_two(spark, sf):
-    """Entity and item effects at once; SQL has no closed form, numpy checks it in the tests."""
+    """Entity and item effects at once."""
     tidy = rg.fit(contract_items(spark, sf), "monto_contratado_item", rg.numeric(*FE_TERMS), ["codigoentidad", "codigoitem"])
     return shown(tidy, list(FE_TERMS), ("coef", 5, "coef"), ("stderr", 5, "stderr"), ("df_m", 0, "df_m"))
 
@@ -297,12 +331,25 @@ def subset_models_entity(spark, sf):
     return shown(tidy, list(ENTITY_TERMS), ("coef", 6, "coef"), ("N", 0, "n"), ("r2", 6, "r2"))
 
 
-@query("falsification_sweep")
-def falsification_sweep(spark, sf):
-    return es.falsification_models(saved_base(spark, sf), CUTS)
+PLACEBO = {**AMOUNT, **SYSTEM, "1.contratacion": "contratacion", "1.d_test": "d_test", "1.contratacion#1.d_test": "contratacion * d_test"}
+PLACEBO_ROWS = f"""SELECT *, CASE WHEN monthyear_suscripcion > cut THEN 1 ELSE 0 END AS d_test FROM base, range({CUTS[0]}, {CUTS[-1] + 1}) c(cut)
+          WHERE d_pandemia = 0"""
+FULL_PLACEBO = {k: v for k, v in PLACEBO.items() if k != "1.d_test"}
 
 
-PLACEBO = {**AMOUNT, **SYSTEM, "1.contratacion": "contratacion", "1.d_test": "d_test", "1.contratacion#1.d_test": "contratacion * d_test"}
+@query(
+    "falsification_sweep",
+    sql(
+        """SELECT model, var, round(coef, 6) AS coef, round(stderr, 6) AS stderr, n_obs AS n, round(r2, 6) AS r2, df_m FROM tidy WHERE var LIKE '1.%'
+        UNION ALL SELECT model, '1.d_test', NULL, NULL, n_obs, round(r2, 6), df_m FROM tidy WHERE var = '1.contratacion'""",
+        "base", placebo=PLACEBO_ROWS, **solve_sql("placebo", "reporte", FULL_PLACEBO, "codigoentidad", "cut", second="monthyear_suscripcion"),
+    ),
+)
+def falsification_sweep(spark, sf):
+    """Months settle the placebo break, so its main effect is left out."""
+    tidy = es.falsification_models(saved_base(spark, sf), CUTS)
+    told = ["1.contratacion", "1.d_test", "1.contratacion#1.d_test"]
+    return shown(tidy, told, ("coef", 6, "coef"), ("stderr", 6, "stderr"), ("N", 0, "n"), ("r2", 6, "r2"), ("df_m", 0, "df_m"))
 
 
 @query(
@@ -310,8 +357,7 @@ PLACEBO = {**AMOUNT, **SYSTEM, "1.contratacion": "contratacion", "1.d_test": "d_
     sql(
         "SELECT model, var, round(coef, 6) AS coef, round(stderr, 6) AS stderr, n_obs AS n FROM tidy WHERE var LIKE '%d_test'",
         "base",
-        placebo=f"""SELECT *, CASE WHEN monthyear_suscripcion > cut THEN 1 ELSE 0 END AS d_test FROM base, range({CUTS[0]}, {CUTS[-1] + 1}) c(cut)
-          WHERE d_pandemia = 0""",
+        placebo=PLACEBO_ROWS,
         **solve_sql("placebo", "reporte", PLACEBO, "codigoentidad", "cut"),
     ),
 )

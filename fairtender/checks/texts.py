@@ -9,6 +9,7 @@ from fairtender.checks.standin import sql, table
 from fairtender.functions import formats, text as tx
 from fairtender.operators import chat
 from fairtender.operators.chunks import chunk_text
+from fairtender.operators.quantiles import quantiles
 from fairtender.plans import training
 from fairtender.session import scratch_path
 
@@ -309,6 +310,21 @@ def agg_distribution(spark, sf):
     return out.select("measure", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "median", "q10", "q90")])
 
 
+@query(
+    "quantiles_of_amounts",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS measure, {', '.join(f'round(quantile_cont({c}, {q}), 6) AS q{int(100 * q)}' for q in (0.01, 0.25, 0.5, 0.99))} FROM lineitem"
+        for c in ("l_extendedprice", "l_quantity")
+    ),
+)
+def quantiles_of_amounts(spark, sf):
+    """Measures of many different values, which no task gathers."""
+    amounts = table(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in ("l_extendedprice", "l_quantity")])
+    found = quantiles(amounts, amounts.columns, (0.01, 0.25, 0.5, 0.99), few=1000)
+    rows = spark.createDataFrame([(c, *v) for c, v in found.items()], "measure string, q1 double, q25 double, q50 double, q99 double")
+    return rows.select("measure", *[F.round(q, 6).alias(q) for q in ("q1", "q25", "q50", "q99")])
+
+
 @query(
     "training_budget",
     f"""SELECT n AS n_examples, b AS billing_tokens, e AS n_epochs, e * b AS total_tokens FROM (SELECT n, b, CAST(CASE

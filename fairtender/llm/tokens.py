@@ -11,21 +11,122 @@ its range), the document id, ``ids``.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairtender.llm.words import portions, text_or_none
+from fairtender.llm.staging import keep
+from fairtender.llm.words import run_hashes, word_bounds
 
-#: words whose ids a worker remembers, twice: in a young table and in the one before it
-CACHED_WORDS = 350_000
-_STOP = re.compile(rb"([A-Za-z0-9])([.,])(?=[ \t\n\r]|\Z)")
+#: words that a worker remembers per generation, at some 40 bytes each
+CACHED_WORDS = 1_500_000
+#: bytes of text encoded at once
+PORTION = 4 << 20
+#: what a tokenizer must encode alike in one piece and word by word, or it gets whole texts
+PROBE = """It's 12.5, isn't it?  We'll SEE\tthe\u00a0d\u00e9j\u00e0-vu... of x,y 3rd. a.b,c! (42) \u4e2d\u6587 \U0001f388 e\u0301 \u0130 'S I'm
+\x0bend. , . ,. A1,B2. <b> \u017f"""
+_ALNUM, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_STOP[[44, 46]] = True
+
+
+def _lengths_to_bounds(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places ``start``, ``start + 1``, … of each run, one after the other."""
+    bounds = _lengths_to_bounds(lengths)
+    return np.repeat(starts - bounds[:-1], lengths) + np.arange(bounds[-1])
+
+
+def _ends_of_words(joined: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first four and the last four bytes of each word, and so all of a short word."""
+    at_byte = np.ndarray((len(joined),), "<u4", joined + b"\0\0\0\0", strides=(1,))
+    size = end - start
+    first = at_byte[start].astype(np.uint64)
+    last = at_byte[np.maximum(end - 4, start)].astype(np.uint64)
+    few = np.minimum(size, 4).astype(np.uint64) * np.uint64(8)
+    mask = (np.uint64(1) << few) - np.uint64(1)
+    return (first & mask) << np.uint64(32) | (last & mask)
+
+
+def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different hash, and of each hash the number of its group.
+
+    Hashes are sorted with their places in the lowest bits, so that one plain sort does; hashes
+    that differ in these bits only get into one group.
+    """
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    order = np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64))
+    at = (order & low).astype(np.int64)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (order[1:] & ~low) != (order[:-1] & ~low)
+    which = np.empty(len(order), np.int64)
+    which[at] = np.cumsum(fresh) - 1
+    return at[fresh], which
+
+
+class Units:
+    """Words of texts, a stop or comma at a word's end apart, and which of them are equal.
+
+    Words are told apart by 64 bits of hash with their length and both their ends.
+    """
+
+    def __init__(self, raw: list[bytes]):
+        self.joined = b" ".join(raw) + b" "
+        data = np.frombuffer(self.joined, np.uint8)
+        start, end = word_bounds(data)
+        cut = (end - start > 1) & _STOP[data[end - 1]] & _ALNUM[data[end - 2]]
+        at = np.arange(len(start)) + np.cumsum(cut) - cut
+        self.start, self.end = (np.empty(len(start) + int(cut.sum()), np.int64) for _ in range(2))
+        self.start[at], self.end[at] = start, end - cut
+        self.start[at[cut] + 1], self.end[at[cut] + 1] = end[cut] - 1, end[cut]
+        self.first = np.searchsorted(self.start, np.cumsum([0, *[len(r) + 1 for r in raw]]))
+        hashes = run_hashes(data, self.start, self.end)
+        size, ends = self.end - self.start, _ends_of_words(self.joined, self.start, self.end)
+        self.some, self.which = _grouped(hashes)
+        standing = self.some[self.which]
+        if (hashes != hashes[standing]).any() or (size != size[standing]).any() or (ends != ends[standing]).any():  # two words of one hash
+            self.some = self.which = np.arange(len(self.start))
+        self.hash = hashes[self.some]
+        self.check = ends[self.some] ^ (size[self.some].astype(np.uint64) << np.uint64(56))
+
+    def words(self, some: np.ndarray) -> list[bytes]:
+        """Some of the different units."""
+        joined, at = self.joined, self.some[some]
+        return [joined[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+
+
+class Table:
+    """Words by hash with their ids."""
+
+    def __init__(self, h: np.ndarray, check: np.ndarray, size: np.ndarray, ids: np.ndarray):
+        order = np.argsort(h, kind="stable")
+        at = _lengths_to_bounds(size)[:-1]
+        self.h, self.check, self.size, self.at, self.ids = h[order], check[order], size[order], at[order], ids
+
+    @classmethod
+    def empty(cls) -> Table:
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+    def joined(self, h: np.ndarray, check: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Table:
+        own = self.ids[_spread(self.at, self.size)]
+        parts = zip((self.h, self.check, self.size, own), (h, check, size, ids), strict=True)
+        return Table(*[np.concatenate(p) for p in parts])
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 if it is not there."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where((self.h[at] == h) & (self.check[at] == check), at, -1)
 
 
 class Encoder:
@@ -33,47 +134,96 @@ class Encoder:
 
     For tokenizers that take capital letters as small ones, split at white space and before a
     stop or comma that ends a word, and never carry a token or a rule across a split, as the
-    given one does; the ids are then those of the whole text. Texts that may hold the name of
+    given one does; the ids are then those of the whole text. A tokenizer that encodes ``PROBE``
+    otherwise in whole than word by word gets whole texts. Texts that may hold the name of
     a special token keep their capitals.
+
+    Words are remembered in three tables: new ones, those of the present generation, and those
+    of the generation before, from which words that occur again are taken over.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # a special token is cut out before anything else, so words on either side do not touch
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|")]
-        self.mark_id, self.mark = special[0] if special else (None, None)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _joined(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words that are encoded as one text with a special token between them."""
-        text = self.mark.join([w.decode() for w in words])
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts, raw = np.flatnonzero(ids == self.mark_id) * 4, ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = []
-        for t in texts:
-            raw = t.encode("utf-8", "replace")
-            split.append(_STOP.sub(rb"\1 \2", raw if b"<|" in raw else raw.lower()).split())
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = {w for words in split for w in words if w not in young}
-        young.update((w, old[w]) for w in new if w in old)
-        order = sorted(w for w in new if w not in old)
-        plain = [w for w in order if b"<|" not in w] if self.mark else []
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            young.update(zip(some, self._joined(some), strict=True))
-        other = [w for w in order if w not in young]
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-        young.update((w, array("I", c.ids).tobytes()) for w, c in zip(other, coded, strict=True))
-        return [b"".join([young[w] for w in words]) for words in split]
+        self.new, self.young, self.old = Table.empty(), Table.empty(), Table.empty()
+        probes = [PROBE, PROBE.upper(), " ".join(reversed(PROBE.split(" ")))]
+        self.whole = any(self._by_words([p])[0].tolist() != self._ids(p) for p in probes)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words; those that are one piece to the splitter go to the model at once."""
+        coded, tokenize = [None] * len(words), self.tokenizer.model.tokenize
+        for k, w in enumerate(words):
+            if w.isalpha() and w.islower():
+                coded[k] = [t.id for t in tokenize(w.decode())]
+            elif _one_word(w):
+                coded[k] = [t.id for t in tokenize(w.decode("latin-1").translate(_SIGNS))]
+        other = [k for k, c in enumerate(coded) if c is None]
+        for k, c in zip(other, self.tokenizer.encode_batch_fast([words[k].decode() for k in other], add_special_tokens=False), strict=True):
+            coded[k] = c.ids
+        sizes = np.fromiter(map(len, coded), np.int32, len(coded))
+        return sizes, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
+
+    def _known(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of the different units, those not known so far learnt."""
+        size, missing, found = np.zeros(len(units.hash), np.int64), np.arange(len(units.hash)), []
+        for table in (self.new, self.young, self.old):
+            at = table.find(units.hash[missing], units.check[missing])
+            hit = at >= 0
+            found.append((table, missing[hit], at[hit]))
+            size[missing[hit]] = table.size[at[hit]]
+            missing = missing[~hit]
+        new_sizes, new_ids = self._coded(units.words(missing))
+        size[missing] = new_sizes
+        bounds = _lengths_to_bounds(size)
+        flat = np.empty(bounds[-1], np.int32)
+        flat[_spread(bounds[missing], new_sizes)] = new_ids
+        for table, some, at in found:
+            flat[_spread(bounds[some], size[some])] = table.ids[_spread(table.at[at], table.size[at])]
+        learnt = np.concatenate([missing, found[2][1]])
+        if len(learnt):
+            own = size[learnt]
+            self.new = self.new.joined(units.hash[learnt], units.check[learnt], own.astype(np.int32), flat[_spread(bounds[learnt], own)])
+        if len(self.new.h) > CACHED_WORDS // 8:
+            self.young = self.young.joined(self.new.h, self.new.check, self.new.size, self.new.ids[_spread(self.new.at, self.new.size)])
+            self.new = Table.empty()
+        if len(self.young.h) > CACHED_WORDS:
+            self.old, self.young = self.young, Table.empty()
+        return bounds, flat
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each text has."""
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        units = Units([r if b"<|" in r else r.lower() for r in raw])
+        bounds, flat = self._known(units)
+        own = np.diff(bounds)[units.which]
+        return flat[_spread(bounds[:-1][units.which], own)], np.diff(_lengths_to_bounds(own)[units.first])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each text has."""
+        if not self.whole:
+            return self._by_words(texts)
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast([t.encode("utf-8", "replace").decode() for t in texts], add_special_tokens=False)]
+        return np.array([i for ids in coded for i in ids], np.int32), np.array([len(ids) for ids in coded], np.int64)
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign by which byte-level tokenizers write each byte: itself if it is printed, else the next one from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printed]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_SIGNS = _byte_signs()
+
+
+def _one_word(word: bytes) -> bool:
+    """Whether a word is nothing but small letters in their usual form."""
+    text = word.decode()
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -87,6 +237,27 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with ``end_id`` behind those of each text, and where texts begin and end."""
+    bounds = _lengths_to_bounds(sizes + 1)
+    out = np.full(bounds[-1], end_id, np.int32)
+    out[_spread(bounds[:-1], sizes)] = ids
+    return out, bounds
+
+
+def _portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Rows of record batches, about ``PORTION`` bytes of text at a time."""
+    for batch in batches:
+        group = np.cumsum(np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: len(batch) + 1]).astype(np.int64)) // PORTION if len(batch) else np.zeros(0)
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
+_ROWS = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents in ranges of ascending id with their token ids.
 
@@ -94,14 +265,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     Documents that share an id stay in an order given by their texts. Other columns are left out.
     """
     ordered = (
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .withColumn("tie", F.xxhash64("text"))
         .repartitionByRange("doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
     )
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         from pyspark import TaskContext
@@ -109,15 +280,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, at = TaskContext.get().partitionId(), 0
         own = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        for pdf in portions(frames, "text"):
-            ids = [np.frombuffer(b + end, "<i4") for b in own.encode([text_or_none(t) or "" for t in pdf["text"]])]
-            ends = at + np.cumsum([len(x) for x in ids])
-            starts = np.concatenate([[at], ends[:-1]])
-            at = int(ends[-1])
-            yield pd.DataFrame({"part": part, "at": starts, "doc_id": pdf["doc_id"].astype("Int64"), "ids": ids})
+        for batch in _portions(batches, "text"):
+            ids, bounds = _with_end(*own.encode(batch.column("text").to_pylist()), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+            parts = pa.array(np.full(len(batch), part, np.int32))
+            yield pa.RecordBatch.from_arrays([parts, pa.array(at + bounds[:-1]), batch.column("doc_id"), lists], schema=_ROWS)
+            at += int(bounds[-1])
 
-    return ordered.mapInPandas(encode, "part int, at long, doc_id long, ids array<int>")
+    return ordered.mapInArrow(encode, "part int, at long, doc_id long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, **names: str) -> None:
@@ -143,26 +313,24 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
     return rows.filter(F.col("doc_id").isin(ids)) if ids is not None else rows
 
 
+_DIGESTS = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("ids")
+        values, bounds = memoryview(np.ascontiguousarray(lists.values.to_numpy(), "<i4")).cast("B"), lists.offsets.to_numpy().astype(np.int64)
+        sums = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        columns = [batch.column(c) for c in ("part", "at", "doc_id")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], schema=_DIGESTS)
+
+
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    rows = read_tokens(spark, path)
-
-    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            arrays = [np.asarray(x, "<i4") for x in pdf["ids"]]
-            yield pd.DataFrame(
-                {
-                    "part": pdf["part"],
-                    "at": pdf["at"],
-                    "doc_id": pdf["doc_id"].astype("Int64"),
-                    "n_tokens": [len(a) for a in arrays],
-                    "ids_crc32": [zlib.crc32(a.tobytes()) for a in arrays],
-                }
-            )
-
-    digests = rows.mapInPandas(digest, "part int, at long, doc_id long, n_tokens long, ids_crc32 long")
+    digests = read_tokens(spark, path).mapInArrow(_digested, "part int, at long, doc_id long, n_tokens long, ids_crc32 long")
+    digests = keep(digests, "digests")
     # one row per range
-    sizes = rows.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
+    sizes = digests.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     return digests.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -67,14 +67,15 @@ class Words:
         return mix(out), np.arange(n) + k <= self.first[1:][text]
 
 
-def scan(texts: list, lower: bool = False) -> Words:
-    """Words of texts (None: no words); ``lower`` takes A-Z as a-z."""
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    joined = b" ".join(raw) + b" "
-    data = np.frombuffer(joined, np.uint8)
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes that end with a space."""
     space = IS_SPACE[data]
     before = np.concatenate([[True], space[:-1]])
-    start, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+    return np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of runs of bytes that follow one another."""
     hashes = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):  # blocks of whole words, so that the tables stay small
@@ -87,6 +88,16 @@ def scan(texts: list, lower: bool = False) -> Words:
         s, e = start[at:to] - lo, end[at:to] - lo
         hashes[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         at = to
+    return hashes
+
+
+def scan(texts: list, lower: bool = False) -> Words:
+    """Words of texts (None: no words); ``lower`` takes A-Z as a-z."""
+    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    joined = b" ".join(raw) + b" "
+    data = np.frombuffer(joined, np.uint8)
+    start, end = word_bounds(data)
+    hashes = run_hashes(data, start, end, lower)
     begins = np.cumsum([0, *[len(r) + 1 for r in raw]])
     return Words(joined, start, end, hashes, np.searchsorted(start, begins))
 

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.functions.text import COMPLETION_END, PROMPT_END
+from fairtender.operators.quantiles import quantiles
 from fairtender.operators.rows import indicator
+from fairtender.session import stage
 
 # fixed values
 SYSTEM_TEXT = "Dado el texto extraido de un contrato, extrae los precios unitarios de los bienes comprados."
@@ -136,20 +138,15 @@ def too_long(stats: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:
 def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Smallest, largest, mean, median and the 0.1 and 0.9 quantiles of each column, one row each.
 
-    Quantiles are exact. Values are counted first, so what meets in one task is the
-    distinct values of a measure: for counts no more than the longest example has tokens.
+    Quantiles are exact; they are found by rounds of narrower ranges (see ``quantiles``), which are
+    jobs when the operator is built. A column without values has a row of missing values.
     """
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "measure", "x")
-    counted = long.groupBy("measure", "x").agg(F.count(F.lit(1)).alias("f"))
-    at = F.array(*[F.lit(q) for q in (0.1, 0.5, 0.9)])
-    return counted.groupBy("measure").agg(
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.try_divide(F.sum(F.col("x") * F.col("f")), F.sum("f")).alias("mean"),
-        F.percentile("x", at, F.col("f")).alias("q"),
-    ).select(
-        "measure", "min", "max", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("q10"), F.col("q")[2].alias("q90")
-    )
+    values = stage(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    found = quantiles(values, columns, (0.1, 0.5, 0.9))
+    kinds = {F.min: "min", F.max: "max", F.avg: "mean"}
+    ends = values.agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(columns) for f, n in kinds.items()]).first()
+    rows = [(c, *[ends[f"{n}{k}"] for n in kinds.values()], found[c][1], found[c][0], found[c][2]) for k, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "measure string, " + ", ".join(f"{n} double" for n in (*kinds.values(), "median", "q10", "q90")))
 
 
 def training_budget(stats: DataFrame, limit: int = TOKEN_LIMIT) -> DataFrame:

@@ -164,8 +164,15 @@ def cross_products(design: DataFrame, width: int, reps: int, absorb: bool = Fals
         ordered = dealt.sortWithinPartitions("model")
         return add_up(ordered.mapInArrow(_accumulate(width, reps, False), LONG))
 
-    # A level's rows meet in one task, unless it is hot: then it is spread, and its sums
-    # are brought together later. At most LARGE_PART levels are, plus one first level, per model.
+    return add_up(place_by_level(design, hot_rows).mapInArrow(_accumulate(width, reps, True), LONG))
+
+
+def place_by_level(design: DataFrame, hot_rows: int) -> DataFrame:
+    """Rows sorted by model and level with the level's ``role``.
+
+    A level's rows meet in one task, unless it is hot: then it is spread, and its sums
+    are brought together later. At most LARGE_PART levels are, plus one first level, per model.
+    """
     sizes = design.groupBy("model", "level").agg(F.count(F.lit(1)).alias("n"))
     whole = sizes.groupBy(F.col("model").alias("_m")).agg(F.min("level").alias("_first"), F.sum("n").alias("_rows"))
     is_first = F.col("level") == F.col("_first")
@@ -177,5 +184,4 @@ def cross_products(design: DataFrame, width: int, reps: int, absorb: bool = Fals
         special, same_key(design, special, [("model", "_m"), ("level", "_l")]), "left"
     ).withColumn("role", F.coalesce("role", F.lit(ORDINARY)))
     spread = F.when(F.col("role") == ORDINARY, 0).otherwise(F.pmod(F.col("hash"), F.lit(1009)))
-    placed = marked.drop("_m", "_l").repartition("model", "level", spread).sortWithinPartitions("model", "level")
-    return add_up(placed.mapInArrow(_accumulate(width, reps, True), LONG))
+    return marked.drop("_m", "_l").repartition("model", "level", spread).sortWithinPartitions("model", "level")

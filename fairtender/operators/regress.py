@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairtender.functions.draws import key_hash, replicate_weights
+from fairtender.operators import tall
 from fairtender.operators.moments import cross_products
 from fairtender.operators.skew import HOT_ROWS
 from fairtender.operators.solve import least_squares, normal_p, student_p
@@ -71,6 +72,7 @@ def fit(
     reps: int = 0,
     seed: int = 42,
     hot_rows: int = HOT_ROWS,
+    method: str = "gram",
 ) -> DataFrame:
     """Tidy coefficients of one model per value of ``model`` (a label or a column).
 
@@ -81,7 +83,13 @@ def fit(
     replicates, whose weights depend only on ``seed`` and the row's ``key``, so a subset
     has the weights of the whole; else they are the classical ones (missing for the
     constant if a factor is absorbed).
+
+    ``method`` is ``gram`` (cross products; a term of which earlier ones leave less than about
+    3e-5 is left out) or ``qr`` (orthogonal factors of the rows, for nearly collinear terms: 1e-9;
+    one absorbed factor at most; slower with replicates).
     """
+    if method not in ("gram", "qr"):
+        raise ValueError(method)
     if reps and not key:
         raise ValueError("replicate weights need a row key")
     if len(absorb) > 2:
@@ -104,16 +112,17 @@ def fit(
     )
     design = design.dropna(subset=[c for c in design.columns if c != "v"]).filter(~F.exists("v", lambda v: v.isNull()))
     width = len(columns)
-    if len(absorb) == 2:
-        sums = cross_products_two(design, width, reps, hot_rows)
+    names = F.array(*[F.lit(n) for n in ["_cons", *[n for n, _ in terms]]])
+    if method == "qr":
+        if len(absorb) == 2:
+            raise ValueError("two large factors cannot be absorbed by orthogonal factors")
+        coefs = tall.coefficients(design, width, reps, bool(absorb), hot_rows)
+    elif len(absorb) == 2:
+        coefs = _from_sums(cross_products_two(design, width, reps, hot_rows), width, True)
     else:
-        sums = cross_products(design, width, reps, bool(absorb), hot_rows)
-    # a list of at most width * (width + parts) numbers per model and replicate
-    cells = sums.groupBy("model", "rep").agg(F.collect_list(F.struct("part", "kind", "i", "j", "s", "x")).alias("cells"))
-    coefs = cells.mapInArrow(_solver(width, bool(absorb)), COEFS)
+        coefs = _from_sums(cross_products(design, width, reps, bool(absorb), hot_rows), width, bool(absorb))
     hidden = len(terms) - listed
-    names = ["_cons", *[n for n, _ in terms]]
-    tidy = _summarise(coefs, names, reps)
+    tidy = summarise(coefs.withColumn("var", F.element_at(names, F.col("pos") + 1)), reps)
     if not hidden:
         return tidy
     return tidy.filter((F.col("pos") == 0) | (F.col("pos") > hidden)).withColumn(
@@ -121,6 +130,13 @@ def fit(
     )
 
 
+def _from_sums(sums: DataFrame, width: int, absorbed: bool) -> DataFrame:
+    """Coefficients per model and replicate from cross products."""
+    # a list of at most width * (width + parts) numbers per model and replicate
+    cells = sums.groupBy("model", "rep").agg(F.collect_list(F.struct("part", "kind", "i", "j", "s", "x")).alias("cells"))
+    return cells.mapInArrow(_solver(width, absorbed), COEFS)
+
+
 def _few_as_dummies(df: DataFrame, absorb: list[str], width: int, reps: int) -> tuple[list[str], list[Term]]:
     """Of two factors the one with fewer levels, as dummies, if the cross products stay small; else both are absorbed."""
     counts = df.agg(*[F.count_distinct(a).alias(a) for a in absorb]).first()
@@ -134,7 +150,7 @@ def _few_as_dummies(df: DataFrame, absorb: list[str], width: int, reps: int) ->
     return [a for a in absorb if a != small], terms
 
 
-def _normal_equations(cells: pd.DataFrame, width: int, absorbed: bool):
+def normal_equations(cells: pd.DataFrame, width: int, absorbed: bool):
     """Cross products, what the absorbed factors explain, sums of the first level, number of levels."""
     def square(column: str) -> np.ndarray:
         out = np.zeros((width, width))
@@ -170,18 +186,18 @@ def _solver(width: int, absorbed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                cells = pd.DataFrame(
-                    {f.name: c.to_numpy(zero_copy_only=False) for f, c in _fields(batch.column("cells")[k].values)}
-                )
-                out = least_squares(*_normal_equations(cells, width, absorbed))
+                cells = cell_columns(batch.column("cells")[k])
+                out = least_squares(*normal_equations(cells, width, absorbed))
                 head = {"model": batch.column("model")[k].as_py(), "rep": np.int32(batch.column("rep")[k].as_py())}
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({**head, "pos": pos, **out}), schema, preserve_index=False)
 
     return run
 
 
-def _fields(structs: pa.StructArray) -> list[tuple[pa.Field, pa.Array]]:
-    return list(zip(structs.type, structs.flatten()))
+def cell_columns(cells: pa.ListScalar) -> pd.DataFrame:
+    """A list of structs as columns."""
+    structs = cells.values
+    return pd.DataFrame({f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(structs.type, structs.flatten())})
 
 
 @F.pandas_udf(T.DoubleType())
@@ -192,11 +208,12 @@ def _p_value(ratio: pd.Series, df_r: pd.Series) -> pd.Series:
     )
 
 
-def _summarise(coefs: DataFrame, names: Sequence[str], reps: int) -> DataFrame:
+def summarise(coefs: DataFrame, reps: int) -> DataFrame:
+    """Coefficients of the sample with errors, by the replicates if there are any."""
     sample = F.col("rep") == 0
     known = F.nanvl("coef", F.lit(None).cast("double"))
     spread = F.stddev_pop(F.when(~sample, known)) if reps else F.max(F.when(sample, F.nanvl("stderr", F.lit(None).cast("double"))))
-    tidy = coefs.groupBy("model", "pos").agg(
+    tidy = coefs.groupBy("model", "pos", "var").agg(
         F.max(F.when(sample, known)).alias("coef"),
         spread.alias("_spread"),
         *[F.max(F.when(sample, F.col(c))).alias(c) for c in ("N", "r2", "df_m", "df_r")],
@@ -204,8 +221,7 @@ def _summarise(coefs: DataFrame, names: Sequence[str], reps: int) -> DataFrame:
     tidy = tidy.withColumn("stderr", F.when(F.col("coef").isNotNull(), F.col("_spread")))
     ratio = F.try_divide(F.col("coef"), F.col("stderr"))
     p = F.nanvl(_p_value(ratio, F.lit(None).cast("double") if reps else F.col("df_r")), F.lit(None).cast("double"))
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos") + 1)
-    return tidy.select("model", "pos", named.alias("var"), "coef", "stderr", p.alias("pval"), "N", F.col("N").alias("N_pop"), "r2", "df_m")
+    return tidy.select("model", "pos", "var", "coef", "stderr", p.alias("pval"), "N", F.col("N").alias("N_pop"), "r2", "df_m")
 
 
 # ---- simple forms ------------------------------------------------------------------------

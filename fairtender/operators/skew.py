@@ -103,6 +103,62 @@ def _plain_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str)
     return joined.select(*[left[c] for c in left.columns], *[keyed[c] for c in extra])
 
 
+def many_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join many rows to many; ``how`` is ``inner``, ``left``, ``right`` or ``full``.
+
+    A key that is hot on either side is laid out as a grid: its left rows are dealt into rows of
+    the grid and copied to each column, its right rows into columns and copied to each
+    row, so that every pair meets once and a cell has at most about ``hot_rows`` rows of either
+    side. A hot key that one side lacks needs no join. Key columns of both sides come back
+    as those of the left, or of the right where the left is missing.
+    """
+    sizes = [df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) for df in (left, right)]
+    first, second = (s.select(*renamed(s, on, p), F.col("n").alias(f"_{p}n")) for s, p in zip(sizes, ("_h", "_k"), strict=True))
+    match = reduce(lambda a, b: a & b, [first[f"_h{i}"].eqNullSafe(second[f"_k{i}"]) for i in range(len(on))])
+    both = first.join(second, match, "full").filter((F.col("__hn") > hot_rows) | (F.col("__kn") > hot_rows))
+    key = [F.when(F.col("__hn").isNull(), F.col(f"_k{i}")).otherwise(F.col(f"_h{i}")).alias(f"_h{i}") for i in range(len(on))]
+    # at most rows / hot_rows keys of either side
+    hot = stage(both.select(*key, F.ceil(F.col("__hn") / hot_rows).cast("int").alias("_rows"), F.ceil(F.col("__kn") / hot_rows).cast("int").alias("_cols")))
+    if hot.isEmpty():
+        return _plain_many(left, right, on, how)
+    keys = hot.select(*[f"_h{i}" for i in range(len(on))], F.lit(1).alias("_n"))
+    calm = _plain_many(split_hot(left, on, keys)[0], split_hot(right, on, keys)[0], on, how)
+    out = calm.unionByName(_grid(left, right, on, hot.filter("_rows is not null and _cols is not null")))
+    for side, other, lone, kept in ((left, right, "_cols is null", ("left", "full")), (right, left, "_rows is null", ("right", "full"))):
+        if how in kept:
+            _, single = split_hot(side, on, hot.filter(lone).select(*[f"_h{i}" for i in range(len(on))], F.lit(1).alias("_n")))
+            missing = [F.lit(None).cast(other.schema[c].dataType).alias(c) for c in other.columns if c not in on]
+            out = out.unionByName(single.select("*", *missing).select(out.columns))
+    return out
+
+
+def _plain_many(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    extra = [c for c in right.columns if c not in on]
+    keyed = right.select(*renamed(right, on, "_k"), *extra, F.lit(1).alias("_right"))
+    base = left.withColumn("_left", F.lit(1))
+    joined = base.join(keyed, same_key(base, keyed, [(c, f"_k{i}") for i, c in enumerate(on)]), how)
+    own = {c: F.when(F.col("_left").isNull(), keyed[f"_k{i}"]).otherwise(base[c]).alias(c) for i, c in enumerate(on)}
+    return joined.select(*[own.get(c, base[c]) for c in left.columns], *[keyed[c] for c in extra])
+
+
+def _grid(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    extra = [c for c in right.columns if c not in on]
+
+    def dealt(df: DataFrame, own: str, copies: str, place: str, at: str) -> DataFrame:
+        keyed = df.join(F.broadcast(hot), same_key(df, hot, [(c, f"_h{i}") for i, c in enumerate(on)]))
+        # equal rows are told apart by their place, so that they do not all go the same way
+        number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(own)).cast("int")
+        numbered = keyed.select(*[df[c] for c in df.columns], number.alias(place), copies)
+        return numbered.withColumn(at, F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).drop(copies)
+
+    some = dealt(left, "_rows", "_cols", "_r", "_c")
+    many = dealt(right, "_cols", "_rows", "_c", "_r")
+    keyed = many.select(*renamed(many, on, "_k"), *extra, F.col("_r").alias("_r2"), F.col("_c").alias("_c2"))
+    cell = (some["_r"] == keyed["_r2"]) & (some["_c"] == keyed["_c2"])
+    joined = some.join(keyed, same_key(some, keyed, [(c, f"_k{i}") for i, c in enumerate(on)]) & cell)
+    return joined.select(*[some[c] for c in left.columns], *[keyed[c] for c in extra])
+
+
 def number_rows(
     df: DataFrame,
     by: Sequence[str],
@@ -112,26 +168,23 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows of each group 1, 2, … in ``order`` (missing last).
 
-    ``by`` may be empty, which numbers the whole table. A hot group is sorted over many
-    tasks: its rows carry their position in the sorted table, and a row's number is that
+    ``by`` may be empty, which numbers the whole table, always sorted over many tasks. So is a
+    hot group: its rows carry their position in the sorted table, and a row's number is that
     less the group's first position in the partition plus the group's rows in earlier
     partitions.
     """
+    if not by:
+        return _number_sorted(df, by, order, out, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot, rows = hot_keys(df, by, hot_rows)
     window = Window.partitionBy(*by).orderBy(*total_order(order))
     numbered = F.row_number().over(window).cast("long").alias(out)
     if hot is None:
         return df.select("*", numbered)
-    if not by:
-        return _number_sorted(df, by, order, out, rows, hot_rows)
     calm, crowded = split_hot(df, by, hot)
-    return calm.select("*", numbered).unionByName(_number_sorted(crowded, by, order, out, rows, hot_rows))
+    return calm.select("*", numbered).unionByName(_number_sorted(crowded, by, order, out, max(2, -(-4 * rows // hot_rows))))
 
 
-def _number_sorted(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, rows: int, hot_rows: int
-) -> DataFrame:
-    parts = max(2, -(-4 * rows // hot_rows))
+def _number_sorted(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, parts: int) -> DataFrame:
     ranged = [*[F.col(c) for c in by], *total_order(order)]
     # written once, so that the positions cannot change if an executor is lost
     placed = stage(
