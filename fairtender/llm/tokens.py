@@ -27,7 +27,7 @@ from fairtender.llm.words import run_hashes, word_bounds
 #: words that a worker remembers per generation, at some 40 bytes each
 CACHED_WORDS = 1_500_000
 #: bytes of text encoded at once
-PORTION = 4 << 20
+PORTION = 6 << 20
 #: what a tokenizer must encode alike in one piece and word by word, or it gets whole texts
 PROBE = """It's 12.5, isn't it?  We'll SEE\tthe\u00a0d\u00e9j\u00e0-vu... of x,y 3rd. a.b,c! (42) \u4e2d\u6587 \U0001f388 e\u0301 \u0130 'S I'm
 \x0bend. , . ,. A1,B2. <b> \u017f"""
@@ -148,7 +148,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.new, self.young, self.old = Table.empty(), Table.empty(), Table.empty()
         probes = [PROBE, PROBE.upper(), " ".join(reversed(PROBE.split(" ")))]
-        self.whole = any(self._by_words([p])[0].tolist() != self._ids(p) for p in probes)
+        self.whole = any(self._by_words([p.encode()])[0].tolist() != self._ids(p) for p in probes)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -194,19 +194,19 @@ class Encoder:
             self.old, self.young = self.young, Table.empty()
         return bounds, flat
 
-    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each text has."""
-        raw = [t.encode("utf-8", "replace") for t in texts]
+    def _by_words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8), one after the other, and how many each text has."""
         units = Units([r if b"<|" in r else r.lower() for r in raw])
         bounds, flat = self._known(units)
         own = np.diff(bounds)[units.which]
         return flat[_spread(bounds[:-1][units.which], own)], np.diff(_lengths_to_bounds(own)[units.first])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has."""
+        raw = [t if isinstance(t, bytes) else t.encode("utf-8", "replace") for t in texts]
         if not self.whole:
-            return self._by_words(texts)
-        coded = [c.ids for c in self.tokenizer.encode_batch_fast([t.encode("utf-8", "replace").decode() for t in texts], add_special_tokens=False)]
+            return self._by_words(raw)
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast([t.decode() for t in raw], add_special_tokens=False)]
         return np.array([i for ids in coded for i in ids], np.int32), np.array([len(ids) for ids in coded], np.int64)
 
 
@@ -281,7 +281,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
         part, at = TaskContext.get().partitionId(), 0
         own = encoder(tokenizer)
         for batch in _portions(batches, "text"):
-            ids, bounds = _with_end(*own.encode(batch.column("text").to_pylist()), end_id)
+            ids, bounds = _with_end(*own.encode(batch.column("text").cast(pa.binary()).to_pylist()), end_id)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
             parts = pa.array(np.full(len(batch), part, np.int32))
             yield pa.RecordBatch.from_arrays([parts, pa.array(at + bounds[:-1]), batch.column("doc_id"), lists], schema=_ROWS)
