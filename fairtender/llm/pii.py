@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOCAL = "[A-Za-z0-9._%+-]"
-REACH = 40
+#: code points of context on either side, and of the blocks in which a text is looked up
+REACH, BLOCK = 40, 1024
 
 
 @dataclass(frozen=True)
@@ -107,8 +108,12 @@ def find(docs: DataFrame, text_col: str = "text", min_score: int = MIN_SCORE) ->
     hits = docs.select(*cols, *pieces)
     some = lambda k: F.size(f"_pii_hit_{k.name}") > 0
     gaps = hits.select("*", *[F.when(some(k), F.split(text, k.pattern, -1)).alias(f"_pii_gap_{k.name}") for k in KINDS])
-    joined = gaps.select("*", *[_lengths(k) for k in KINDS])
-    spans = joined.select(*cols, *[F.when(some(k), _spans(k, min_score, text)).alias(f"_pii_span_{k.name}") for k in KINDS])
+    found = some(KINDS[0])
+    for k in KINDS[1:]:
+        found = found | some(k)
+    blocks = F.when(found, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}+"), F.lit(0))).alias("_pii_blocks")
+    joined = gaps.select("*", blocks, *[_lengths(k) for k in KINDS])
+    spans = joined.select(*cols, *[F.when(some(k), _spans(k, min_score)).alias(f"_pii_span_{k.name}") for k in KINDS])
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:int,text:string>>")
     return spans.select(*cols, F.concat(*[F.coalesce(F.col(f"_pii_span_{k.name}"), empty) for k in KINDS]).alias("found"))
 
@@ -119,7 +124,14 @@ def _lengths(k: Kind) -> Column:
     return F.when(F.size(hit) > 0, both).alias(f"_pii_len_{k.name}")
 
 
-def _spans(k: Kind, min_score: int, text: Column) -> Column:
+def _part(start: Column, size: Column) -> Column:
+    """Some code points of the text, at most as many as a block has, in time that does not depend on where they stand."""
+    block = F.floor(start / BLOCK).cast("int")
+    both = F.concat(F.get("_pii_blocks", block), F.coalesce(F.get("_pii_blocks", block + 1), F.lit("")))
+    return F.coalesce(F.substring(both, (start - block * BLOCK + 1).cast("int"), size.cast("int")), F.lit(""))
+
+
+def _spans(k: Kind, min_score: int) -> Column:
     gap, hit, length = (F.col(f"_pii_{x}_{k.name}") for x in ("gap", "hit", "len"))
     known = f"(^|[^a-z])({'|'.join(k.words)})([^a-z]|$)"
     near = lambda t: F.lower(t).rlike(known)
@@ -127,8 +139,8 @@ def _spans(k: Kind, min_score: int, text: Column) -> Column:
     led = F.zip_with(placed, gap, lambda p, g: F.struct(p.h.alias("h"), (p.at + F.length(g)).alias("start")))
     real = F.filter(led, lambda p: p.h.isNotNull() & _confirmed(k.name, p.h))
     start = lambda p: F.greatest(p.start - REACH, F.lit(0))
-    before = lambda p: F.substring(text, (start(p) + 1).cast("int"), (p.start - start(p)).cast("int"))
-    after = lambda p: F.substring(text, (p.start + F.length(p.h) + 1).cast("int"), F.lit(REACH))
+    before = lambda p: _part(start(p), p.start - start(p))
+    after = lambda p: _part(p.start + F.length(p.h), F.lit(REACH))
     scored = F.transform(
         real,
         lambda p: F.struct(
