@@ -2,7 +2,8 @@
 
 An item of W words with a budget of e word edits is cut into e + 1 pieces. A passage within
 the budget holds one piece unchanged (pigeonhole), so exact hits of pieces (Aho-Corasick over
-the whole text) give the places to look at, and Myers' bit-parallel distance verifies them.
+the whole text) give the places to look at, and Myers' bit-parallel distance verifies them. An item
+too short for an edit is one piece and is found wherever it stands as it is.
 """
 
 from __future__ import annotations
@@ -17,22 +18,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: share of an item's words that may differ, and the least words of a piece
-BUDGET, PIECE = 0.2, 4
+from fairtender.llm.staging import keep
+
+#: share of an item's words that may differ
+BUDGET = 0.2
 #: characters of items that one pass over the documents holds in every task
 BLOCK_CHARS = 8_000_000
 
 _OTHER = re.compile(r"[\W_]+")
+#: scripts that are written without spaces (Thai to Tibetan, Burmese, Khmer, kana, Han): each sign is a word
+_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 def normal(text: str | None) -> str:
     """Small letters; all but letters and digits as single spaces; a space at both ends."""
-    return " " + _OTHER.sub(" ", (text or "").lower()).strip() + " "
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", text)
+    return " " + _OTHER.sub(" ", text).strip() + " "
 
 
-def budget(words: int, share: float = BUDGET, piece: int = PIECE) -> int:
-    """Edits allowed to an item: a share of its words, but no piece gets shorter than ``piece``."""
-    return max(0, min(int(words * share), words // piece - 1))
+def budget(words: int, share: float = BUDGET) -> int:
+    """Edits allowed to an item: a share of its words, rounded down."""
+    return int(words * share + 1e-9)
 
 
 def _states(pattern: dict[str, int], m: int, words: list[str]) -> Iterator[int]:
@@ -74,7 +82,6 @@ class Matcher:
 
     items: list[tuple[int, list[str]]]
     share: float = BUDGET
-    piece: int = PIECE
     automaton: object = None
 
     def build(self) -> Matcher:
@@ -82,7 +89,7 @@ class Matcher:
 
         auto = ahocorasick.Automaton()
         for k, (_, words) in enumerate(self.items):
-            pieces = budget(len(words), self.share, self.piece) + 1
+            pieces = budget(len(words), self.share) + 1
             cuts = [len(words) * p // pieces for p in range(pieces + 1)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 text = " " + " ".join(words[a:b]) + " "
@@ -109,9 +116,7 @@ class Matcher:
         words = plain.split() if places else []
         for k, starts in places.items():
             item_id, item = self.items[k]
-            if len(item) < self.piece and len(item) != len(words):
-                continue
-            e = budget(len(item), self.share, self.piece)
+            e = budget(len(item), self.share)
             best = None
             for at in sorted(starts):
                 lo = max(0, at - e)
@@ -128,51 +133,74 @@ class Matcher:
         return bool(self.matches(text))
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", chars: int = BLOCK_CHARS, **limits) -> Iterator[Matcher]:
-    """Matchers over all items, each over a block of about ``chars`` characters.
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", chars: int = BLOCK_CHARS, **limits) -> tuple[int, Iterator[Matcher]]:
+    """How many blocks of about ``chars`` characters the items make, and a matcher for each.
 
-    The items are the query set: every block goes over all documents. Items without words
-    match nothing; an item of fewer than ``PIECE`` words matches only a document of just these.
+    The items are the query set: every block goes over all documents. The driver holds one
+    block at a time. Items without words match nothing.
     """
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // chars)
-    for k in range(blocks):
-        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        words = [(r.item_id, normal(r.text).split()) for r in own]
-        yield Matcher(sorted(((i, w) for i, w in words if w), key=lambda x: (x[0] is None, x[0] or 0, x[1])), **limits)
+
+    def matchers() -> Iterator[Matcher]:
+        for k in range(blocks):
+            own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+            words = [(r.item_id, normal(r.text).split()) for r in own]
+            yield Matcher(sorted(((i, w) for i, w in words if w), key=lambda x: (x[0] is None, x[0] or 0, x[1])), **limits)
+
+    return blocks, matchers()
+
+
+_FOUND = "doc_id long, item_id long, distance int, budget int, first_word int, end_word int"
+
+
+def _found(rows: DataFrame, matcher: Matcher) -> DataFrame:
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher.build()
+        for pdf in frames:
+            found = [(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for m in matcher.matches(t if isinstance(t, str) else None)]
+            frame = pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "budget", "first_word", "end_word"])
+            yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+
+    return rows.mapInPandas(search, _FOUND)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance, budget, first_word, end_word.
 
-    Words are counted in the normalized text, the end exclusive. Documents without text hold
-    nothing. Every row is searched by itself: repeated rows give repeated results. Nothing is shuffled.
+    Words are counted in the normalized text, the end exclusive; a sign of a script without spaces is a
+    word. Documents without text hold nothing. Every row is searched by itself: repeated rows
+    give repeated results. Nothing is shuffled. With several blocks of items the rows found for each
+    are written before the next one is fetched.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, distance int, budget int, first_word int, end_word int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for matcher in item_blocks(items, **options):
-
-        def search(frames: Iterator[pd.DataFrame], matcher: Matcher = matcher) -> Iterator[pd.DataFrame]:
-            matcher.build()
-            for pdf in frames:
-                found = [(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for m in matcher.matches(t if isinstance(t, str) else None)]
-                frame = pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "budget", "first_word", "end_word"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        out = out.unionByName(rows.mapInPandas(search, schema))
+    blocks, matchers = item_blocks(items, **options)
+    out = docs.sparkSession.createDataFrame([], _FOUND)
+    for matcher in matchers:
+        found = _found(rows, matcher)
+        out = out.unionByName(found if blocks == 1 else keep(found, "leaks"))
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item within its budget."""
-    for matcher in item_blocks(items, **options):
+    blocks, matchers = item_blocks(items, **options)
+    if not blocks:
+        return docs
+    if blocks == 1:
+        matcher = next(matchers)
 
-        def search(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher.build()
             for b in batches:
                 yield b.filter(pa.array([not matcher.hit(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(search, docs.schema)
-    return docs
+        return docs.mapInArrow(search, docs.schema)
+    # numbered in a written table, so that a row keeps its number
+    rows = keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("doc_id")), "numbered")
+    hits = None
+    for matcher in matchers:
+        own = keep(_found(rows.select("doc_id", "text"), matcher).select("doc_id").distinct(), "leaks")
+        hits = own if hits is None else hits.unionByName(own)
+    return rows.join(hits, "doc_id", "left_anti").select("doc.*")
