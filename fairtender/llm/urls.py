@@ -50,11 +50,28 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(value, "^[\"']|[\"']$", "")
 
 
+def _without_dots(target: Column) -> Column:
+    """A path and query, from its first ``/``, without the segments ``.`` and ``..``."""
+    name = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.substr(target, F.length(name) + 1)
+    parts = F.split(name, "/")
+    last = F.element_at(parts, -1)
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    empty = F.array().cast("array<string>")
+    step = lambda a, p: F.when(p == "..", up(a)).when((p == ".") | (p == ""), F.when(p == "", F.concat(a, F.array(p))).otherwise(a)).otherwise(F.concat(a, F.array(p)))
+    inner = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), empty, step)
+    closed = F.when(last.isin(".", ".."), F.concat(inner, F.array(F.lit("")))).otherwise(inner)
+    resolved = F.concat(F.lit("/"), F.array_join(closed, "/"), rest)
+    return F.when(F.contains(name, F.lit("/.")), resolved).otherwise(target)
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges ``a``, ``b`` between addresses: canonical links and refresh redirects in pages.
 
-    Targets that are not absolute are taken on the host of the page when they begin with ``/``,
-    and otherwise give no edge.
+    Targets that are not absolute are taken on the page's host: from its root when they begin with
+    ``/``, with the page's path when they begin with ``?``, and else from the page's folder, with
+    ``.`` and ``..`` resolved. A fragment alone is the page itself. Targets of another scheme
+    (``mailto:``) give no edge.
     """
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
     lowered = F.lower(html)
@@ -69,10 +86,15 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     target = F.when(rel == "canonical", _attribute(F.col("tag"), "href")).when(kind == "refresh", moved)
     named = tags.select("url", one(F.trim(F.replace(target, F.lit("&amp;"), F.lit("&")))).alias("to"))
     to, scheme = F.col("to"), F.regexp_extract("url", r"(?s)^(.*?)://", 1)
+    page = F.when(path(F.col("url")) == "", "/").otherwise(path(F.col("url")))
+    root = F.concat(scheme, F.lit("://"), host(F.col("url")))
     full = (
-        F.when(F.contains(to, F.lit("://")), to)
+        F.when(to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), to)
         .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
-        .when(F.startswith(to, F.lit("/")), F.concat(scheme, F.lit("://"), host(F.col("url")), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(root, _without_dots(to)))
+        .when((to == "") | F.startswith(to, F.lit("#")) | to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(to, F.lit("?")), F.concat(root, page, to))
+        .otherwise(F.concat(root, _without_dots(F.concat(F.regexp_extract(page, "(?s)^(.*/)", 1), to))))
     )
     return named.select("url", one(full).alias("to")).select(address(F.col("url")).alias("a"), address(F.col("to")).alias("b"))
 
