@@ -1,7 +1,8 @@
 """Exact Jaccard join of texts as sets of word n-grams, in the metric space of Jaccard distances.
 
 Nearly all pairs of documents are at distance 1, where pivots tell nothing apart. So documents
-first meet in small *regions*, by shared n-grams, in a way that loses no pair:
+first meet by shared n-grams, in a way that loses no pair, and pivots are chosen among
+those that meet:
 
 1. In hash order, a document's first n-grams (``n - ceil(s n) + 1`` and ``EXTRA`` more of each
    n) must hold as many of a partner's n-grams, plus one, as were added. The most frequent of
@@ -11,14 +12,16 @@ first meet in small *regions*, by shared n-grams, in a way that loses no pair:
    ones are links, and linked documents are one group. In the next rounds only heads of other
    groups count.
 3. N-grams whose documents are in several groups are still open. The group of an n-gram's head
-   is its cell, with the group's most central head as pivot. Documents of several cells, on
+   is its region, with the group's most central head as pivot. Documents of several regions, on
    their boundaries, are replicated into each. Distances to the pivot are exact.
-4. What is not linked yet is joined within the cell: only documents in the window that the
-   triangle inequality leaves; a large cell is dealt once, by hash, into blocks of bounded size.
+4. What is not linked yet is joined within the region (see ``regions``): near the pivot by the
+   differences from it, far from it by the sets themselves, with triangle-inequality windows
+   for the documents between.
 
 ``links`` does not look for links between documents that are connected already, as components
-need none. ``join_pairs`` gives all linked pairs: each n-gram's documents are the cell of its
-head, without rounds and labels, and ``count_links`` counts them per document.
+need none. ``join_pairs`` gives all linked pairs: each n-gram's documents are the region of its
+head, without rounds and labels, and blocks of it are compared whole; ``count_links`` counts
+them per document. Sets are named by 64 bits of hash.
 """
 
 from __future__ import annotations
@@ -32,14 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.llm.components import components
-from fairtender.llm.staging import keep
+from fairtender.llm.regions import NEAR, far_reach, is_near, meeting_pairs, near_reach, placed_members
+from fairtender.llm.staging import keep, release
 from fairtender.llm.words import portions, scan, text_or_none
 
 SHINGLE, LEAST, OUT_OF = 3, 90, 100
-EXTRA = 0.05
+EXTRA = 0.15
 BLOCK = 512
 #: rounds of links to heads; more of them leave less to the cells and change no result
 ROUNDS = 3
+#: pairs that are measured against one pivot in one task; a pivot of more pairs is copied
+SALT = 1000
 _LAST = (1 << 63) - 1
 
 
@@ -90,15 +96,13 @@ def documents(docs: DataFrame, k: int, least: int, out_of: int) -> DataFrame:
 
 def rare_grams(nodes: DataFrame, least: int, out_of: int) -> DataFrame:
     """The n-grams by which a pair must meet: name, n, central, gram."""
-    grams = nodes.select("name", "n", F.size("firsts").alias("k"), F.explode("firsts").alias("gram"))
+    grams = nodes.select("name", F.explode("firsts").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    rows = grams.join(shared, "gram")
+    held = grams.join(shared, "gram").groupBy("name").agg(F.sum(F.log("c")).alias("logs"), F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("grams"))
+    rows = held.join(nodes.select("name", "n", F.size("firsts").alias("k")), "name")
     # of the smallest possible partner, rounded down
     need = 1 + F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * least / out_of) - 1e-9)
-    held = rows.groupBy("name").agg(
-        F.first("n").alias("n"), (F.sum(F.log("c")) / F.first("k")).alias("central"), F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("grams")
-    )
-    rare = held.select("name", "n", "central", F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - need + 1).cast("int")).alias("grams"))
+    rare = rows.select("name", "n", (F.col("logs") / F.col("k")).alias("central"), F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - need + 1).cast("int")).alias("grams"))
     return rare.select("name", "n", "central", F.explode("grams.gram").alias("gram"))
 
 
@@ -134,18 +138,46 @@ def _distance(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with the sets of both sides; the set of a pivot of many pairs is copied to many tasks."""
+    sizes = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"))
+    # at most pairs / SALT pivots
+    hot = keep(sizes.filter(F.col("c") > SALT).select("pivot", F.ceil(F.col("c") / SALT).cast("int").alias("salts")), "hot")
+    salted = pairs.join(F.broadcast(hot), "pivot", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("name"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    own = sets.select("name", "grams")
+    centre = sets.select(F.col("name").alias("pivot"), F.col("grams").alias("pivot_grams")).join(F.broadcast(hot), "pivot", "left")
+    spread = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(spread, ["pivot", "salt"]).drop("salt").join(own, "name")
+
+
 def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Add the intersection and the union with the pivot."""
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             # in the order in which they were sorted
-            found = [_distance(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)) for a, b in zip(pdf["grams"], pdf["pivot_grams"], strict=True)]
+            found = [_distance(_grams(a), _grams(b)) for a, b in zip(pdf["grams"], pdf["pivot_grams"], strict=True)]
             yield pd.DataFrame({"pivot": pdf["pivot"], "name": pdf["name"], "n": pdf["n"], "both": [f[0] for f in found], "either": [f[1] for f in found]})
 
-    own = sets.select("name", "grams")
-    centre = sets.select(F.col("name").alias("pivot"), F.col("grams").alias("pivot_grams"))
-    return pairs.join(centre, "pivot").join(own, "name").mapInPandas(measure, "pivot long, name long, n long, both long, either long")
+    return _beside(pairs, sets).mapInPandas(measure, "pivot long, name long, n long, both long, either long")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, least: int, out_of: int) -> DataFrame:
+    """Per pair: pivot, name, n, pivot_n, apart (size of the difference) and, where it is needed near the pivot, the packed difference."""
+    far = lambda apart, n, pivot_n: apart > NEAR * (n * out_of / least + pivot_n) + 2 * n * (out_of - least) / least + 1
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            own = [np.setxor1d(_grams(a), _grams(b), assume_unique=True) for a, b in zip(pdf["grams"], pdf["pivot_grams"], strict=True)]
+            sizes = [len(b) // 8 for b in pdf["pivot_grams"]]
+            packed = [b"" if far(len(d), n, p) else d.tobytes() for d, n, p in zip(own, pdf["n"], sizes, strict=True)]
+            yield pd.DataFrame({"pivot": pdf["pivot"], "name": pdf["name"], "n": pdf["n"], "pivot_n": sizes, "apart": [len(d) for d in own], "difference": packed})
+
+    return _beside(pairs, sets).mapInPandas(measure, "pivot long, name long, n long, pivot_n long, apart long, difference binary")
+
+
+def _grams(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint64)
 
 
 def _sketch(grams: np.ndarray) -> bytes:
@@ -221,23 +253,25 @@ def _within(members: DataFrame, sketches: DataFrame, nearest: bool, least: int,
     return left.unionByName(right).groupBy("pivot", "r", "c").applyInPandas(compare, "pivot long, name long, n long").distinct()
 
 
-def _named_sets(docs: DataFrame, k: int, least: int, out_of: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _named_sets(docs: DataFrame, k: int, least: int, out_of: int, sketches: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their sets' names, the n-grams by which pairs meet, and the sets that may meet others."""
-    rows = keep(documents(docs, k, least, out_of), "rows")
-    nodes = rows.filter(F.size("firsts") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    full = keep(documents(docs, k, least, out_of), "rows")
+    nodes = full.filter(F.size("firsts") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
     kept = keep(rare_grams(nodes, least, out_of), "grams")
+    rows = keep(full.drop("firsts"), "rows")
+    release(full)
     named = kept.select("name").distinct()
     wanted = rows.join(named, "name").groupBy("name").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("name").alias("names"))
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in portions(frames, "text"):
             sets = _sets([text_or_none(t) for t in pdf["text"]], k)
-            found = [(_name(s), s.view(np.int64)) for s in sets]
-            chosen = [(*f, _sketch(f[1])) for f, names in zip(found, pdf["names"], strict=True) if f[0] in set(names)]
+            names = [_name(s) for s in sets]
+            chosen = [(n, s.tobytes(), _sketch(s) if sketches else None) for n, s, known in zip(names, sets, pdf["names"], strict=True) if n in set(known)]
             yield pd.DataFrame(chosen, columns=["name", "grams", "sketch"])
 
     source = docs.withColumn("id", F.coalesce("doc_id", F.lit(_LAST))).select("id", "text")
-    sets = keep(source.join(wanted, "id").mapInPandas(fetch, "name long, grams array<long>, sketch binary").dropDuplicates(["name"]), "sets")
+    sets = keep(source.join(wanted, "id").mapInPandas(fetch, "name long, grams binary, sketch binary").dropDuplicates(["name"]), "sets")
     return rows, kept, sets
 
 
@@ -245,6 +279,53 @@ def _near(measured: DataFrame, least: int, out_of: int) -> DataFrame:
     return measured.filter((F.col("both") * out_of >= F.col("either") * least) & (F.col("pivot") != F.col("name")))
 
 
+def _linked_to_pivot(members: DataFrame, least: int, out_of: int) -> DataFrame:
+    """Links (a, b) of members with their pivot: the difference is a small part of both sizes."""
+    near = F.col("apart") * (out_of + least) <= (F.col("n") + F.col("pivot_n")) * (out_of - least)
+    return members.filter(near & (F.col("pivot") != F.col("name"))).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
+
+
+def _joined_regions(members: DataFrame, sets: DataFrame, found: DataFrame, least: int, out_of: int) -> DataFrame:
+    """``found`` links (a, b) and those between members of a region that they leave apart; ``members`` has their
+    differences from the pivot."""
+    labels = _grouped(found)
+    own = members.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    main = labels.select(F.col("name").alias("pivot"), F.col("label").alias("main"))
+    near, with_near, with_far = is_near(least, out_of)
+    marked = own.join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
+    marked = keep(marked.select("pivot", "name", "n", "pivot_n", "apart", "difference", (F.col("label") != F.col("main")).alias("asks"), near.alias("near"), with_near.alias("with_near"), with_far.alias("with_far")), "marked")
+    # near the pivot: the differences from it
+    close = marked.filter("with_near").select("pivot", "name", "n", "pivot_n", "apart", F.col("apart").alias("size"), "difference", "asks", "near")
+    near_rows = placed_members(close, "difference", F.when(F.col("asks") & F.col("near"), near_reach(least, out_of)).otherwise(0))
+    some, other = (marked.select("pivot", F.col("name").alias(c), F.col("n").alias(f"{c}_n"), F.col("difference").alias(f"{c}_difference")) for c in ("a", "b"))
+    # far from it: the sets themselves, wherever they stand
+    wide = marked.filter("with_far").groupBy("name").agg(F.first("n").alias("n"))
+    whole = wide.join(sets.select("name", "grams"), "name").select(F.lit(0).cast("long").alias("pivot"), "name", "n", F.col("n").alias("size"), "grams")
+    far_rows = placed_members(whole, "grams", far_reach(least, out_of), all_ask=True)
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            apart = np.array([len(np.setxor1d(_grams(x), _grams(y), assume_unique=True)) for x, y in zip(pdf["a_difference"], pdf["b_difference"], strict=True)], np.int64)
+            linked = apart * (out_of + least) <= (pdf["a_n"] + pdf["b_n"]).to_numpy() * (out_of - least)
+            yield pdf.loc[linked, ["a", "b"]]
+
+    for heads in (True, False):
+        ways = meeting_pairs(near_rows, labels, least, out_of, heads)
+        first = ways.join(some, ["pivot", "a"]).join(other, ["pivot", "b"]).mapInPandas(compare, "a long, b long")
+        met = meeting_pairs(far_rows, labels, least, out_of, heads)
+        pairs = met.select(F.col("a").alias("pivot"), F.col("b").alias("name"), F.lit(0).cast("long").alias("n"))
+        second = _near(_to_pivots(pairs, sets), least, out_of).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
+        found = keep(found.unionByName(first).unionByName(second), "links")
+        release(ways, met)
+        labels = _grouped(found) if heads else labels
+    release(marked, near_rows, far_rows)
+    return found
+
+
+def _grouped(found: DataFrame) -> DataFrame:
+    return keep(components(found), "labels").select(F.col("node").alias("name"), "label")
+
+
 def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF) -> tuple[DataFrame, DataFrame]:
     """Rows with their sets' names, and links between different sets (a, b: names).
 
@@ -252,22 +333,19 @@ def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = O
     """
     rows, kept, sets = _named_sets(docs, k, least, out_of)
     near = lambda m: _near(m, least, out_of).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
-    grouped = lambda e: keep(components(e), "labels").select(F.col("node").alias("name"), "label")
     first, tested, labels = None, None, docs.sparkSession.createDataFrame([], "name long, label long")
     for _ in range(ROUNDS):
         pairs = keep(head_pairs(kept, labels, tested, least, out_of), "pairs")
-        found = near(keep(_to_pivots(pairs, sets), "distances"))
+        found = near(_to_pivots(pairs, sets))
         first = keep(found if first is None else first.unionByName(found), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = grouped(first)
-    measured = keep(_to_pivots(cells(kept, labels), sets), "distances")
-    second = keep(first.unionByName(near(measured)), "links")
-    # of each two groups the nearest pair is tried first, then what is still apart
-    for nearest in (True, False):
-        members = measured.join(grouped(second), "name", "left").select("pivot", "name", "n", (1 - F.col("both") / F.col("either")).alias("far"), F.coalesce("label", "name").alias("label"))
-        pairs = keep(_within(members, sets.select("name", "sketch"), nearest, least, out_of), "pairs")
-        second = keep(second.unionByName(near(_to_pivots(pairs, sets))), "links")
-    return rows, second
+        labels = _grouped(first)
+    members = keep(_differences(cells(kept, labels), sets, least, out_of), "differences")
+    release(kept)
+    second = keep(first.unionByName(_linked_to_pivot(members, least, out_of)), "links")
+    third = _joined_regions(members, sets, second, least, out_of)
+    release(members, sets, first, second)
+    return rows, third
 
 
 def join_pairs(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -278,7 +356,7 @@ def join_pairs(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: in
     sets; those of an empty set link with nothing. There are as many pairs as there are links,
     so a group of near copies may have as many as the square of its different sets.
     """
-    rows, kept, sets = _named_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, least, out_of)
+    rows, kept, sets = _named_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, least, out_of, sketches=True)
     apart = docs.sparkSession.createDataFrame([], "name long, label long")
     measured = keep(_to_pivots(cells(kept, apart), sets), "distances")
     members = measured.select("pivot", "name", "n", (1 - F.col("both") / F.col("either")).alias("far"), F.col("name").alias("label"))
@@ -307,7 +385,7 @@ def _linked(docs: DataFrame, k: int, least: int, out_of: int, id_col: str, text_
     least_id = labelled.groupBy("label").agg(F.min("id").alias("least_id"))
     reached = labelled.join(least_id, "label").select("name", "least_id")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("least_id", F.lit(_LAST)))
-    return rows.drop("firsts").join(reached, "name", "left").select("doc_id", "text_key", "name", "n", component.alias("component_id"))
+    return rows.join(reached, "name", "left").select("doc_id", "text_key", "name", "n", component.alias("component_id"))
 
 
 def link_documents(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
