@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -79,8 +81,8 @@ def shingles(text: str | None, k: int = 3) -> frozenset:
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
 
 
-def components(docs: list[tuple[int, str | None]], least: int = 90) -> dict[int, tuple[int, int]]:
-    sets = {d: shingles(t) for d, t in docs}
+def components(docs: list[tuple[int, str | None]], least: int = 90, k: int = 3) -> dict[int, tuple[int, int]]:
+    sets = {d: shingles(t, k) for d, t in docs}
     parent = {d: d for d, _ in docs}
 
     def root(x):
@@ -155,3 +157,46 @@ def secrets(text: str | None) -> list[tuple[int, int, str, int, str]]:
             if len(m[group]) >= least:
                 out.append((m.start(), no, kind, m.end(), m[group]))
     return sorted(out)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hashed(*values, seed: int = 42) -> int:
+    """The engine's 64-bit hash of text, long (int) or int (as a tuple of one) values."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed=seed & ((1 << 64) - 1))
+    return _signed(seed)
+
+
+def order_minhash(text: str | None, k: int = 3, bins: int = 64, bits: int = 24) -> list[int]:
+    """Per filled bin: the bin, and 32 bits of the hash of its two least numbered k-mers in text order."""
+    own = [_hashed(w) for w in words((text or "").strip(" \t\n\x0b\f\r"))]
+    grams = []
+    for i in range(len(own) - k + 1):
+        joined = own[i]
+        for w in own[i + 1 : i + k]:
+            joined = _hashed(joined, w)
+        grams.append(joined)
+    if own and len(own) < k:
+        grams = [_hashed(*own)]
+    seen: dict[int, int] = defaultdict(int)
+    dealt = defaultdict(list)
+    for place, gram in enumerate(grams):
+        name = gram >> bits
+        numbered = _hashed(name, (seen[name],))
+        seen[name] += 1
+        code = (numbered & ~((1 << bits) - 1)) | place
+        dealt[(code & ((1 << 64) - 1)) // ((1 << 64) // bins)].append(code)
+    out = []
+    for b in sorted(dealt, key=lambda b: min(dealt[b])):
+        two = sorted(sorted(dealt[b])[:2], key=lambda c: c & ((1 << bits) - 1))
+        out.append(b << 32 | _hashed(*[c >> bits for c in two]) & 0xFFFFFFFF)
+    return out
+
+
+def likeness(a: list[int], b: list[int]) -> float:
+    either = {x >> 32 for x in a} | {x >> 32 for x in b}
+    return len(set(a) & set(b)) / len(either) if either else 1.0

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -78,6 +79,20 @@ def test_personal_data_context_beyond_neighbours(spark):
     assert all(s.score > alone for r in rows[2:] for s in r.found if s.kind == "card")
 
 
+def test_personal_data_of_long_texts(spark):
+    """Four times the hits take about four times as long."""
+    docs = lambda n: spark.createDataFrame([(i, "é a0@b.com 4111111111111111 " * n) for i in range(8)], "doc_id long, text string").cache()
+    times = {}
+    for n in (500, 4000, 16000):
+        own = docs(n)
+        own.count()
+        start = time.perf_counter()
+        rows = pii.find(own).select(F.size("found").alias("n"), F.array_max(F.transform("found", lambda s: s.end)).alias("end")).collect()
+        times[n] = time.perf_counter() - start
+        assert {(r.n, r.end) for r in rows} == {(2 * n, 28 * n - 1)}
+    assert times[16000] < 7 * times[4000] + 2
+
+
 # passages
 
 
@@ -139,6 +154,63 @@ def test_passages_awkward(spark, awkward):
     assert substring.remove_repeats(awkward.limit(0)).count() == 0
 
 
+def test_passages_of_copies(spark):
+    """Copies of whole texts, also under one id or none, among near copies and short texts."""
+    rng = random.Random(21)
+    base, short = sentence(rng, 130, 10**6), sentence(rng, 12, 10**6)
+    near = base.split()
+    near[60] = "changed"
+    docs = [(9, base), (4, base.replace(" ", "\n ")), (4, base), (7, " ".join(near)), (2, sentence(rng, 20, 10**6)), (1, short), (3, short), (8, base + " more"), (6, "only " + base), (5, sentence(rng, 13, 10**6))]
+    docs += [(50 + i, docs[4][1]) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want, held = {}, {}
+    for d, t in docs:
+        for i in range(len(t.split()) - 12):
+            key = tuple(t.split()[i : i + 13])
+            held.setdefault(key, set()).add(d)
+    for d, t in docs:
+        w, gone = t.split(), set()
+        for i in range(len(w) - 12):
+            if min(held[tuple(w[i : i + 13])]) < d:
+                gone |= set(range(i, i + 13))
+        want.setdefault(d, []).append((len(w), len(gone), plain.sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    got, most = {}, {}
+    for r in rows_of(substring.remove_repeats(frame.repartition(6))):
+        got.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"], r["kept_sha256"]))
+        most[r["doc_id"]] = r["longest_repeat"]
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
+    assert most[9] == most[4] == most[8] == most[6] == 104 and most[7] == 52 and most[1] == most[3] == most[5] == 0 and most[2] == most[50] == 13
+    none = spark.createDataFrame([(None, base), (3, base), (None, base)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in rows_of(substring.remove_repeats(none))) == [(-1, 130), (-1, 130), (3, 0)]
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_asking_for_repeats(clash):
+    """Tasks, buckets and ids in plain Python, with hot hashes and hashes of two windows."""
+    rng, buckets = random.Random(22), 5
+    tasks = [[(min(int(rng.expovariate(0.2)), 30), rng.randrange(3) if clash else 0, rng.randrange(40)) for _ in range(rng.randrange(60))] for _ in range(12)]
+
+    def dealt(batches, *columns):
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["bucket"])
+        return iter([substring.pa.RecordBatch.from_pylist(rows[i : i + 7], schema=columns[0]) for i in range(0, len(rows), 7)])
+
+    asked = [b for t in tasks for b in substring.entries(*[np.array([x[k] for x in t], kind) for k, kind in enumerate((np.uint64, np.uint32, np.int64))], buckets)]
+    told = substring._answer(buckets)(dealt(asked, substring._ASKED))
+    got = {}
+    for b in substring._by_id(dealt(told, substring._ANSWERED)):
+        for r in b.to_pylist():
+            assert r["id"] not in got
+            got[r["id"]] = dict(zip(np.frombuffer(r["again"], np.uint64).tolist(), np.frombuffer(r["earlier"], bool).tolist(), strict=True))
+    held, want = {}, {}
+    for t in tasks:
+        for h, c, i in t:
+            held.setdefault((h, c), set()).add(i)
+    for (h, _), ids in held.items():
+        for i in ids if len(ids) > 1 else ():
+            want.setdefault(i, {})[h] = want.get(i, {}).get(h, False) or min(ids) < i
+    assert got == want
+
+
 # test items
 
 
@@ -177,14 +249,23 @@ def test_leaks_with_edits(spark):
         for d, x in docs:
             words = decontaminate.normal(x).split()
             distance = plain.passage_distance(item, words)
-            short = len(item) < decontaminate.PIECE and len(item) != len(words)
-            if item and not short and distance <= decontaminate.budget(len(item)):
+            if item and distance <= decontaminate.budget(len(item)):
                 want[d, i] = distance
     for chars in (10**6, 200):  # one block of items and many
         got = {(r["doc_id"], r["item_id"]): r["distance"] for r in rows_of(decontaminate.contaminated(frame, rows, chars=chars))}
         assert got == want
-    clean = {r.doc_id for r in decontaminate.clean(frame, rows, chars=200).collect()}
-    assert clean == {d for d, _ in docs} - {d for d, _ in want}
+    for chars in (10**6, 200):
+        clean = decontaminate.clean(frame.withColumn("doc", F.lit(1)), rows, chars=chars)
+        assert clean.columns == ["doc_id", "text", "doc"]
+        assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_leaks_of_short_items_and_unspaced_scripts(spark):
+    items = [(1, "two words"), (2, "one"), (3, "\u6211\u4eec\u5728\u8fd9\u91cc\u5403\u996d"), (4, "ten words of which two may be others than these")]
+    docs = [(1, "some Two, words here"), (2, "two other words"), (3, "\u4eca\u5929\u6211\u4eec\u5728\u8fd9\u91cc\u5403\u996d\u3002"), (4, "\u6211\u4eec\u5728\u8fd9\u91cc\u559d\u996d"), (5, "ten words of what two may be other than these"), (6, "the one"), (7, "someone")]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == {(1, 1, 0), (3, 3, 0), (4, 3, 1), (5, 4, 2), (6, 2, 0)}
+    assert decontaminate.budget(4) == 0 and decontaminate.budget(5) == 1 and decontaminate.budget(10) == 2
 
 
 def test_leaks_awkward(spark, awkward):
@@ -447,9 +528,41 @@ def test_words_are_encoded_as_in_the_text():
 
     path = queries.word_tokenizer()
     texts = ["", " a.b, c.,d ., e. f 1.2. x,\n'S it's IT'S. Á. İİ <|endoftext|>. <|ENDOFTEXT|> <|startoftext|>A.", "\x1cA.\x1c b   c,", "é. É, ß. 5. ５. x.'s y.'S", "A\u0301. I\u0307, \u212a."]
-    coded = tokens.Encoder(path).encode(texts)
-    for text, own in zip(texts, coded, strict=True):
-        assert np.frombuffer(own, "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    coder, whole = tokens.Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(9)
+    parts = ["a", "Word", "don't", "1", "23", ".", ",", " ", "  ", "\n", "\t", "\x0b", "é", "e\u0301", "İ", "ß", "中文", "🎈", "<|", "|>", "\u00a0", "\u2003", "'S", "_", "x" * 40, "\x00", "\u0307", "ſ"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(5000)]
+    assert not coder.whole
+    for _ in range(2):  # with words that are new and words that are known
+        ids, sizes = coder.encode(texts)
+        want = [c.ids for c in whole.encode_batch(texts, add_special_tokens=False)]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_forgotten_words(monkeypatch, small_rows):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 500)
+    coder = tokens.Encoder(queries.word_tokenizer())
+    for _, text in small_rows[:60]:
+        assert coder.encode([text or ""])[0].tolist() == coder._ids(text or "")
+    assert len(coder.old.h) and len(coder.young.h) + len(coder.new.h) < 20_000
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert coder.whole
+    ids, sizes = coder.encode(["Hello  there", "", "x.\n y"])
+    assert sizes.tolist() == [len(coder._ids(t)) for t in ("Hello  there", "", "x.\n y")] and len(ids) == sum(sizes)
+
+
+def test_units_of_equal_hashes(monkeypatch):
+    """If hashes of two words clash, every unit stands for itself."""
+    monkeypatch.setattr(tokens, "run_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    units = tokens.Units([b"ab cd ab", b"", b"x."])
+    assert units.words(np.arange(5)) == [b"ab", b"cd", b"ab", b"x", b"."] and units.first.tolist() == [0, 3, 3, 5]
+    coder = tokens.Encoder(queries.word_tokenizer())
+    assert coder.encode(["ab cd abc", "cd"])[0].tolist() == coder._ids("ab cd abc cd")
 
 
 # fingerprints
@@ -468,6 +581,24 @@ def check_edited(got, docs):
             assert r["near_edited"] == 1 and r["fingerprint"] == r["edited_fingerprint"]
 
 
+def test_fingerprints_against_plain(spark, small_rows):
+    """Whole columns next to a plain Order MinHash."""
+    rng = random.Random(14)
+    docs = [(d, t) for d, t in small_rows if d % 4 == 0]
+    docs += [(5000 + i, " ".join(rng.choice(["a", "b", "c"]) for _ in range(rng.randrange(40)))) for i in range(60)]
+    docs += [(6000, None), (6001, ""), (6002, " \t"), (6003, "one"), (6004, "one two"), (6005, "x " * 3000), (6006, "é中文 🎈\u00a0y \x1c z")]
+    got = {r["doc_id"]: r for r in rows_of(fingerprints.compare_edited(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)))}
+    order = sorted(docs, key=lambda r: -r[0])
+    told = lambda entries: "".join(f"{e:010x}" for e in entries)
+    for i, (d, text) in enumerate(order):
+        text, following = text or "", order[(i + 1) % len(order)][1] or ""
+        third = len(text) // 3
+        own, edited, other = (plain.order_minhash(t) for t in (text, text[: len(text) - third] + following[:third], following))
+        r = got[d]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (told(own), told(edited)), d
+        assert r["near_edited"] == pytest.approx(plain.likeness(own, edited)) and r["near_next"] == pytest.approx(plain.likeness(own, other))
+
+
 def test_fingerprints(spark, small, small_rows):
     got = rows_of(fingerprints.compare_edited(small))
     assert len(got) == len(small_rows)

@@ -134,7 +134,7 @@ def test_url_aliases(spark):
         (6, "http://d.org/fr/", link.format("http://e.test/")),
         (7, "http://e.test", link.format("http://www.y.net/")),
         (8, "http://www.y.net/", ""),
-        (9, "http://f.test/", link.format("relative.html")),
+        (9, "http://f.test/", link.format("mailto:a@b.test")),
         (10, None, link.format("http://y.net/")), (11, "no address", link.format("http://y.net/")), (12, "", ""), (13, "HTTP://A.TEST/1?x#y", ""),
         (14, "http://g.test/1", "<link rel=stylesheet href=http://y.net/><a href='http://y.net/'>canonical</a>"),
         (1, "http://a.test/1", link.format("https://X.net/b")),
@@ -154,6 +154,20 @@ def test_url_aliases(spark):
     assert urls.judge(frame.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_relative_targets(spark):
+    link = '<link rel="canonical" href="{}">'
+    forms = {
+        "page.html": "h.test/a/b/page.html", "./page.html": "h.test/a/b/page.html", "../x": "h.test/a/x", "../../x?y=/../z": "h.test/x?y=/../z", "../../../x": "h.test/x", "..": "h.test/a/", ".": "h.test/a/b/",
+        "?p=1": "h.test/a/b/c?p=1", "/d/../e": "h.test/e", "/d": "h.test/d", "//Other.test/f": "other.test/f", "https://o.test": "o.test/", "d//e": "h.test/a/b/d//e", "r?to=http://x.test/": "h.test/a/b/r?to=http://x.test/",
+        "#top": None, "": None, "mailto:a@b.test": None, "javascript:x": None,
+    }
+    pages = spark.createDataFrame([(i, "http://H.test/a/b/c?q=1#f", link.format(t)) for i, t in enumerate(forms)], "page_id long, url string, html string")
+    got = sorted((r.a, r.b) for r in urls.link_edges(pages).collect())
+    assert got == sorted(("h.test/a/b/c?q=1", b) for b in forms.values() if b)
+    bare = spark.createDataFrame([(1, "http://h.test", link.format("x")), (2, "http://h.test?q", link.format("?r"))], "page_id long, url string, html string")
+    assert {(r.a, r.b) for r in urls.link_edges(bare).collect()} == {("h.test/", "h.test/x"), ("h.test?q", "h.test/?r")}
+
+
 # pipeline
 
 
@@ -166,7 +180,7 @@ def test_pipeline(spark, sf):
     left = {r.doc_id: r for r in known.collect()}
     assert 0.9 * len(kept) < len(left) <= len(kept)
     known = spark.createDataFrame(list(left.values()), docs.schema)
-    group = plain.components([(d, r.text) for d, r in left.items()])
+    group = plain.components([(d, r.text) for d, r in left.items()], least=80, k=5)
     one = corpus_pipeline.one_of_near_copies(spark, known, sf)
     assert one.columns == columns and sorted(r.doc_id for r in one.collect()) == sorted({c for _, c in group.values()})
     clean = corpus_pipeline.without_test_items(spark, one, sf)
