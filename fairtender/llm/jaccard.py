@@ -31,12 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.llm.components import components
 from fairtender.llm.regions import NEAR, far_reach, is_near, meeting_pairs, near_reach, placed_members
 from fairtender.llm.staging import keep, release
+from fairtender.llm.substring import _buckets, _by_bucket, _joined, _Outbox, _sent
 from fairtender.llm.words import portions, scan, text_or_none
 
 SHINGLE, LEAST, OUT_OF = 3, 90, 100
@@ -94,15 +96,60 @@ def documents(docs: DataFrame, k: int, least: int, out_of: int) -> DataFrame:
     return source.mapInPandas(rows, "doc_id long, id long, text_key long, n long, name long, firsts array<long>")
 
 
-def rare_grams(nodes: DataFrame, least: int, out_of: int) -> DataFrame:
-    """The n-grams by which a pair must meet: name, n, central, gram."""
-    grams = nodes.select("name", F.explode("firsts").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    held = grams.join(shared, "gram").groupBy("name").agg(F.sum(F.log("c")).alias("logs"), F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("grams"))
-    rows = held.join(nodes.select("name", "n", F.size("firsts").alias("k")), "name")
+_DEALT = pa.schema([("bucket", pa.int32()), ("gram", pa.binary()), ("name", pa.binary())])
+_SHARED = pa.schema([("name", pa.int64()), ("gram", pa.int64()), ("c", pa.int64())])
+
+
+def _pairs_once(grams: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of n-gram and set, by n-gram."""
+    order = np.lexsort((names, grams))
+    grams, names = grams[order], names[order]
+    fresh = np.ones(len(grams), bool)
+    fresh[1:] = (grams[1:] != grams[:-1]) | (names[1:] != names[:-1])
+    return grams[fresh], names[fresh]
+
+
+def shared_grams(rows: DataFrame, buckets: int) -> DataFrame:
+    """First n-grams that several sets have: name, gram, c (how many).
+
+    Sent in packed rows to the n-grams' buckets; of equal sets a task sends one.
+    """
+
+    def send(grams: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        grams, names = _pairs_once(grams, names)
+        yield _sent(_DEALT, (grams % np.uint64(buckets)).astype(np.int64), [grams, names])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box = _Outbox(send)
+        for batch in batches:
+            lists = batch.column("firsts")
+            sizes = np.diff(lists.offsets.to_numpy())
+            grams = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            yield from box.add(grams, np.repeat(batch.column("name").to_numpy(), sizes))
+        yield from box.flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_bucket(batches):
+            grams, names = _pairs_once(_joined(held, "gram", np.uint64), _joined(held, "name", np.int64))
+            starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
+            sizes = np.diff(starts, append=len(grams))
+            count = np.repeat(sizes, sizes)
+            some = count > 1
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(grams[some].view(np.int64)), pa.array(count[some])], schema=_SHARED)
+
+    dealt = rows.select("name", "firsts").mapInArrow(deal, "bucket int, gram binary, name binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "name long, gram long, c long")
+
+
+def rare_grams(rows: DataFrame, least: int, out_of: int) -> DataFrame:
+    """The n-grams by which a pair must meet: name, n, central, gram. ``rows`` has name, n and first n-grams of sets."""
+    buckets = _buckets(rows, F.col("n") * ((out_of - least) / out_of + EXTRA))
+    held = shared_grams(rows, buckets).groupBy("name").agg(F.sum(F.log("c")).alias("logs"), F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("grams"))
+    sizes = rows.select("name", "n", F.size("firsts").alias("k")).groupBy("name").agg(F.first("n").alias("n"), F.first("k").alias("k"))
+    named = held.join(sizes, "name")
     # of the smallest possible partner, rounded down
     need = 1 + F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * least / out_of) - 1e-9)
-    rare = rows.select("name", "n", (F.col("logs") / F.col("k")).alias("central"), F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - need + 1).cast("int")).alias("grams"))
+    rare = named.select("name", "n", (F.col("logs") / F.col("k")).alias("central"), F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - need + 1).cast("int")).alias("grams"))
     return rare.select("name", "n", "central", F.explode("grams.gram").alias("gram"))
 
 
@@ -256,8 +303,7 @@ def _within(members: DataFrame, sketches: DataFrame, nearest: bool, least: int,
 def _named_sets(docs: DataFrame, k: int, least: int, out_of: int, sketches: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their sets' names, the n-grams by which pairs meet, and the sets that may meet others."""
     full = keep(documents(docs, k, least, out_of), "rows")
-    nodes = full.filter(F.size("firsts") > 0).groupBy("name").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
-    kept = keep(rare_grams(nodes, least, out_of), "grams")
+    kept = keep(rare_grams(full.filter(F.size("firsts") > 0), least, out_of), "grams")
     rows = keep(full.drop("firsts"), "rows")
     release(full)
     named = kept.select("name").distinct()
