@@ -253,3 +253,19 @@ def test_adjusted_r2_and_table(spark):
     table = {r["var"]: r for r in rg.coef_table(tidy, ["x", "_cons"], ["1", "2"]).collect()}
     assert table["_cons"]["coef_1"] == 2.0 and table["_cons"]["coef_2"] == 0.0
     assert table["x"]["row"] == 1 and table["x"]["coef_2"] == 0.0
+
+
+def test_unconnected_parts_need_no_steps_over_all_units(spark, monkeypatch):
+    """Parts of a model that fit into units are solved there, whatever the number of rows."""
+    rng = np.random.default_rng(5)
+    rows = [(f"a{i % 7}-{i % 9}", f"b{i % 7}-{rng.integers(6)}", float(rng.normal()), float(rng.normal()), i) for i in range(420)]
+    df = spark.createDataFrame(rows, "f string, g string, x double, y double, k long")
+    monkeypatch.setattr(rg, "MAX_CELLS", 0)
+    once = by_pos(rg.fit(df, "y", rg.numeric("x"), ("f", "g"), key=["k"], reps=3))
+    monkeypatch.setattr(tw, "_solved_together", None)
+    parts = by_pos(rg.fit(df, "y", rg.numeric("x"), ("f", "g"), key=["k"], reps=3, hot_rows=70))
+    pdf = df.toPandas()
+    x = np.column_stack([np.ones(len(pdf)), pdf.x, pd.get_dummies(pdf.f).to_numpy(float), pd.get_dummies(pdf.g).to_numpy(float)])
+    assert parts.coef[1] == pytest.approx(np.linalg.lstsq(x, pdf.y.to_numpy(), rcond=None)[0][1], rel=1e-6)
+    assert parts.df_m[0] == np.linalg.matrix_rank(x) - 1
+    np.testing.assert_allclose(parts[["coef", "stderr", "df_m"]], once[["coef", "stderr", "df_m"]], rtol=1e-6)
