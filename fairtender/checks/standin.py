@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairtender.functions.codes import item_code, month_index, product_code, quarter_index
 from fairtender.operators.shape import union_marked
-from fairtender.operators.skew import attach_stats, number_rows
+from fairtender.operators.skew import attach_stats, dealt, number_rows
 from fairtender.plans.contracts import (
     CONTRACT,
     ITEM_ORDER,
@@ -100,7 +100,7 @@ SELECT * FROM contract_items WHERE sector = 'ASIA' AND objetocontractual IN ('Bi
 
 def price_table(spark: SparkSession, sf: str) -> DataFrame:
     """Long prices: every third item number unreported, every seventh contract without answer."""
-    items = contract_items(spark, sf).select(CONTRACT, *ITEM_ORDER)
+    items = dealt(contract_items(spark, sf).select(CONTRACT, *ITEM_ORDER), [CONTRACT])
     counted = attach_stats(items, [CONTRACT], {"item_count": F.count(F.lit(1))})
     numbered = number_rows(counted, [CONTRACT], ITEM_ORDER, "identified_price_id")
     price = F.when((F.col("n_item") % 3 == 0) | (F.col(CONTRACT) % 7 == 0), None).otherwise(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairtender.operators.skew import HOT_ROWS, lookup, number_rows
+from fairtender.operators.skew import HOT_ROWS, dealt, lookup, number_rows
 
 
 def union_marked(first: DataFrame, second: DataFrame, mark: str | None = None) -> DataFrame:
@@ -41,7 +41,8 @@ def to_wide_banded(
     A group of up to ``width`` rows gives one row (``band`` 0); a larger one goes on in
     further bands, so nothing is cut off and no row grows with its group.
     """
-    numbered = number_rows(df.select(*index, *dict.fromkeys([*order, *values])), index, order, "_j", hot_rows)
+    slim = dealt(df.select(*index, *dict.fromkeys([*order, *values])), index, hot_rows)
+    numbered = number_rows(slim, index, order, "_j", hot_rows)
     placed = numbered.withColumn("band", F.floor((F.col("_j") - 1) / width)).withColumn(
         "_slot", (F.col("_j") - 1) % width + 1
     )

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from fairtender.session import stage
 
 HOT_ROWS = 5_000_000
+#: rows of ordinary keys that one task is to sort or group
+TASK_ROWS = 1_000_000
 
 
 def same_key(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -55,6 +57,19 @@ def hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> tupl
     return hot, int(hot.agg(F.sum("_n")).first()[0])
 
 
+def dealt(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows laid out by key over as many tasks as their number needs, for group-wise steps that follow.
+
+    The session's shuffle partitions are the least; if they do, or a key is hot, ``df`` is left as it is.
+    """
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    largest, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    tasks = -(-(rows or 0) // TASK_ROWS)
+    if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) or largest > hot_rows:
+        return df
+    return df.repartition(tasks, *by)
+
+
 def split_hot(df: DataFrame, by: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary keys and rows of hot keys, without a shuffle."""
     keys = hot.drop("_n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fairtender.operators import rows as rw
 from fairtender.operators import shape
+from fairtender.operators import skew as sk
 from fairtender.operators.merge import NotAKey, check_unique, distinct_first, merge
 from fairtender.operators.skew import attach_stats, lookup, number_rows
 
@@ -143,3 +144,14 @@ def test_empty_table(spark):
     assert attach_stats(empty, ["k"], {"n": F.count("v")}).count() == 0
     assert rw.panel_filter(empty, "k", "d").count() == 0
     assert rw.sample_n_by(empty, 5, ["k"], ["o"]).count() == 0
+
+
+def test_rows_are_dealt_over_as_many_tasks_as_they_need(spark, monkeypatch):
+    """More rows than the session's partitions should sort go to more tasks, unless a key is hot."""
+    df = spark.range(400).selectExpr("id % 90 AS k", "id AS v")
+    monkeypatch.setattr(sk, "TASK_ROWS", 20)
+    assert sk.dealt(df, ["k"]).rdd.getNumPartitions() == 20
+    assert sk.dealt(df, ["k"], hot_rows=2).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    wide = shape.to_wide_banded(df, ["k"], ["v"], ["v"], 3)
+    assert wide.rdd.getNumPartitions() == 20
+    assert sorted(v for r in wide.collect() for v in r[2:] if v is not None) == list(range(400))
