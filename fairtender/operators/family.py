@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.functions.draws import key_hash, replicate_weights
-from fairtender.operators.moments import FIRST, HOT, LONG, WORK, add_up, arrow_rows, cross_products, matrix, place_by_level, texts
+from fairtender.operators.moments import FIRST, HOT, LONG, add_up, arrow_rows, cross_products, matrix, place_by_level, rows_at_once, texts
 from fairtender.operators.regress import COEFS, Term, cell_columns, normal_equations, summarise
 from fairtender.operators.skew import HOT_ROWS
 from fairtender.operators.solve import least_squares
@@ -88,7 +88,7 @@ STATS_SQL = "model string, level string, values binary"
 def _packed(width: int, reps: int, by_level: bool):
     """Per task, mark and, with ``by_level``, level: sums of the columns; without a level: their cross products."""
     upper = np.triu_indices(width)
-    chunk = max(64, WORK // (reps + 1))
+    chunk = rows_at_once(width, reps)
 
     def row(name: str, level: str | None, values: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((name, level, values.tobytes()), _STATS, strict=True)], schema=_STATS)

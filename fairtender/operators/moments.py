@@ -37,8 +37,8 @@ KEYS = ["model", "rep", "part", "kind", "i", "j"]
 ORDINARY, HOT, FIRST = 0, 1, 2
 # a level with a smaller part of the rows is no burden to one task
 LARGE_PART = 10_000
-# doubles of weights worked on at once, so that they stay in the cache
-WORK = 200_000
+# doubles of weights worked on at once, so that they stay in the cache, and of products of columns
+WORK, PRODUCTS = 200_000, 4_000_000
 
 
 def _long(
@@ -61,6 +61,11 @@ def _long(
     )
 
 
+def rows_at_once(width: int, reps: int) -> int:
+    """So few that neither their weights nor the products of their columns take much memory."""
+    return max(64, min(WORK // (reps + 1), PRODUCTS // (width * (width + 1) // 2)))
+
+
 class _Sums:
     """Running sums of one model in one task."""
 
@@ -120,7 +125,7 @@ def arrow_rows(rows: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _accumulate(width: int, reps: int, absorb: bool):
-    chunk = max(64, WORK // (reps + 1))
+    chunk = rows_at_once(width, reps)
     schema = pa.schema(
         [("model", pa.string()), ("rep", pa.int32()), ("part", pa.string()), ("kind", pa.int32())]
         + [("i", pa.int32()), ("j", pa.int32()), ("s", pa.float64()), ("x", pa.float64())]
