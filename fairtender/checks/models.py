@@ -224,10 +224,10 @@ MIXED = {
 )
 def bayes_boot_weights(spark, sf):
     drawn = rg.scaled_weights(rg.boot_weights(contract_items(spark, sf), KEY, REPS), reps=REPS)
-    long = drawn.select(F.posexplode("rw").alias("rep", "w"))
-    return long.groupBy((F.col("rep") + 1).alias("rep")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("w"), 6).alias("mean_w"),
-        F.round(F.sum(F.col("w") * F.col("w")), 3).alias("squares"), F.round(F.max("w"), 6).alias("largest"),
+    sums = rg.weight_sums(drawn, reps=REPS)
+    return sums.select(
+        (F.col("rep") + 1).alias("rep"), "n", F.round(F.col("total") / F.col("n"), 6).alias("mean_w"),
+        F.round("squares", 3).alias("squares"), F.round("largest", 6).alias("largest"),
     )
 
 

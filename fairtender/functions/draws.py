@@ -24,10 +24,18 @@ def exponential(hashes: np.ndarray, reps: np.ndarray) -> np.ndarray:
     """Exp(1) draws, rows by replicates, from the row hashes."""
     with np.errstate(over="ignore"):
         z = hashes.astype(np.uint64)[:, None] + reps.astype(np.uint64)[None, :] * STEP
-        z = (z ^ (z >> np.uint64(30))) * MIX_1
-        z = (z ^ (z >> np.uint64(27))) * MIX_2
+        z ^= z >> np.uint64(30)
+        z *= MIX_1
+        z ^= z >> np.uint64(27)
+        z *= MIX_2
         z ^= z >> np.uint64(31)
-    return -np.log(((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+    z >>= np.uint64(11)
+    # in place, as making room costs more than the arithmetic
+    out = z.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    np.log(out, out=out)
+    return np.negative(out, out=out)
 
 
 def replicate_weights(hashes: np.ndarray, first: int, last: int) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from fairtender.functions.draws import key_hash, replicate_weights
 from fairtender.operators import tall
-from fairtender.operators.moments import cross_products
+from fairtender.operators.moments import WORK, cross_products
 from fairtender.operators.skew import HOT_ROWS
 from fairtender.operators.solve import least_squares, normal_p, student_p
 from fairtender.operators.twoway import cross_products_two
@@ -240,19 +240,63 @@ def did_cells(df: DataFrame, y: str, treat: str = "contratacion", post: str = "d
     )
 
 
+def _lists(rows: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """Rows of a matrix as lists."""
+    count, width = rows.shape
+    bounds = pa.array(np.arange(0, count * width + 1, width, dtype="int32") if width else np.zeros(count + 1, "int32"))
+    return pa.ListArray.from_arrays(bounds, pa.array(rows.ravel()), mask=None if missing is None else pa.array(missing))
+
+
 def boot_weights(df: DataFrame, key: Sequence[str], reps: int = 300, seed: int = 42, out: str = "rw") -> DataFrame:
     """Replicate weights of every row as an array, Exp(1) draws not yet scaled."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def draw(hashes: pd.Series) -> pd.Series:
-        return pd.Series(list(replicate_weights(hashes.to_numpy(), 1, reps)))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def draw(hashes: pa.Array) -> pa.Array:
+        own = hashes.to_numpy(zero_copy_only=False)
+        rows, step = np.empty((len(own), reps)), max(64, WORK // (reps + 1))
+        for at in range(0, len(own), step):
+            rows[at : at + step] = replicate_weights(own[at : at + step], 1, reps)
+        return _lists(rows)
 
     return df.withColumn(out, draw(key_hash(seed, key)))
 
 
+def weight_sums(df: DataFrame, weights: str = "rw", reps: int = 300) -> DataFrame:
+    """Per replicate (``rep`` from 0) number, sum, sum of squares and largest of the rows' weights.
+
+    Tasks add up whole batches, so rows do not multiply by the replicates.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, squares, largest = 0, np.zeros(reps), np.zeros(reps), np.full(reps, -np.inf)
+        for batch in batches:
+            rows = batch.column(0).drop_null()
+            if len(rows):
+                w = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), reps)
+                n += len(rows)
+                total += w.sum(axis=0)
+                squares += np.einsum("ij,ij->j", w, w)
+                largest = np.maximum(largest, w.max(axis=0))
+        if n:
+            told = {"rep": np.arange(reps, dtype="int32"), "n": np.full(reps, n), "total": total, "squares": squares, "largest": largest}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in told.items()})
+
+    parts = df.select(weights).mapInArrow(run, "rep int, n bigint, total double, squares double, largest double")
+    return parts.groupBy("rep").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("largest").alias("largest"))
+
+
 def scaled_weights(df: DataFrame, weights: str = "rw", reps: int = 300) -> DataFrame:
     """The same divided by each replicate's mean, so that every replicate averages 1."""
-    means = df.agg(*[F.avg(F.col(weights)[r]).alias(f"m{r}") for r in range(reps)]).first()
-    return df.withColumn(weights, F.zip_with(weights, F.array(*[F.lit(m) for m in means]), lambda w, m: w / m))
+    means = np.full(reps, np.nan)
+    for r in weight_sums(df, weights, reps).collect():
+        means[r["rep"]] = r["total"] / r["n"]
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def scale(rows: pa.Array) -> pa.Array:
+        missing = rows.is_null().to_numpy(zero_copy_only=False)
+        out = np.zeros((len(rows), reps))
+        out[~missing] = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, reps) / means
+        return _lists(out, missing)
+
+    return df.withColumn(weights, scale(weights))
 
 
 # ---- families of models ------------------------------------------------------------------

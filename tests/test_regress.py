@@ -269,3 +269,20 @@ def test_unconnected_parts_need_no_steps_over_all_units(spark, monkeypatch):
     assert parts.coef[1] == pytest.approx(np.linalg.lstsq(x, pdf.y.to_numpy(), rcond=None)[0][1], rel=1e-6)
     assert parts.df_m[0] == np.linalg.matrix_rank(x) - 1
     np.testing.assert_allclose(parts[["coef", "stderr", "df_m"]], once[["coef", "stderr", "df_m"]], rtol=1e-6)
+
+
+def test_sums_of_weights_go_by_batch(spark):
+    """One row per replicate and task, and a row without weights does not count."""
+    df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 5.0],), (None,)], "rw array<double>").coalesce(1)
+    out = rg.weight_sums(df, reps=2).orderBy("rep").collect()
+    assert [tuple(r) for r in out] == [(0, 2, 4.0, 10.0, 3.0), (1, 2, 7.0, 29.0, 5.0)]
+    assert [r.rw for r in rg.scaled_weights(df, reps=2).collect()] == [[0.5, 2 / 3.5], [1.5, 5 / 3.5], None]
+
+
+def test_products_of_many_columns_take_little_memory():
+    """A batch of wide rows is worked on in parts also without replicates."""
+    from fairtender.operators.moments import PRODUCTS, rows_at_once
+
+    for width in (3, 75, 130):
+        assert 64 <= rows_at_once(width, 0) <= PRODUCTS // (width * (width + 1) // 2)
+    assert rows_at_once(3, 300) == 664
