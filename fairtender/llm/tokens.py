@@ -11,10 +11,11 @@ its range), the document id, ``ids``.
 
 from __future__ import annotations
 
+import codecs
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairtender.llm.staging import keep
-from fairtender.llm.words import run_hashes, word_bounds
+from fairtender.llm.words import run_hashes, text_portions, word_bounds
 
 #: words that a worker remembers per generation, at some 40 bytes each
 CACHED_WORDS = 1_500_000
@@ -31,9 +32,19 @@ PORTION = 6 << 20
 #: what a tokenizer must encode alike in one piece and word by word, or it gets whole texts
 PROBE = """It's 12.5, isn't it?  We'll SEE\tthe\u00a0d\u00e9j\u00e0-vu... of x,y 3rd. a.b,c! (42) \u4e2d\u6587 \U0001f388 e\u0301 \u0130 'S I'm
 \x0bend. , . ,. A1,B2. <b> \u017f"""
+#: signs of which a run at a word's end is a unit of its own; no apostrophe, and none that names of special tokens end with
+_SIGNS_CUT = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: the longest such run
+RUN = 16
+PROBE_SIGNS = " ".join([*(f"ab{chr(c)} 7{chr(c)} qu\u00e9{chr(c)}" for c in _SIGNS_CUT), "Well?!... x,%%% l\u00e0*** (a)] it's), \u00d7?? it'. a|>. -- ...b"])
 _ALNUM, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_STOP[[44, 46]] = True
+_STOP[list(_SIGNS_CUT)] = True
+#: second bytes of the letters from U+00C0 to U+00FF
+_LATIN = np.zeros(256, bool)
+_LATIN[[b for b in range(128, 192) if b not in (0x97, 0xB7)]] = True
+#: new words encoded at once
+AT_ONCE = 1000
 
 
 def _lengths_to_bounds(lengths: np.ndarray) -> np.ndarray:
@@ -73,8 +84,23 @@ def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[fresh], which
 
 
+def _signs_at_end(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many signs each word ends with, 0 if they do not follow a letter or digit."""
+    count = np.zeros(len(start), np.int64)
+    open_ = np.flatnonzero((end - start > 1) & _STOP[data[end - 1]])
+    for k in range(1, RUN + 1):
+        before = end[open_] - 1 - k
+        some = before >= start[open_]
+        open_, before = open_[some], before[some]
+        byte = data[before]
+        latin = _LATIN[byte] & (before > start[open_]) & (data[np.maximum(before - 1, 0)] == 0xC3)
+        count[open_[_ALNUM[byte] | latin]] = k
+        open_ = open_[_STOP[byte]]
+    return count
+
+
 class Units:
-    """Words of texts, a stop or comma at a word's end apart, and which of them are equal.
+    """Words of texts, the signs at a word's end apart, and which of them are equal.
 
     Words are told apart by 64 bits of hash with their length and both their ends.
     """
@@ -83,11 +109,12 @@ class Units:
         self.joined = b" ".join(raw) + b" "
         data = np.frombuffer(self.joined, np.uint8)
         start, end = word_bounds(data)
-        cut = (end - start > 1) & _STOP[data[end - 1]] & _ALNUM[data[end - 2]]
+        signs = _signs_at_end(data, start, end)
+        cut = signs > 0
         at = np.arange(len(start)) + np.cumsum(cut) - cut
         self.start, self.end = (np.empty(len(start) + int(cut.sum()), np.int64) for _ in range(2))
-        self.start[at], self.end[at] = start, end - cut
-        self.start[at[cut] + 1], self.end[at[cut] + 1] = end[cut] - 1, end[cut]
+        self.start[at], self.end[at] = start, end - signs
+        self.start[at[cut] + 1], self.end[at[cut] + 1] = end[cut] - signs[cut], end[cut]
         self.first = np.searchsorted(self.start, np.cumsum([0, *[len(r) + 1 for r in raw]]))
         hashes = run_hashes(data, self.start, self.end)
         size, ends = self.end - self.start, _ends_of_words(self.joined, self.start, self.end)
@@ -132,10 +159,10 @@ class Table:
 class Encoder:
     """Encodes texts word by word and remembers words.
 
-    For tokenizers that take capital letters as small ones, split at white space and before a
-    stop or comma that ends a word, and never carry a token or a rule across a split, as the
+    For tokenizers that take capital letters as small ones, split at white space and before
+    signs that end a word, and never carry a token or a rule across a split, as the
     given one does; the ids are then those of the whole text. A tokenizer that encodes ``PROBE``
-    otherwise in whole than word by word gets whole texts. Texts that may hold the name of
+    or ``PROBE_SIGNS`` otherwise in whole than word by word gets whole texts. Texts that may hold the name of
     a special token keep their capitals.
 
     Words are remembered in three tables: new ones, those of the present generation, and those
@@ -147,7 +174,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.new, self.young, self.old = Table.empty(), Table.empty(), Table.empty()
-        probes = [PROBE, PROBE.upper(), " ".join(reversed(PROBE.split(" ")))]
+        self.pieces, self.ends = _marked_ends(self.tokenizer)
+        probes = [PROBE, PROBE.upper(), " ".join(reversed(PROBE.split(" "))), PROBE_SIGNS, PROBE_SIGNS.upper()]
         self.whole = any(self._by_words([p.encode()])[0].tolist() != self._ids(p) for p in probes)
 
     def _ids(self, text: str) -> list[int]:
@@ -155,18 +183,44 @@ class Encoder:
 
     def _coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of words; those that are one piece to the splitter go to the model at once."""
-        coded, tokenize = [None] * len(words), self.tokenizer.model.tokenize
-        for k, w in enumerate(words):
-            if w.isalpha() and w.islower():
-                coded[k] = [t.id for t in tokenize(w.decode())]
-            elif _one_word(w):
-                coded[k] = [t.id for t in tokenize(w.decode("latin-1").translate(_SIGNS))]
-        other = [k for k, c in enumerate(coded) if c is None]
-        for k, c in zip(other, self.tokenizer.encode_batch_fast([words[k].decode() for k in other], add_special_tokens=False), strict=True):
-            coded[k] = c.ids
-        sizes = np.fromiter(map(len, coded), np.int32, len(coded))
+        joined = b" ".join(words).decode()
+        # holds for a word if it holds for all
+        small, usual = joined == joined.lower(), unicodedata.is_normalized("NFC", joined)
+        texts = joined.split(" ") if words else []
+        one = [t.isalpha() and (small or t == t.lower()) and (usual or unicodedata.is_normalized("NFC", t)) for t in texts]
+        single = np.array(one, bool)
+        sizes, parts = np.zeros(len(words), np.int64), []
+        for some, coded in ((single, self._pieces(list(compress(words, one)))), (~single, self._texts(list(compress(texts, (~single).tolist()))))):
+            sizes[some] = coded[0]
+            parts.append((some, coded[1]))
+        bounds = _lengths_to_bounds(sizes)
+        ids = np.empty(bounds[-1], np.int32)
+        for some, own in parts:
+            ids[_spread(bounds[:-1][some], sizes[some])] = own
+        return sizes.astype(np.int32), ids
+
+    def _texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of texts, each by itself."""
+        coded = [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         return sizes, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
 
+    def _pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words that are one piece each.
+
+        Where the last token of a piece is marked as such, many words go to the model as one
+        text, written as byte-level tokenizers write them.
+        """
+        if self.pieces is None:
+            tokenize = self.tokenizer.model.tokenize
+            coded = [[t.id for t in tokenize(codecs.charmap_decode(w, "strict", _SIGNS)[0])] for w in words]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            return sizes, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
+        texts = [codecs.charmap_decode(b" ".join(words[k : k + AT_ONCE]), "strict", _SIGNS)[0] for k in range(0, len(words), AT_ONCE)]
+        ids = [np.array(c.ids, np.int32) for c in self.pieces.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.int32), *ids])
+        return np.diff(np.flatnonzero(self.ends[ids]), prepend=-1), ids
+
     def _known(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of the different units, those not known so far learnt."""
         size, missing, found = np.zeros(len(units.hash), np.int64), np.arange(len(units.hash)), []
@@ -210,20 +264,30 @@ class Encoder:
         return np.array([i for ids in coded for i in ids], np.int32), np.array([len(ids) for ids in coded], np.int64)
 
 
-def _byte_signs() -> dict[int, int]:
-    """The sign by which byte-level tokenizers write each byte: itself if it is printed, else the next one from 256 on."""
+def _byte_signs() -> str:
+    """The signs by which byte-level tokenizers write bytes: itself if it is printed, else the next one from 256 on; a space stays."""
     printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in printed]
-    return {b: 256 + k for k, b in enumerate(others)}
+    signs = {b: chr(256 + k) for k, b in enumerate(others)} | {32: " "}
+    return "".join(signs.get(b, chr(b)) for b in range(256))
 
 
 _SIGNS = _byte_signs()
 
 
-def _one_word(word: bytes) -> bool:
-    """Whether a word is nothing but small letters in their usual form."""
-    text = word.decode()
-    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+def _marked_ends(tokenizer) -> tuple[object | None, np.ndarray]:
+    """A tokenizer of the same model that splits at spaces only, and which ids end a piece; None
+    if the model does not mark ends or does not know all signs."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    vocab, suffix = tokenizer.get_vocab(with_added_tokens=False), getattr(tokenizer.model, "end_of_word_suffix", None)
+    ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+    if not suffix or any(c not in vocab or c + suffix not in vocab for c in _SIGNS if c != " "):
+        return None, ends
+    ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+    pieces = Tokenizer(tokenizer.model)
+    pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    return pieces, ends
 
 
 _encoders: dict[str, Encoder] = {}
@@ -245,16 +309,6 @@ def _with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, bounds
 
 
-def _portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Rows of record batches, about ``PORTION`` bytes of text at a time."""
-    for batch in batches:
-        group = np.cumsum(np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: len(batch) + 1]).astype(np.int64)) // PORTION if len(batch) else np.zeros(0)
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a < b:
-                yield batch.slice(a, b - a)
-
-
 _ROWS = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -280,7 +334,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, at = TaskContext.get().partitionId(), 0
         own = encoder(tokenizer)
-        for batch in _portions(batches, "text"):
+        for batch in text_portions(batches, "text", PORTION):
             ids, bounds = _with_end(*own.encode(batch.column("text").cast(pa.binary()).to_pylist()), end_id)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
             parts = pa.array(np.full(len(batch), part, np.int32))

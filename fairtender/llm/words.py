@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -114,3 +116,13 @@ def portions(frames: Iterator[pd.DataFrame], text: str, chars: int = BLOCK) -> I
         group = sizes // chars
         for g in np.unique(group) if len(pdf) else []:
             yield pdf[group == g]
+
+
+def text_portions(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of record batches in portions of about ``size`` bytes of text."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                yield batch.slice(a, b - a)

@@ -632,3 +632,34 @@ def test_fingerprints_awkward(spark, awkward):
     assert fingerprints.compare_edited(awkward.limit(0)).count() == 0
     alone = rows_of(fingerprints.compare_edited(awkward.filter("doc_id = 7")))
     assert alone[0]["near_next"] == 1
+
+
+def test_signs_at_word_ends_are_units():
+    units = tokens.Units(["done!! done??, (done... qué*** done it' a|> 7). --".encode()])
+    words = set(units.words(np.arange(len(units.some))))
+    assert words == {b"done", b"!!", b"??,", b"(done", b"...", "qué".encode(), b"***", b"it'", b"a|>", b"7", b").", b"--"}
+
+
+def test_words_of_one_piece_reach_the_model_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    coder, whole = tokens.Encoder(queries.word_tokenizer()), Tokenizer.from_file(queries.word_tokenizer())
+    assert coder.pieces is not None and not coder.whole
+    monkeypatch.setattr(tokens, "AT_ONCE", 3)
+    texts = ["plain words été 中文 ß dje и é İx QuÉ!!", "é̸? ≠ a.b $$$", ""]
+    want = [c.ids for c in whole.encode_batch(texts, add_special_tokens=False)]
+    ids, sizes = coder.encode(texts)
+    assert [len(w) for w in want] == sizes.tolist() and ids.tolist() == sum(want, [])
+    coder = tokens.Encoder(queries.word_tokenizer())
+    coder.pieces = None  # a model that does not mark ends
+    assert coder.encode(texts)[0].tolist() == sum(want, [])
+
+
+def test_portions_of_text_are_bounded():
+    import pyarrow as pa
+
+    from fairtender.llm.words import text_portions
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 40, None, "b" * 70, "", "c" * 90, "d"])], names=["k", "text"])
+    got = list(text_portions([batch.slice(1), batch.slice(0, 0)], "text", 50))
+    assert [b.column("k").to_pylist() for b in got] == [[1], [2, 3], [4, 5]]
