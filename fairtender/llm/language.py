@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairtender.llm.words import mix
+from fairtender.llm.words import mix, text_portions
 
 BUCKETS = 1 << 15
 #: labelled rows that a model is fitted on, at most about; drawn by a hash of the text
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str | Column], text_col:
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_portions(batches, "_text", CHARS):
             langs, scores, spans = label(model, b.column("_text").to_pylist(), penalty)
             own = [b.column(n) for n in b.schema.names if n != "_text"]
             names = [n for n in b.schema.names if n != "_text"]
@@ -271,7 +271,7 @@ def known_language(docs: DataFrame, model: Model, least: float = 0.3, text_col:
     """The rows of ``docs``, all columns, whose language is found with a score of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_portions(batches, text_col, CHARS):
             langs, scores, _ = label(model, b.column(text_col).to_pylist())
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 

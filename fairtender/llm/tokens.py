@@ -26,9 +26,9 @@ from fairtender.llm.staging import keep
 from fairtender.llm.words import run_hashes, text_portions, word_bounds
 
 #: words that a worker remembers per generation, at some 40 bytes each
-CACHED_WORDS = 1_500_000
-#: bytes of text encoded at once
-PORTION = 6 << 20
+CACHED_WORDS = 500_000
+#: bytes of text encoded at once; a worker needs some 30 times as many
+PORTION = 2 << 20
 #: what a tokenizer must encode alike in one piece and word by word, or it gets whole texts
 PROBE = """It's 12.5, isn't it?  We'll SEE\tthe\u00a0d\u00e9j\u00e0-vu... of x,y 3rd. a.b,c! (42) \u4e2d\u6587 \U0001f388 e\u0301 \u0130 'S I'm
 \x0bend. , . ,. A1,B2. <b> \u017f"""
