@@ -34,13 +34,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def contract_items(spark: SparkSession, sf: str) -> DataFrame:
     day = F.to_date("o_orderdate")
-    joined = (
-        table(spark, sf, "lineitem")
-        .join(table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey"))
-        .join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey"))
-        .join(table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey"))
-        .join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
-    )
+    # the smallest tables first, so that no row of lineitem moves more than once
+    regions = table(spark, sf, "nation").join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
+    entities = table(spark, sf, "customer").join(regions, F.expr("c_nationkey = n_nationkey"))
+    signed = table(spark, sf, "orders").join(entities, F.expr("o_custkey = c_custkey"))
+    joined = table(spark, sf, "lineitem").join(signed, F.expr("l_orderkey = o_orderkey"))
     return joined.select(
         F.col("o_custkey").alias("codigoconvocatoria"),
         F.col("o_orderkey").alias(CONTRACT),

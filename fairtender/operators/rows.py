@@ -41,8 +41,8 @@ def drop_all_missing(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if filled[c] is False])
 
 
-def panel_filter(df: DataFrame, unit: str, post: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keep units with rows on both sides of the break ``post`` (0/1)."""
+def panel_filter(df: DataFrame, unit: str, post: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Keep units with rows on both sides of the break ``post`` (0/1); ``hot_rows`` as in ``attach_stats``."""
     marked = attach_stats(
         df, [unit], {"_after": F.sum(post), "_before": F.sum(F.abs(1 - F.col(post)))}, hot_rows
     )

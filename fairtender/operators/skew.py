@@ -86,10 +86,10 @@ def _broadcast_join(rows: DataFrame, side: DataFrame, on: Sequence[str], how: st
 
 
 def attach_stats(
-    df: DataFrame, by: Sequence[str], stats: dict[str, Column], hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], stats: dict[str, Column], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
-    """Add to every row aggregates of its group."""
-    hot, _ = hot_keys(df, by, hot_rows)
+    """Add to every row aggregates of its group; ``hot_rows`` None: no key is known to be hot."""
+    hot = None if hot_rows is None else hot_keys(df, by, hot_rows)[0]
     window = Window.partitionBy(*by)
     over = [c.over(window).alias(k) for k, c in stats.items()]
     if hot is None:

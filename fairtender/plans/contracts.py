@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairtender.functions.codes import class_code, subsector, year_gap
@@ -12,7 +12,7 @@ from fairtender.functions.prices import parse_prices, spread_prices
 from fairtender.operators.merge import distinct_first, merge
 from fairtender.operators.rows import at_most, drop_empty_if_filled, indicator, panel_filter, panel_mark, present
 from fairtender.operators.shape import union_marked
-from fairtender.operators.skew import HOT_ROWS, attach_stats, lookup, number_rows
+from fairtender.operators.skew import HOT_ROWS, attach_stats, hot_keys, lookup, number_rows, total_order
 from fairtender.session import stage
 
 CONTRACT = "n_cod_contrato"
@@ -90,8 +90,30 @@ def attach_prices(items: DataFrame, spread: DataFrame, order: Sequence[str] = IT
     return numbered.join(spread, [CONTRACT, "item_group"], "inner")
 
 
+def priced_items(items: DataFrame, answers: DataFrame, answer: str, dialect: str = "main", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Items with the price of their number in the contract's answer, full copies removed.
+
+    Items are moved once, by contract, to be counted, numbered, priced and compared. If a contract is
+    hot, its items meet its prices by contract and number.
+    """
+    if hot_keys(items, [CONTRACT], hot_rows)[0] is not None:
+        return attach_prices(items, answer_prices(answers, item_counts(items), answer, dialect), hot_rows=hot_rows).distinct()
+    whole = Window.partitionBy(CONTRACT)
+    numbered = items.filter(F.col(CONTRACT).isNotNull()).select(
+        "*",
+        F.row_number().over(whole.orderBy(*total_order(ITEM_ORDER))).cast("long").alias("item_group"),
+        F.count(F.when(present("urlcontrato"), F.col("n_item"))).over(whole).alias("_count"),
+    )
+    # no item with a document, no price
+    joined = numbered.filter("_count > 0").join(answers.select(CONTRACT, F.col(answer).alias("_answer")), [CONTRACT], "left")
+    own = F.filter(spread_prices(parse_prices(F.col("_answer"), dialect), F.col("_count")), lambda g: g["item_group"] == F.col("item_group"))
+    found = joined.withColumn("_own", own).filter(F.size("_own") > 0)
+    rest = [c for c in numbered.columns if c not in (CONTRACT, "item_group", "_count")]
+    return found.select(CONTRACT, "item_group", *rest, F.col("_own")[0]["mean_unit_price"].alias("mean_unit_price")).distinct()
+
+
 def old_supplier(
-    df: DataFrame, entity: str, supplier: str, date: str, year: str, base_years: Sequence[int], hot_rows: int = HOT_ROWS
+    df: DataFrame, entity: str, supplier: str, date: str, year: str, base_years: Sequence[int], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """1 if the pair first dealt in the base years, at least a calendar year before."""
     first = F.min(F.when(F.col(year).isin(*base_years), F.col(date)))
@@ -120,23 +142,24 @@ def regression_base(
 
     ``sources`` are (items, answers) pairs, stacked with a source mark ``temp_1`` when
     there are two; full copies within a source are removed. The items are read several
-    times, so stage them first; the priced items are staged here.
+    times, so stage them first; the priced items are staged here. Wide rows are moved three times:
+    by contract, by entity, and by item code.
     """
-    sources = [(stage(items), answers) for items, answers in sources]
-    parts = [
-        attach_prices(items, answer_prices(answers, item_counts(items), answer, dialect), hot_rows=hot_rows)
-        for items, answers in sources
-    ]
+    parts = [priced_items(items, answers, answer, dialect, hot_rows) for items, answers in sources]
     stacked = parts[0]
     for part in parts[1:]:
         stacked = union_marked(stacked, part, "temp_1")
-    priced = stage(stacked.distinct())
+    # two sources differ by their mark
+    priced = stage(stacked if len(parts) < 3 else stacked.distinct())
+    calm = hot_keys(priced, ["codigoentidad"], hot_rows)[0] is None
+    # what is done by entity and supplier needs no other layout than that by entity
+    laid, own_rows = (priced.repartition("codigoentidad"), None) if calm else (priced, hot_rows)
     dated = old_supplier(
-        priced, "codigoentidad", "ruc_proveedor", "fecha_suscripcion_contrato", "year_suscripcion", base_years, hot_rows
+        laid, "codigoentidad", "ruc_proveedor", "fecha_suscripcion_contrato", "year_suscripcion", base_years, own_rows
     )
-    coded = add_subsector(dated, catalogue, list(catalogue_on), classes, hot_rows)
-    reported = coded.withColumn("reporte", indicator(F.col("mean_unit_price").isNotNull()))
-    return panel_filter(reported, "codigoentidad", "d_pandemia", hot_rows)
+    panel = stage(panel_filter(dated, "codigoentidad", "d_pandemia", own_rows))
+    coded = add_subsector(panel, catalogue, list(catalogue_on), classes, hot_rows)
+    return coded.withColumn("reporte", indicator(F.col("mean_unit_price").isNotNull()))
 
 
 def price_sample(base: DataFrame, limit: float = 0.85, good: str = "Bien", hot_rows: int = HOT_ROWS) -> DataFrame:
