@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.llm.staging import keep
+from fairtender.llm.words import PORTION, lean, text_portions
 
 #: share of an item's words that may differ
 BUDGET = 0.2
@@ -193,10 +194,10 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher.build()
-            for b in batches:
+            for b in text_portions(batches, text_col, PORTION):
                 yield b.filter(pa.array([not matcher.hit(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
 
-        return docs.mapInArrow(search, docs.schema)
+        return docs.mapInArrow(lean(search), docs.schema)
     # numbered in a written table, so that a row keeps its number
     rows = keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("doc_id")), "numbered")
     hits = None

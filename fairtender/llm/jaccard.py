@@ -39,7 +39,7 @@ from fairtender.llm.components import components
 from fairtender.llm.regions import NEAR, far_reach, is_near, meeting_pairs, near_reach, placed_members
 from fairtender.llm.staging import keep, release
 from fairtender.llm.substring import _buckets, _by_bucket, _joined, _Outbox, _sent
-from fairtender.llm.words import portions, scan, text_or_none
+from fairtender.llm.words import PORTION, lean, scan, text_portions
 
 SHINGLE, LEAST, OUT_OF = 3, 90, 100
 EXTRA = 0.15
@@ -78,22 +78,29 @@ def _overlap(n: int, least: int, out_of: int) -> int:
     return -(-least * n // out_of)
 
 
+_DOCUMENTS = pa.schema([(c, pa.int64()) for c in ("doc_id", "id", "text_key", "n", "name")] + [("firsts", pa.list_(pa.int64()))])
+_SETS = pa.schema([("name", pa.int64()), ("grams", pa.binary()), ("sketch", pa.binary())])
+
+
 def documents(docs: DataFrame, k: int, least: int, out_of: int) -> DataFrame:
     """Per row: doc_id, id (missing: greatest), key of the text, n (set size), name of the set, first n-grams."""
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in portions(frames, "text"):
-            sets = _sets([text_or_none(t) for t in pdf["text"]], k)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_portions(batches, "text", PORTION):
+            sets = _sets(b.column("text").to_pylist(), k)
             firsts = []
             for s in sets:
                 n = len(s)
                 # a set this small has no partner but its equals
                 alone = least * (n + 1) > out_of * n
                 firsts.append(s[: 0 if alone else n - _overlap(n, least, out_of) + 1 + int(EXTRA * n)].view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "id": pdf["id"], "text_key": pdf["text_key"], "n": [len(s) for s in sets], "name": [_name(s) for s in sets], "firsts": firsts})
+            bounds = np.cumsum([0, *map(len, firsts)])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(firsts), pa.int64()))
+            own = [b.column(c) for c in ("doc_id", "id", "text_key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), lists], schema=_DOCUMENTS)
 
     source = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("text_key"), "text")
-    return source.mapInPandas(rows, "doc_id long, id long, text_key long, n long, name long, firsts array<long>")
+    return source.mapInArrow(lean(rows), "doc_id long, id long, text_key long, n long, name long, firsts array<long>")
 
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("gram", pa.binary()), ("name", pa.binary())])
@@ -137,8 +144,8 @@ def shared_grams(rows: DataFrame, buckets: int) -> DataFrame:
             some = count > 1
             yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(grams[some].view(np.int64)), pa.array(count[some])], schema=_SHARED)
 
-    dealt = rows.select("name", "firsts").mapInArrow(deal, "bucket int, gram binary, name binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "name long, gram long, c long")
+    dealt = rows.select("name", "firsts").mapInArrow(lean(deal), "bucket int, gram binary, name binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "name long, gram long, c long")
 
 
 def rare_grams(rows: DataFrame, least: int, out_of: int) -> DataFrame:
@@ -206,7 +213,7 @@ def _to_pivots(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             found = [_distance(_grams(a), _grams(b)) for a, b in zip(pdf["grams"], pdf["pivot_grams"], strict=True)]
             yield pd.DataFrame({"pivot": pdf["pivot"], "name": pdf["name"], "n": pdf["n"], "both": [f[0] for f in found], "either": [f[1] for f in found]})
 
-    return _beside(pairs, sets).mapInPandas(measure, "pivot long, name long, n long, both long, either long")
+    return _beside(pairs, sets).mapInPandas(lean(measure), "pivot long, name long, n long, both long, either long")
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, least: int, out_of: int) -> DataFrame:
@@ -220,7 +227,7 @@ def _differences(pairs: DataFrame, sets: DataFrame, least: int, out_of: int) ->
             packed = [b"" if far(len(d), n, p) else d.tobytes() for d, n, p in zip(own, pdf["n"], sizes, strict=True)]
             yield pd.DataFrame({"pivot": pdf["pivot"], "name": pdf["name"], "n": pdf["n"], "pivot_n": sizes, "apart": [len(d) for d in own], "difference": packed})
 
-    return _beside(pairs, sets).mapInPandas(measure, "pivot long, name long, n long, pivot_n long, apart long, difference binary")
+    return _beside(pairs, sets).mapInPandas(lean(measure), "pivot long, name long, n long, pivot_n long, apart long, difference binary")
 
 
 def _grams(packed: bytes) -> np.ndarray:
@@ -309,15 +316,16 @@ def _named_sets(docs: DataFrame, k: int, least: int, out_of: int, sketches: bool
     named = kept.select("name").distinct()
     wanted = rows.join(named, "name").groupBy("name").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("name").alias("names"))
 
-    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in portions(frames, "text"):
-            sets = _sets([text_or_none(t) for t in pdf["text"]], k)
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_portions(batches, "text", PORTION):
+            sets = _sets(b.column("text").to_pylist(), k)
             names = [_name(s) for s in sets]
-            chosen = [(n, s.tobytes(), _sketch(s) if sketches else None) for n, s, known in zip(names, sets, pdf["names"], strict=True) if n in set(known)]
-            yield pd.DataFrame(chosen, columns=["name", "grams", "sketch"])
+            chosen = [(n, s.tobytes(), _sketch(s) if sketches else None) for n, s, known in zip(names, sets, b.column("names").to_pylist(), strict=True) if n in set(known)]
+            columns = zip(*chosen, strict=True) if chosen else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _SETS.types, strict=True)], schema=_SETS)
 
     source = docs.withColumn("id", F.coalesce("doc_id", F.lit(_LAST))).select("id", "text")
-    sets = keep(source.join(wanted, "id").mapInPandas(fetch, "name long, grams binary, sketch binary").dropDuplicates(["name"]), "sets")
+    sets = keep(source.join(wanted, "id").mapInArrow(lean(fetch), "name long, grams binary, sketch binary").dropDuplicates(["name"]), "sets")
     return rows, kept, sets
 
 
@@ -357,7 +365,7 @@ def _joined_regions(members: DataFrame, sets: DataFrame, found: DataFrame, least
 
     for heads in (True, False):
         ways = meeting_pairs(near_rows, labels, least, out_of, heads)
-        first = ways.join(some, ["pivot", "a"]).join(other, ["pivot", "b"]).mapInPandas(compare, "a long, b long")
+        first = ways.join(some, ["pivot", "a"]).join(other, ["pivot", "b"]).mapInPandas(lean(compare), "a long, b long")
         met = meeting_pairs(far_rows, labels, least, out_of, heads)
         pairs = met.select(F.col("a").alias("pivot"), F.col("b").alias("name"), F.lit(0).cast("long").alias("n"))
         second = _near(_to_pivots(pairs, sets), least, out_of).select(F.col("pivot").alias("a"), F.col("name").alias("b"))

@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairtender.llm.words import mix, text_portions
+from fairtender.llm.words import lean, mix, portions, text_portions
 
 BUCKETS = 1 << 15
 #: labelled rows that a model is fitted on, at most about; drawn by a hash of the text
 TRAIN_ROWS = 20_000
 PENALTY, FLOOR = 6.0, -8.0
-CHARS = 1 << 20
+#: characters labelled at once, those cut and scored at once (at some 200 bytes each), and code points looked up at once
+CHARS, PIECE, CODES = 1 << 20, 1 << 18, 1 << 14
 
 # fixed values: first and last code point of the letters of a script
 SCRIPTS = (
@@ -39,14 +40,15 @@ _tables: dict[str, np.ndarray] = {}
 def _table(name: str) -> np.ndarray:
     """Per code point: ``letter`` (is it one), ``lower`` (its small letter), ``script``."""
     if not _tables:
-        chars = [chr(i) for i in range(0x110000)]
-        _tables["letter"] = np.array([c.isalpha() for c in chars])
-        lower = np.arange(0x110000, dtype=np.uint32)
-        for i in np.flatnonzero(_tables["letter"]):
-            small = chars[i].lower()
-            if len(small) == 1:
-                lower[i] = ord(small)
-        _tables["lower"] = lower
+        letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+        for at in range(0, 0x110000, CODES):
+            chars = [chr(i) for i in range(at, at + CODES)]
+            letter[at : at + CODES] = [c.isalpha() for c in chars]
+            for i in np.flatnonzero(letter[at : at + CODES]):
+                small = chars[i].lower()
+                if len(small) == 1:
+                    lower[at + i] = ord(small)
+        _tables["letter"], _tables["lower"] = letter, lower
         script = np.zeros(0x110000, np.uint8)
         for k, (lo, hi) in enumerate(SCRIPTS, 1):
             script[lo : hi + 1] = k
@@ -128,20 +130,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        for pdf in frames:
+        for pdf in portions(frames, "text", PIECE):
             for lang, texts in pdf.groupby("lang")["text"]:
                 own = sums.setdefault(lang, np.zeros(2 * BUCKETS + 256, np.int64))
-                texts = list(texts)
-                for at in range(0, len(texts), 500):
-                    c = cut(texts[at : at + 500])
-                    own[:BUCKETS] += np.bincount(c.tri, minlength=BUCKETS)
-                    own[BUCKETS : 2 * BUCKETS] += np.bincount(c.word, minlength=BUCKETS)
-                    own[2 * BUCKETS :] += np.bincount(c.script, minlength=256)
+                c = cut(list(texts))
+                own[:BUCKETS] += np.bincount(c.tri, minlength=BUCKETS)
+                own[BUCKETS : 2 * BUCKETS] += np.bincount(c.word, minlength=BUCKETS)
+                own[2 * BUCKETS :] += np.bincount(c.script, minlength=256)
         for lang, own in sums.items():
             slot = np.flatnonzero(own)
             yield pd.DataFrame({"lang": lang, "slot": slot, "n": own[slot]})
 
-    counts = sample.mapInPandas(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInPandas(lean(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((2 * BUCKETS + 256, len(langs)))
     for i, lang in enumerate(langs):
@@ -214,35 +214,47 @@ def viterbi(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarr
     return out
 
 
-def label(model: Model, texts: list, penalty: float = PENALTY) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
-    """Per text: its language (``und`` without letters), a score, and spans (start, end, language)."""
-    langs, scores, spans = [], np.zeros(len(texts)), []
+def _groups(texts: list, chars: int) -> list[list[int]]:
+    """Places of texts in groups of about ``chars`` characters."""
     groups, size = [[]], 0
     for i, t in enumerate(texts):
-        if size > CHARS:
+        if size > chars:
             groups.append([])
             size = 0
         groups[-1].append(i)
         size += 0 if t is None else len(t)
-    for group in groups:
-        c = cut([texts[i] for i in group])
-        e = model.scores(c)
-        paths = viterbi([e[c.first[k] : c.first[k + 1]] for k in range(len(group))], penalty) if model.langs else []
-        letters = c.letters
-        for k, i in enumerate(group):
+    return groups
+
+
+def _scored(model: Model, texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text the scores of its words, their letters, and where they start and end in it."""
+    for piece in _groups(texts, PIECE):
+        c = cut([texts[i] for i in piece])
+        e, letters = model.scores(c), c.letters
+        for k in range(len(piece)):
             lo, hi = c.first[k], c.first[k + 1]
-            if lo == hi or not model.langs:
+            yield e[lo:hi], letters[lo:hi], c.start[lo:hi] - c.offset[k], c.end[lo:hi] - c.offset[k]
+
+
+def label(model: Model, texts: list, penalty: float = PENALTY) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
+    """Per text: its language (``und`` without letters), a score, and spans (start, end, language)."""
+    langs, scores, spans = [], np.zeros(len(texts)), []
+    for group in _groups(texts, CHARS):
+        scored = list(_scored(model, [texts[i] for i in group]))
+        paths = viterbi([e for e, *_ in scored], penalty) if model.langs else []
+        for k, i in enumerate(group):
+            e, weight, start, end = scored[k]
+            if not len(e) or not model.langs:
                 langs.append("und")
                 spans.append([])
                 continue
-            path, weight = paths[k], letters[lo:hi]
+            path = paths[k]
             share = np.bincount(path, weights=weight, minlength=len(model.langs))
             best = int(share.argmax())
             langs.append(model.langs[best])
-            scores[i] = min(1.0, float((np.exp(e[lo:hi, best]) * weight).sum() / weight.sum()))
-            turns = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [hi - lo]])
-            base = c.offset[k]
-            spans.append([(int(c.start[lo + a] - base), int(c.end[lo + b - 1] - base), model.langs[path[a]]) for a, b in zip(turns[:-1], turns[1:], strict=True)])
+            scores[i] = min(1.0, float((np.exp(e[:, best]) * weight).sum() / weight.sum()))
+            turns = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(e)]])
+            spans.append([(int(start[a]), int(end[b - 1]), model.langs[path[a]]) for a, b in zip(turns[:-1], turns[1:], strict=True)])
     return langs, scores, spans
 
 
@@ -264,7 +276,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str | Column], text_col:
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(joined, pa.string())], [*names, "lang_pred", "score", "lang_spans"])
 
     head = rows.drop("_text").schema
-    return rows.mapInArrow(run, head.add("lang_pred", "string").add("score", "double").add("lang_spans", "string"))
+    return rows.mapInArrow(lean(run), head.add("lang_pred", "string").add("score", "double").add("lang_spans", "string"))
 
 
 def known_language(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -275,4 +287,4 @@ def known_language(docs: DataFrame, model: Model, least: float = 0.3, text_col:
             langs, scores, _ = label(model, b.column(text_col).to_pylist())
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

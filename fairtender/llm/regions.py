@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairtender.llm.staging import keep, release
+from fairtender.llm.words import lean
 
 #: part of the sizes of set and pivot up to which their difference counts as near
 NEAR = 0.5
@@ -63,7 +64,7 @@ def ordered_grams(members: DataFrame, column: str) -> DataFrame:
     n-grams nobody else has come first and are counted only. ``members`` has pivot, name,
     size and the packed n-grams.
     """
-    rows = members.mapInArrow(exploded(column), "pivot long, name long, gram long")
+    rows = members.mapInArrow(lean(exploded(column)), "pivot long, name long, gram long")
     shared = rows.groupBy("pivot", "gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     held = rows.join(shared, ["pivot", "gram"]).groupBy("pivot", "name").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("grams"))
     sized = held.join(members.select("pivot", "name", "size"), ["pivot", "name"])
@@ -158,7 +159,7 @@ def meeting_pairs(placed: DataFrame, labels: DataFrame, least: int, out_of: int,
     """
     own = placed.join(labels.select("name", "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     dealt = own.select(*_ROW).repartition("pivot", "gram").sortWithinPartitions("pivot", "gram")
-    return keep(dealt.mapInArrow(_met(least, out_of, heads), "pivot long, a long, b long").distinct(), "pairs")
+    return keep(dealt.mapInArrow(lean(_met(least, out_of, heads)), "pivot long, a long, b long").distinct(), "pairs")
 
 
 def near_reach(least: int, out_of: int) -> Column:

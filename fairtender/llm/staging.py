@@ -8,6 +8,8 @@ from fairtender.session import scratch_path
 
 #: ends the life of a write's shuffle files with the write, as the table replaces them
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: rows of packed sets are large: what goes to a Python worker at once is bounded by bytes, not only by rows
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def keep(df: DataFrame, label: str = "step") -> DataFrame:
@@ -17,12 +19,14 @@ def keep(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
+    before, batch = spark.conf.get(CLEANUP, "false"), spark.conf.get(BATCH)
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(BATCH_BYTES))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+        spark.conf.set(BATCH, batch)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairtender.llm.staging import keep
-from fairtender.llm.words import run_hashes, text_portions, word_bounds
+from fairtender.llm.words import lean, run_hashes, text_portions, word_bounds
 
 #: words that a worker remembers per generation, at some 40 bytes each
 CACHED_WORDS = 500_000
 #: bytes of text encoded at once; a worker needs some 30 times as many
-PORTION = 2 << 20
+PORTION = 1 << 20
 #: what a tokenizer must encode alike in one piece and word by word, or it gets whole texts
 PROBE = """It's 12.5, isn't it?  We'll SEE\tthe\u00a0d\u00e9j\u00e0-vu... of x,y 3rd. a.b,c! (42) \u4e2d\u6587 \U0001f388 e\u0301 \u0130 'S I'm
 \x0bend. , . ,. A1,B2. <b> \u017f"""
@@ -341,7 +341,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
             yield pa.RecordBatch.from_arrays([parts, pa.array(at + bounds[:-1]), batch.column("doc_id"), lists], schema=_ROWS)
             at += int(bounds[-1])
 
-    return ordered.mapInArrow(encode, "part int, at long, doc_id long, ids array<int>")
+    return ordered.mapInArrow(lean(encode), "part int, at long, doc_id long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, **names: str) -> None:
@@ -381,7 +381,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    digests = read_tokens(spark, path).mapInArrow(_digested, "part int, at long, doc_id long, n_tokens long, ids_crc32 long")
+    digests = read_tokens(spark, path).mapInArrow(lean(_digested), "part int, at long, doc_id long, n_tokens long, ids_crc32 long")
     digests = keep(digests, "digests")
     # one row per range
     sizes = digests.groupBy("part").agg(F.sum("n_tokens").alias("n"))

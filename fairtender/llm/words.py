@@ -6,15 +6,18 @@ and carriage return. The same word has the same hash in every task and every run
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21
+#: bytes of words hashed at once, and of texts taken at once: a worker needs some 30 times as many, and keeps them
+BLOCK, PORTION = 1 << 18, 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -42,7 +45,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n, BLOCK + (1 << 16))
         up, down = np.full(size, _BASE), np.full(size, _BASE_INVERSE)
         up[0] = down[0] = 1
-        have = _powers[0] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        if n <= BLOCK + (1 << 16):  # those of one very long word are not kept
+            _powers[0] = have
     return have
 
 
@@ -104,11 +109,32 @@ def scan(texts: list, lower: bool = False) -> Words:
     return Words(joined, start, end, hashes, np.searchsorted(start, begins))
 
 
+def give_back() -> None:
+    """Return the memory that this process has freed to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, after which its Python worker, which waits for other tasks, holds no freed memory."""
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def text_or_none(value) -> str | None:
     return value if isinstance(value, str) else None
 
 
-def portions(frames: Iterator[pd.DataFrame], text: str, chars: int = BLOCK) -> Iterator[pd.DataFrame]:
+def portions(frames: Iterator[pd.DataFrame], text: str, chars: int = PORTION) -> Iterator[pd.DataFrame]:
     """Rows of an Arrow batch in portions of about ``chars`` characters, so that memory does
     not follow the length of a batch."""
     for pdf in frames:
