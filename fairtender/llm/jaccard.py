@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairtender.llm.components import components
+from fairtender.llm.components import merged
 from fairtender.llm.regions import NEAR, far_reach, is_near, meeting_pairs, near_reach, placed_members
 from fairtender.llm.staging import keep, release
 from fairtender.llm.substring import _buckets, _by_bucket, _joined, _Outbox, _sent
@@ -313,8 +314,10 @@ def _named_sets(docs: DataFrame, k: int, least: int, out_of: int, sketches: bool
     kept = keep(rare_grams(full.filter(F.size("firsts") > 0), least, out_of), "grams")
     rows = keep(full.drop("firsts"), "rows")
     release(full)
-    named = kept.select("name").distinct()
-    wanted = rows.join(named, "name").groupBy("name").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("name").alias("names"))
+    # rows of these sets, and the sets that have n-grams to meet by
+    either = rows.select("name", "id").unionByName(kept.select("name", F.lit(None).cast("long").alias("id")))
+    named = either.groupBy("name").agg(F.min("id").alias("id"), F.count_if(F.col("id").isNull()).alias("meets")).filter("meets > 0")
+    wanted = named.groupBy("id").agg(F.collect_list("name").alias("names"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_portions(batches, "text", PORTION):
@@ -339,10 +342,9 @@ def _linked_to_pivot(members: DataFrame, least: int, out_of: int) -> DataFrame:
     return members.filter(near & (F.col("pivot") != F.col("name"))).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
 
 
-def _joined_regions(members: DataFrame, sets: DataFrame, found: DataFrame, least: int, out_of: int) -> DataFrame:
-    """``found`` links (a, b) and those between members of a region that they leave apart; ``members`` has their
-    differences from the pivot."""
-    labels = _grouped(found)
+def _joined_regions(members: DataFrame, sets: DataFrame, labels: DataFrame, least: int, out_of: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links (a, b) between members of a region that ``labels`` leave apart, and the labels with them; ``members``
+    has their differences from the pivot."""
     own = members.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
     main = labels.select(F.col("name").alias("pivot"), F.col("label").alias("main"))
     near, with_near, with_far = is_near(least, out_of)
@@ -363,43 +365,45 @@ def _joined_regions(members: DataFrame, sets: DataFrame, found: DataFrame, least
             linked = apart * (out_of + least) <= (pdf["a_n"] + pdf["b_n"]).to_numpy() * (out_of - least)
             yield pdf.loc[linked, ["a", "b"]]
 
+    links_ = []
     for heads in (True, False):
         ways = meeting_pairs(near_rows, labels, least, out_of, heads)
         first = ways.join(some, ["pivot", "a"]).join(other, ["pivot", "b"]).mapInPandas(lean(compare), "a long, b long")
         met = meeting_pairs(far_rows, labels, least, out_of, heads)
         pairs = met.select(F.col("a").alias("pivot"), F.col("b").alias("name"), F.lit(0).cast("long").alias("n"))
         second = _near(_to_pivots(pairs, sets), least, out_of).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
-        found = keep(found.unionByName(first).unionByName(second), "links")
+        links_.append(keep(first.unionByName(second), "links"))
         release(ways, met)
-        labels = _grouped(found) if heads else labels
+        labels = _grouped(labels, links_[-1])
     release(marked, near_rows, far_rows)
-    return found
+    return links_, labels
 
 
-def _grouped(found: DataFrame) -> DataFrame:
-    return keep(components(found), "labels").select(F.col("node").alias("name"), "label")
+def _grouped(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels (name, label: the least name of its group; names that are their own label are left out) with more links."""
+    return merged(labels.withColumnRenamed("name", "node"), found).withColumnRenamed("node", "name")
 
 
-def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF) -> tuple[DataFrame, DataFrame]:
-    """Rows with their sets' names, and links between different sets (a, b: names).
+def links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their sets' names, links between different sets (a, b: names), and the labels of linked sets (name, label:
+    the least name of its group; names that are their own label are left out).
 
     The links are all real, and enough: sets within the threshold are connected by them.
     """
     rows, kept, sets = _named_sets(docs, k, least, out_of)
     near = lambda m: _near(m, least, out_of).select(F.col("pivot").alias("a"), F.col("name").alias("b"))
-    first, tested, labels = None, None, docs.sparkSession.createDataFrame([], "name long, label long")
+    found, tested, labels = [], None, docs.sparkSession.createDataFrame([], "name long, label long")
     for _ in range(ROUNDS):
         pairs = keep(head_pairs(kept, labels, tested, least, out_of), "pairs")
-        found = near(_to_pivots(pairs, sets))
-        first = keep(found if first is None else first.unionByName(found), "links")
+        found.append(keep(near(_to_pivots(pairs, sets)), "links"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = _grouped(first)
+        labels = _grouped(labels, found[-1])
     members = keep(_differences(cells(kept, labels), sets, least, out_of), "differences")
     release(kept)
-    second = keep(first.unionByName(_linked_to_pivot(members, least, out_of)), "links")
-    third = _joined_regions(members, sets, second, least, out_of)
-    release(members, sets, first, second)
-    return rows, third
+    found.append(keep(_linked_to_pivot(members, least, out_of), "links"))
+    more, labels = _joined_regions(members, sets, _grouped(labels, found[-1]), least, out_of)
+    release(members, sets)
+    return rows, reduce(DataFrame.unionByName, found + more), labels
 
 
 def join_pairs(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: int = OUT_OF, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -432,10 +436,9 @@ def count_links(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, out_of: i
 
 def _linked(docs: DataFrame, k: int, least: int, out_of: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc_id, text_key, name, n, component_id."""
-    rows, found = links(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, least, out_of)
-    labels = components(found)
+    rows, _, labels = links(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, least, out_of)
     nodes = rows.filter("n > 0").groupBy("name").agg(F.min("id").alias("id"))
-    labelled = keep(nodes.join(labels.withColumnRenamed("node", "name"), "name", "left").select("name", "id", F.coalesce("label", "name").alias("label")), "labels")
+    labelled = keep(nodes.join(labels, "name", "left").select("name", "id", F.coalesce("label", "name").alias("label")), "labels")
     least_id = labelled.groupBy("label").agg(F.min("id").alias("least_id"))
     reached = labelled.join(least_id, "label").select("name", "least_id")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("least_id", F.lit(_LAST)))
