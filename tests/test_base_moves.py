@@ -40,3 +40,14 @@ def test_priced_items_move_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got.filter(F.col("n_cod_contrato") == 31).head().mean_unit_price is None
+
+
+def test_answers_are_read_once(spark):
+    """Pieces of the plan that turn a text into prices: one per answer, not one for each time its prices are named."""
+    items = spark.createDataFrame([(c, n, n, 7, 5.0, "u", "x") for c in range(4) for n in (1, 2, 3)], ITEMS)
+    answers = spark.createDataFrame([(0, "1;2;3;4;5;6;7"), (1, "4"), (2, "1.5,2"), (5, "9")], ANSWERS)
+    for df in (pl.priced_items(items, answers, "gpt_unit_prices"), pl.answer_prices(answers, pl.item_counts(items), "gpt_unit_prices")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 2  # an explode may ask before whether there is anything
+    got = {(r.n_cod_contrato, r.n_item): r.mean_unit_price for r in pl.priced_items(items, answers, "gpt_unit_prices").collect()}
+    assert got == {(0, 1): 1.5, (0, 2): 3.5, (0, 3): 5.5, (1, 1): 4.0, (2, 1): 1.5, (2, 2): 2.0}
