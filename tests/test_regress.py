@@ -286,3 +286,34 @@ def test_products_of_many_columns_take_little_memory():
     for width in (3, 75, 130):
         assert 64 <= rows_at_once(width, 0) <= PRODUCTS // (width * (width + 1) // 2)
     assert rows_at_once(3, 300) == 664
+
+
+def test_steps_over_units_send_blocks_of_levels(spark, monkeypatch):
+    """A connected part in many units: vectors lie in blocks, not in a row per level, and rows stay in their units."""
+    rng = np.random.default_rng(9)
+    rows = [(f"a{rng.integers(15)}", f"b{rng.integers(12)}", float(rng.normal()), float(rng.normal()), i) for i in range(600)]
+    df = spark.createDataFrame(rows + [("c0", f"d{i % 2}", float(i), float(i % 3), 600 + i) for i in range(8)], "f string, g string, x double, y double, k long")
+    monkeypatch.setattr(rg, "MAX_CELLS", 0)
+    once = by_pos(rg.fit(df, "y", rg.numeric("x"), ("f", "g"), key=["k"], reps=2))
+    seen, stage = [], tw.stage
+    monkeypatch.setattr(tw, "stage", lambda t: seen.append(stage(t)) or seen[-1])
+    monkeypatch.setattr(tw, "BLOCK_LEVELS", 20)
+    steps = by_pos(rg.fit(df, "y", rg.numeric("x"), ("f", "g"), key=["k"], reps=2, hot_rows=150))
+    np.testing.assert_allclose(steps[["coef", "stderr", "df_m"]], once[["coef", "stderr", "df_m"]], rtol=1e-6)
+    vectors = [t for t in seen if "q" in t.columns]
+    assert len(vectors) > 3 and {t.count() for t in vectors[:2]} <= {2, 3, 4}
+
+
+def test_two_factors_read_their_rows_once(spark, monkeypatch):
+    """What leads to the rows may be long, so levels are counted on what was written of it."""
+    monkeypatch.setattr(rg, "MAX_CELLS", 0)
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = two_groups(spark)
+    rg.fit(df.mapInArrow(through, df.schema), "y", rg.numeric("x"), ("f", "g")).collect()
+    assert read.value == df.count()
